@@ -5,12 +5,22 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it; a cluster may deploy it with --py-files instead."""
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def get_spark(app: str = "weftgraph", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's defaults; a cluster's own settings win over them."""
     builder = SparkSession.builder.appName(app)
@@ -49,6 +59,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._count = 0
+        ship(spark)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Writes ``df`` as Parquet and returns the table read back."""
