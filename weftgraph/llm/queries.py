@@ -4,17 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftgraph.llm import oracle
+from weftgraph.session import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm.quality_classifier import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm.sharding import shard_table
+
+    return shard_table(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm.quality_rules import judged
+
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftgraph.llm.ngram_join import similarity_components
 
     return similarity_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id", "class_rows", "n_links")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftgraph.llm.decontaminate import contamination
 
@@ -22,11 +56,8 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict:
-    return {
-        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
-        "op8_benchmark_decontamination": op8_benchmark_decontamination,
-    }
+    return {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_quality_rules, op4_ngram_jaccard_join, op6_toxicity, op7_curriculum_mixing, op8_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_sharding": oracle.sharding(), "op7_curriculum_mixing": oracle.mixing()}
