@@ -3,9 +3,12 @@
 A document's set is its distinct 5-word shingles. Each shingle flips one bit of a bit
 sketch, so the Hamming distance of two sketches is at most the symmetric difference of
 the sets. Two sets of similarity 0.8 or more differ in at most (|A| + |B|) / 9 shingles.
-Per size band a sketch has a fixed number of 64-bit parts, and the pigeonhole principle
-makes linked sets agree in whole parts; sets that share a part are candidates, and every
-candidate pair that counts is verified on the whole sets.
+
+Per size band a wide sketch (2^32 bits a part, held as one XOR of bit hashes for each part)
+is cut into a fixed number of parts, and the pigeonhole principle makes linked sets agree in
+whole parts; sets that share a part are candidates. Candidates are compared by a dense sketch
+of 1024 bits, whose Hamming distance must not exceed the bound, and what is left is verified
+on the whole sets.
 
 Number of parts for a largest distance D: D + 1 + slack, which makes agreement in a part
 that isn't empty certain (a set with more empty parts than slack emits those too). For
@@ -14,8 +17,8 @@ that AGREE of them stay untouched on average at the threshold itself; then the c
 missing a pair is about exp(-AGREE) at most, and falls fast above the threshold.
 
 Equal sets form one class. Inside a shared part, classes are linked to the smallest class
-(a star), never in all pairs; parts whose classes are then still in different components
-are paired again with more hubs, until no untested pair between components is left.
+(a star), never in all pairs. Parts whose classes are then still in different components are
+paired whole if they are small; large ones are split by a second and third shared part.
 """
 
 from __future__ import annotations
@@ -26,14 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.tokens import U, chunks, mix, shingle_sets
 from weftgraph.session import Scratch
 
 THRESHOLD = (80, 100)
-AGREE = 12.0
+AGREE = 14.0
+#: Longs of the dense sketch.
+DENSE = 16
+#: Classes of a part that are paired with each other where a star leaves them in several components.
+SMALL = 64
+#: Shared parts by which a large part is split, before its pairs are listed.
+DEPTH = 3
 #: Rows of a part that a map task combines before it passes them on.
 COMBINE = 400_000
 #: Texts that one verifying group compares with its hub.
@@ -86,15 +95,21 @@ def part_keys(shingles: np.ndarray) -> np.ndarray:
             _PARTS[band] = parts(distance)
         k, slack = _PARTS[band]
         salted = mix(shingles + U(band * 0x9E37 + 1))
-        bit = ((salted >> U(6)) % U(k)).astype(np.int64) * 64 + (salted & U(63)).astype(np.int64)
-        parity = np.bincount(bit, minlength=64 * k).astype(np.uint8) & np.uint8(1)
-        sketch = np.packbits(parity, bitorder="little").view(U)
+        sketch = np.zeros(k, U)
+        # The part's odd bits, as the XOR of their hashes: a bit that is flipped twice cancels.
+        np.bitwise_xor.at(sketch, ((salted >> U(32)) % U(k)).astype(np.int64), mix(salted & U(0xFFFFFFFF)))
         keys = mix(mix(sketch + U(0x51ED27)) + np.arange(k, dtype=U) * U(0x2545F4914F6CDD1D) + U(band * 0x9E3779B97F4A7C15 % (1 << 64)))
         full = sketch != 0
         out.append(keys if slack is not None and k - int(full.sum()) > slack else keys[full])
     return np.concatenate(out) if out else shingles[:0]
 
 
+def dense_sketch(shingles: np.ndarray) -> np.ndarray:
+    """DENSE longs whose bit i is the parity of the shingles that hash to i."""
+    bits = np.bincount((mix(shingles + U(0xD1B54A32)) >> U(20) & U(64 * DENSE - 1)).astype(np.int64), minlength=64 * DENSE)
+    return np.packbits((bits & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
@@ -104,27 +119,28 @@ def short(cls: bytes) -> int:
     return int.from_bytes(cls[:8], "little", signed=True)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("name", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("name", pa.int64()), ("dense", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for first, texts in chunks(batch.column(1)):
-            ns, classes, names, keys = [], [], [], []
+            ns, classes, names, dense, keys = [], [], [], [], []
             for s in shingle_sets(texts):
                 ns.append(len(s))
                 classes.append(digest(s) if len(s) else None)
                 names.append(short(classes[-1]) if len(s) else None)
+                dense.append(dense_sketch(s) if len(s) else None)
                 keys.append(part_keys(s).view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), pa.array(ns, pa.int64()), pa.array(classes, pa.binary()), pa.array(names, pa.int64()), listed], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), pa.array(ns, pa.int64()), pa.array(classes, pa.binary()), pa.array(names, pa.int64()), pa.array(dense, pa.list_(pa.int64())), listed], schema=_SETS)
 
 
 def shingle_classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n (set size), cls (digest of the set, null if empty), name, keys."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sets, "doc_id long, n long, cls binary, name long, keys array<long>")
+    """One row per document: doc_id, n (set size), cls (digest of the set, null if empty), name, dense, keys."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sets, "doc_id long, n long, cls binary, name long, dense array<long>, keys array<long>")
 
 
 _ROWS = pa.schema([("part", pa.int64()), ("hub", pa.int64()), ("name", pa.int64())])
@@ -239,17 +255,22 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=_LINKS)
 
 
+def near(pairs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those of the distinct (hub, name) pairs whose sizes and dense sketches allow similarity 0.8."""
+    share, of = THRESHOLD
+    side = classes.select("name", "n", "dense")
+    both = pairs.join(side.select(F.col("name").alias("hub"), F.col("n").alias("hub_n"), F.col("dense").alias("hub_dense")), "hub").join(side, "name")
+    differ = F.aggregate(F.zip_with("dense", "hub_dense", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    fits = (F.least("n", "hub_n") * of >= F.greatest("n", "hub_n") * share) & (differ * (of + share) <= (of - share) * (F.col("n") + F.col("hub_n")))
+    return scratch.save(both.filter(fits).select("hub", "name").distinct())
+
+
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of the distinct (hub, name) pairs whose sets are similar, as (a, b) digests.
 
     A hub's text goes once to each group of about SALT_ROWS texts that are compared with it.
     """
-    sizes = reps.select("name", "n").groupBy("name").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    share, of = THRESHOLD
-    pairs = scratch.save(
-        pairs.join(sizes.select(F.col("name").alias("hub"), F.col("lo").alias("hub_lo"), F.col("hi").alias("hub_hi")), "hub")
-        .join(sizes, "name").filter((F.col("lo") * share <= F.col("hub_hi") * of) & (F.col("hub_lo") * share <= F.col("hi") * of)).select("hub", "name")
-    )
+    pairs = near(pairs, reps, scratch)
     n_hub = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n_hub"))
     salts = n_hub.select("hub", F.ceil(F.col("n_hub") / SALT_ROWS).alias("salts"))
     wanted = scratch.save(pairs.select("name").union(pairs.select("hub")).distinct().join(reps.select("name", "doc_id"), "name"))
@@ -300,20 +321,19 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
     sets = scratch.save(shingle_classes(docs))
-    classes = sets.filter("n > 0 and doc_id is not null").groupBy("cls", "name", "n").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("class_rows"))
+    classes = sets.filter("n > 0 and doc_id is not null").groupBy("cls", "name", "n").agg(F.min("doc_id").alias("doc_id"), F.first("dense").alias("dense"), F.count(F.lit(1)).alias("class_rows"))
     classes = scratch.save(classes)
     met = candidates(sets.filter("doc_id is not null"), scratch)
     pairs = scratch.save(met.select("hub", "name").distinct())
     links = verified(pairs, classes, docs, scratch)
     roots = components(links, scratch)
-    hubs = 1
-    while True:
-        more = _unresolved(met, classes, roots, pairs, hubs := hubs * 8, scratch)
-        if more is None:
-            break
-        new, pairs = more
+    groups, depth = met.select("part", F.col("hub").alias("name")).union(met.select("part", "name")).distinct(), 1
+    while (more := unresolved(groups, sets, classes, roots, pairs, depth, scratch)) is not None:
+        new, groups = more
         links = scratch.save(links.union(verified(new, classes, docs, scratch)).distinct())
+        pairs = scratch.save(pairs.union(new))
         roots = components(links, scratch)
+        depth += 1
     ends = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     found = classes.select("cls", "doc_id", "class_rows").join(roots, "cls", "left").join(ends, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     found = scratch.save(found)
@@ -326,29 +346,26 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     )
 
 
-def _unresolved(met: DataFrame, classes: DataFrame, roots: DataFrame, tested: DataFrame, hubs: int, scratch: Scratch) -> tuple[DataFrame, DataFrame] | None:
-    """Untested pairs between components inside parts of several components: the first ``hubs`` classes of a part against the rest.
+def unresolved(groups: DataFrame, sets: DataFrame, classes: DataFrame, roots: DataFrame, tested: DataFrame, depth: int, scratch: Scratch) -> tuple[DataFrame, DataFrame] | None:
+    """Untested pairs inside groups (part, name) of several components, and the groups to look at after them.
 
-    None once no part has an untested pair. Parts of two classes were tested whole by their star.
+    A group of up to SMALL classes lists its pairs. In a larger one, similar classes share further parts:
+    it is split by each further part of its classes, the splits are paired by a star and looked at again.
+    Only groups that still are large when they share DEPTH parts list their pairs. None when nothing is left.
     """
-    part_of = met.select("part", F.col("hub").alias("name")).union(met.select("part", "name")).distinct()
     root_of = classes.select("name", "cls").join(roots, "cls", "left").groupBy("name").agg(F.min(F.coalesce("root", "cls")).alias("root"))
-    members = part_of.join(root_of, "name")
+    members = groups.join(root_of, "name")
     mixed = members.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi and members > 2")
     members = scratch.save(members.join(mixed.select("part", "members"), "part"))
-    firsts = _first_names(members, hubs)
-    pairs = (
-        members.join(firsts.select("part", "hub", F.col("root").alias("hub_root")), "part").filter("hub < name and hub_root <> root")
-        .select("hub", "name").distinct().join(tested, ["hub", "name"], "left_anti")
-    )
-    pairs = scratch.save(pairs)
-    largest = members.agg(F.max("members")).first()[0] or 0
-    if pairs.isEmpty():
-        return None if hubs >= largest else _unresolved(met, classes, roots, tested, hubs * 8, scratch)
-    return pairs, scratch.save(tested.union(pairs))
-
+    small = members.filter(F.lit(depth >= DEPTH) | (F.col("members") <= SMALL))
+    other = small.select("part", F.col("name").alias("hub"), F.col("root").alias("hub_root"))
+    pairs = small.join(other, "part").filter("hub < name and hub_root <> root").select("hub", "name")
+    large = members.filter("false" if depth >= DEPTH else f"members > {SMALL}")
+    further = large.join(sets.select("name", "keys").dropDuplicates(["name"]), "name").select("part", "name", F.explode("keys").alias("key")).filter("key <> part")
+    further = scratch.save(further.select(F.xxhash64(F.least("part", "key"), F.greatest("part", "key")).alias("part"), "name").distinct())
+    stars = further.groupBy("part").agg(F.min("name").alias("hub")).join(further, "part").filter("hub <> name").select("hub", "name")
+    new = scratch.save(pairs.union(stars).distinct().join(tested, ["hub", "name"], "left_anti"))
+    if new.isEmpty() and further.isEmpty():
+        return None
+    return new, further
 
-def _first_names(members: DataFrame, hubs: int) -> DataFrame:
-    """The ``hubs`` smallest classes of each part. (A filter on row_number prunes before the shuffle.)"""
-    order = Window.partitionBy("part").orderBy("name")
-    return members.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= hubs).select("part", F.col("name").alias("hub"), "root")
