@@ -20,12 +20,15 @@ from pyspark.sql.types import StringType
 
 from weftgraph.llm.fm_index import FMIndex
 from weftgraph.llm.tokens import LETTERS_LOWER, U, chunks, word_hashes
+from weftgraph.session import Scratch
 
 WINDOW = 13
 #: Words of a shard; a longer document is a shard of its own.
 SHARD_WORDS = 1 << 20
 #: Bytes of benchmark text that are searched in one pass over the documents.
 BLOCK_BYTES = 2_000_000
+#: Ids of contaminated documents that may be broadcast (8 MB); more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 class Phrases:
@@ -198,3 +201,13 @@ def cut_spans(text: pd.Series, spans: pd.Series) -> pd.Series:
             left = words[cut["end"] - 1][1]
         out.append("".join([*parts, t[left:]]))
     return pd.Series(out, dtype=object)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that aren't contaminated, columns as they came. Documents with fewer hits stay whole."""
+    found = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    found = scratch.save(found)
+    if found.count() <= BROADCAST_IDS:
+        found = F.broadcast(found)
+    return docs.join(found, F.col("doc_id").cast("long") == F.col("hit_id"), "left_anti")

@@ -369,3 +369,21 @@ def unresolved(groups: DataFrame, sets: DataFrame, classes: DataFrame, roots: Da
         return None
     return new, further
 
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents without those that link to a smaller doc_id, directly or over others; columns as they came.
+
+    A doc_id whose rows stay more than once keeps one row for each of its texts. Rows without doc_id stay.
+    """
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    found = scratch.save(similarity_components(docs).select("doc_id", "component_id"))
+    stay = scratch.save(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
+    once = stay.filter("rows = 1").select(F.col("doc_id").alias("stay_id"))
+    if stay.count() <= BROADCAST_IDS:
+        once = F.broadcast(once)
+    key = F.col("doc_id").cast("long")
+    kept = docs.join(once, key == F.col("stay_id"), "left_semi").union(docs.filter(key.isNull()))
+    repeated = stay.filter("rows > 1").select(F.col("doc_id").alias("stay_id"))
+    if repeated.isEmpty():
+        return kept
+    return kept.union(docs.join(repeated, key == F.col("stay_id"), "left_semi").dropDuplicates(["doc_id", "text"]))

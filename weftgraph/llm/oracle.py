@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from weftgraph.llm import line_dedup as lines
 from weftgraph.llm import mixing as m
 from weftgraph.llm.sharding import EIGHT, Leaf, grown, levels
 
@@ -73,3 +74,43 @@ def mixing() -> str:
         select doc_id, size, source_size, target, passes * size as taken, passes,
             case when passes > 0 then round((phase - 1 + (share - at_[phase]) / each_[phase]) / {phases}, 9) end as position
         from phased"""
+
+
+def line_dedup() -> str:
+    text = "regexp_replace(coalesce(html, ''), '<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'gis')"
+    text = f"regexp_replace({text}, '</?(?:{lines.BREAKS})\\b[^>]*>', chr(10), 'gi')"
+    text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
+    for name, sign in lines.ENTITIES:
+        text = f"replace({text}, '{name}', '{sign}')"
+    return f"""
+        with cut as (
+            select row_number() over () as page, page_id, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) as host,
+                list_filter(list_transform(string_split(trim(regexp_replace({text}, '[\\x00-\\x09\\x0B-\\x20]+', ' ', 'g')), chr(10)), lambda x: trim(x)), lambda x: x <> '') as body
+            from pages),
+        every as (select page, host, unnest(body) as line, unnest(range(len(body))) as nth from cut),
+        total as (select host, count(*) as pages from cut group by host),
+        common as (
+            select host, line from every join total using (host) where host <> ''
+            group by host, line, pages having count(distinct page) >= {lines.LEAST} and count(distinct page) > {lines.RATIO!r}::double * pages),
+        kept as (select page, string_agg(line, chr(10) order by nth) as text, count(*) as n from every anti join common using (host, line) group by page)
+        select page_id, host, len(body)::bigint as n_lines, len(body) - coalesce(n, 0) as n_dropped, coalesce(text, '') as text
+        from cut left join kept using (page)"""
+
+
+def chat() -> str:
+    return """
+        with turns as (
+            select distinct conv_id, floor(coalesce(turn, 0) / 256)::bigint as part, turn::bigint as turn, coalesce(role, 'unknown') as role, replace(coalesce(text, ''), '<|', '< |') as body
+            from conversations where conv_id is not null),
+        speakers as (select distinct conv_id, coalesce(role, 'unknown') as speaker from conversations where conv_id is not null and coalesce(role, 'unknown') <> 'system'),
+        heads as (
+            select conv_id, speaker, part, turn, role, body, role = speaker as own,
+                '<|' || case when role = speaker then 'assistant' when role = 'system' then 'system' else 'user:' || replace(role, '<|', '< |') end || '|>' || chr(10) as head
+            from turns join speakers using (conv_id)),
+        placed as (
+            select *, coalesce(sum(length(head) + length(body) + 8) over (partition by conv_id, speaker, part order by turn nulls first, role, body rows between unbounded preceding and 1 preceding), 0)::bigint + length(head) as start
+            from heads)
+        select conv_id, speaker, part, count(*) as n_turns, count(*) filter (own) as n_spoken,
+            string_agg(head || body || '<|end|>' || chr(10), '' order by turn nulls first, role, body) as text,
+            coalesce(string_agg(start || '-' || (start + length(body) + 7), ',' order by start) filter (own), '') as mask_spans
+        from placed group by conv_id, speaker, part"""
