@@ -17,8 +17,9 @@ that AGREE of them stay untouched on average at the threshold itself; then the c
 missing a pair is about exp(-AGREE) at most, and falls fast above the threshold.
 
 Equal sets form one class. Inside a shared part, classes are linked to the smallest class
-(a star), never in all pairs. Parts whose classes are then still in different components are
-paired whole if they are small; large ones are split by a second and third shared part.
+(a star), never in all pairs. In parts whose classes are then still in different components,
+the dense sketches of all classes are compared with each other, block by block in tasks, and
+only pairs that pass leave the task.
 """
 
 from __future__ import annotations
@@ -39,10 +40,8 @@ THRESHOLD = (80, 100)
 AGREE = 14.0
 #: Longs of the dense sketch.
 DENSE = 16
-#: Classes of a part that are paired with each other where a star leaves them in several components.
-SMALL = 64
-#: Shared parts by which a large part is split, before its pairs are listed.
-DEPTH = 3
+#: Classes of a part that one task compares with as many others.
+BLOCK = 1024
 #: Rows of a part that a map task combines before it passes them on.
 COMBINE = 400_000
 #: Texts that one verifying group compares with its hub.
@@ -327,13 +326,16 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     pairs = scratch.save(met.select("hub", "name").distinct())
     links = verified(pairs, classes, docs, scratch)
     roots = components(links, scratch)
-    groups, depth = met.select("part", F.col("hub").alias("name")).union(met.select("part", "name")).distinct(), 1
-    while (more := unresolved(groups, sets, classes, roots, pairs, depth, scratch)) is not None:
-        new, groups = more
-        links = scratch.save(links.union(verified(new, classes, docs, scratch)).distinct())
-        pairs = scratch.save(pairs.union(new))
-        roots = components(links, scratch)
-        depth += 1
+    # Forests join most of a large group by few pairs; what is still apart after them is compared whole.
+    for mode in ("first", "last", "all"):
+        near_pairs = scratch.save(between_components(met, classes, roots, mode, scratch))
+        if near_pairs.isEmpty():
+            break
+        across = scratch.save(near_pairs.join(pairs, ["hub", "name"], "left_anti"))
+        if not across.isEmpty():
+            links = scratch.save(links.union(verified(across, classes, docs, scratch)).distinct())
+            pairs = scratch.save(pairs.union(across))
+            roots = components(links, scratch)
     ends = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     found = classes.select("cls", "doc_id", "class_rows").join(roots, "cls", "left").join(ends, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     found = scratch.save(found)
@@ -346,28 +348,88 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     )
 
 
-def unresolved(groups: DataFrame, sets: DataFrame, classes: DataFrame, roots: DataFrame, tested: DataFrame, depth: int, scratch: Scratch) -> tuple[DataFrame, DataFrame] | None:
-    """Untested pairs inside groups (part, name) of several components, and the groups to look at after them.
+def _linking(rows: np.ndarray, columns: np.ndarray, fits: np.ndarray, label: np.ndarray, of: np.ndarray, last: bool) -> Iterator[tuple[int, int]]:
+    """Of the pairs that fit, those that join two sets of components not joined yet; ``label`` is kept up to date."""
+    for x, r in enumerate(rows.tolist()):
+        near = columns[fits[x]]
+        if last:
+            near = near[::-1]
+        there = label[of[near]]
+        other = there != label[of[r]]
+        if other.any():
+            joined, first = np.unique(there[other], return_index=True)
+            yield from ((r, c) for c in near[other][first].tolist())
+            label[np.isin(label, joined)] = label[of[r]]
 
-    A group of up to SMALL classes lists its pairs. In a larger one, similar classes share further parts:
-    it is split by each further part of its classes, the splits are paired by a star and looked at again.
-    Only groups that still are large when they share DEPTH parts list their pairs. None when nothing is left.
+
+def _comparer(mode: str):
+    """Rows (part, i, j, block, name, root, n, dense) in order of (part, i, j): the pairs of a cell whose sketches allow similarity 0.8.
+
+    A cell is a block against itself or two blocks against each other; a cell may go on in the next batch. With mode
+    `first` or `last` a cell gives a spanning forest of its components only, which is no more rows than it has read.
+    """
+    share, of = THRESHOLD
+
+    def cell(held: list[list[np.ndarray]], at: tuple) -> pa.RecordBatch | None:
+        block, name, root, n, dense = (np.concatenate([h[i] for h in held]) for i in range(5))
+        rows = np.flatnonzero(block == at[1])
+        columns = rows if at[1] == at[2] else np.flatnonzero(block == at[2])
+        found: list[np.ndarray] = []
+        kinds, kind_of = np.unique(root, return_inverse=True)
+        label = np.arange(len(kinds))
+        for first in range(0, len(rows), 64):
+            r = rows[first : first + 64]
+            differ = np.zeros((len(r), len(columns)), np.int64)
+            for k in range(DENSE):
+                differ += np.bitwise_count(dense[r, k][:, None] ^ dense[columns, k][None, :])
+            small, large = np.minimum.outer(n[r], n[columns]), np.maximum.outer(n[r], n[columns])
+            fits = (differ * (of + share) <= (of - share) * (small + large)) & (small * of >= large * share) & (root[r][:, None] != root[columns][None, :])
+            if mode == "all":
+                x, y = np.nonzero(fits)
+                found.append(np.column_stack([name[r[x]], name[columns[y]]]))
+            else:
+                found += [np.array([[name[x], name[y]]]) for x, y in _linking(r, columns, fits, label, kind_of, mode == "last")]
+        pairs = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), np.int64)
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hub", "name"]) if len(pairs) else None
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        at: tuple | None = None
+        for batch in batches:
+            part, i, j, block, name, root, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(7))
+            dense = batch.column(7).flatten().to_numpy(zero_copy_only=False).view(U).reshape(-1, DENSE)
+            cuts = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))).tolist() if len(part) else []
+            for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+                here = (part[a], i[a], j[a])
+                if held and here != at:
+                    if (out := cell(held, at)) is not None:
+                        yield out
+                    held = []
+                at = here
+                held.append([block[a:b], name[a:b], root[a:b], n[a:b], dense[a:b]])
+        if held and (out := cell(held, at)) is not None:
+            yield out
+
+    return compare
+
+
+def between_components(met: DataFrame, classes: DataFrame, roots: DataFrame, mode: str, scratch: Scratch) -> DataFrame:
+    """(hub, name): pairs of classes that share a part, are in different components and have sketches that allow similarity 0.8.
+
+    Parts within one component are done. A part of more than BLOCK classes is cut into blocks, and each
+    class goes to one cell for each block, where it meets BLOCK others. Rows are a class's sketch, not its text.
+    Modes `first` and `last` give spanning forests, `all` gives every such pair.
     """
-    root_of = classes.select("name", "cls").join(roots, "cls", "left").groupBy("name").agg(F.min(F.coalesce("root", "cls")).alias("root"))
-    members = groups.join(root_of, "name")
+    part_of = met.select("part", F.col("hub").alias("name")).union(met.select("part", "name")).distinct()
+    root_of = scratch.save(classes.join(roots, "cls", "left").groupBy("name").agg(F.min(F.xxhash64(F.coalesce("root", "cls"))).alias("root")))
+    members = part_of.join(root_of, "name")
     mixed = members.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi and members > 2")
-    members = scratch.save(members.join(mixed.select("part", "members"), "part"))
-    small = members.filter(F.lit(depth >= DEPTH) | (F.col("members") <= SMALL))
-    other = small.select("part", F.col("name").alias("hub"), F.col("root").alias("hub_root"))
-    pairs = small.join(other, "part").filter("hub < name and hub_root <> root").select("hub", "name")
-    large = members.filter("false" if depth >= DEPTH else f"members > {SMALL}")
-    further = large.join(sets.select("name", "keys").dropDuplicates(["name"]), "name").select("part", "name", F.explode("keys").alias("key")).filter("key <> part")
-    further = scratch.save(further.select(F.xxhash64(F.least("part", "key"), F.greatest("part", "key")).alias("part"), "name").distinct())
-    stars = further.groupBy("part").agg(F.min("name").alias("hub")).join(further, "part").filter("hub <> name").select("hub", "name")
-    new = scratch.save(pairs.union(stars).distinct().join(tested, ["hub", "name"], "left_anti"))
-    if new.isEmpty() and further.isEmpty():
-        return None
-    return new, further
+    members = members.join(mixed.select("part", "members"), "part").withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    cells = members.select("part", "name", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("with"))
+    cells = cells.select("part", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "name", "root")
+    rows = cells.join(classes.select("name", "n", "dense"), "name").select("part", "i", "j", "block", "name", "root", "n", "dense")
+    return rows.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(_comparer(mode), "hub long, name long").distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
