@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.model import CodeGraph, read_table
-from weftgraph.operators import change, context, policy, reliability, resolution, workspace
+from weftgraph.operators import change, context, evaluation, policy, reliability, resolution, workspace
 from weftgraph.plans.graph_queries import graph_of, only, with_graph
 from weftgraph.session import ship
 
@@ -134,7 +134,33 @@ def queries() -> dict:
         docs = read_table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("content_hash"), "doc_id")
         return change.repository_status(docs.filter("doc_id % 10 <> 0").select("path", "content_hash"), docs.filter("doc_id % 7 <> 0").select("path", F.when(F.col("doc_id") % 11 == 0, F.lit("other")).otherwise(F.col("content_hash")).alias("content_hash")))
 
+    def coverage(s: SparkSession, d: str) -> DataFrame:
+        ship(s)
+        e = read_table(s, d, "events").select("event_type", *[(F.col("event_id") % (i + 2)).alias(c) for i, c in enumerate(reliability.COUNTERS)], (F.col("event_id") % 997 == 0).alias("may_be_incomplete"))
+        return reliability.merge_coverage(e, "event_type")
+
+    def evidence(s: SparkSession, d: str) -> DataFrame:
+        g = graph_of(s, d)
+        rows = g.edges.filter("type = 'implements'").select(F.col("from_id").alias("key"), F.substring("to_id", -1, 1).alias("value"), F.col("to_id").alias("node_id"))
+        return workspace.accepted_evidence(rows, g.symbols.filter("id like '%1' or id like '%12' or id like '%2'"))
+
+    def entries(s: SparkSession, d: str) -> DataFrame:
+        ship(s)
+        o = read_table(s, d, "orders")
+        e = o.select(F.lit("nest").alias("framework"), F.when(F.col("o_orderkey") % 2 == 0, "route").when(F.col("o_orderkey") % 3 == 0, "scheduled_job").otherwise("component").alias("kind"), F.col("o_orderkey").cast("string").alias("logical_key"), "o_orderkey", "o_custkey")
+        bound = e.filter("o_orderkey % 4 = 0").select("framework", "kind", "logical_key", F.lit("controller_route").alias("relation_kind"), F.explode(F.array(F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 8 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).cast("string"))).alias("node_id"))
+        return workspace.list_entries(e, bound, kind="route")
+
+    def comparison(s: SparkSession, d: str) -> DataFrame:
+        ship(s)
+        o = read_table(s, d, "orders").groupBy(F.concat(F.when(F.col("o_custkey") % 2 == 0, "hit_").otherwise("tokens_"), "o_orderpriority").alias("metric"))
+        return evaluation.against_policy(o.agg(F.sum(F.col("o_orderkey") % 10).alias("value")), o.agg(F.sum(F.col("o_orderkey") % 9).alias("value")).filter("metric not like '%URGENT'"))
+
     return {
+        "coverage_merge": coverage,
+        "accepted_evidence": evidence,
+        "list_entries": entries,
+        "policy_comparison": comparison,
         "changed_symbols": changed,
         "change_summary": lambda s, d: change.change_summary(changed(s, d)),
         "unmapped_hunks": lambda s, d: change.unmapped_hunks(graph_of(s, d).symbols, graph_of(s, d).symbols, changed_files(s, d), hunks(s, d)),
@@ -224,11 +250,40 @@ def oracle_sql() -> dict[str, str]:
             case gf when 'region0' then 'high' when 'region2' then 'medium' else 'low' end as severity, case gf when 'region0' then 'no-0-1' when 'region2' then 'no-2-3' else 'no-4-0' end as rule_id, from_key || ' imports ' || to_key as detail
             from e where (gf, gt) in (('region0', 'region1'), ('region2', 'region3'), ('region4', 'region0'))""", more=pol),
         "reliability": f"""
-            with c as (select user_id as scope_key, event_id % 11 as output_key, (event_id % 37 % 5)::int as o, event_id % 13 <> 0 as complete, event_id % 17 = 0 as stale, event_type <> 'error' as ap, event_type <> 'view' as su, value > 1 as at from events),
-            p as (select scope_key, output_key, max(o) as o, bool_and(complete and not stale) as complete, bool_or(stale) as stale, count(*) filter (ap) as ap, count(*) filter (su) as su, count(*) filter (at) as at_ from c group by all),
-            s as (select scope_key, max(o) as o, bool_and(complete) as complete, bool_or(stale) as stale, sum(ap)::bigint as applicable, sum(su)::bigint as supported, sum(at_)::bigint as attempted,
+            with c as (select user_id as scope_key, event_id % 11 as output_key, (event_id % 37 % 5)::int as o, event_id % 13 <> 0 as complete, event_id % 17 = 0 as stale, event_type <> 'error' as ap, event_type <> 'view' as su, value > 1 as tried from events),
+            p as (select scope_key, output_key, max(o) as o, bool_and(complete and not stale) as complete, bool_or(stale) as stale, count(*) filter (ap) as ap, count(*) filter (su) as su, count(*) filter (tried) as tried_ from c group by all),
+            s as (select scope_key, max(o) as o, bool_and(complete) as complete, bool_or(stale) as stale, sum(ap)::bigint as applicable, sum(su)::bigint as supported, sum(tried_)::bigint as attempted,
                 count(*) filter (o = 0) as resolved, count(*) filter (o = 1) as unsupported, count(*) filter (o = 2) as unknown, count(*) filter (o = 3) as budget_exhausted, count(*) filter (o = 4) as ambiguous from p group by scope_key)
             select scope_key, ({outcomes})[o + 1] as outcome, complete, stale, complete and not stale and o = 0 as authoritative, complete and not stale and o = 0 as authoritative_negative, applicable, supported, attempted, resolved, unsupported, unknown, budget_exhausted, ambiguous from s""",
+        "coverage_merge": "select event_type, " + ", ".join(f"sum(event_id % {i + 2})::bigint as {c}" for i, c in enumerate(reliability.COUNTERS)) + ", bool_or(event_id % 997 = 0) as may_be_incomplete from events group by event_type",
+        "accepted_evidence": with_graph("""
+            , k as (select from_id as key, right(to_id, 1) as v, to_id like '%1' or to_id like '%12' or to_id like '%2' as known from edges where type = 'implements'),
+            n as (select key, count(distinct v) filter (known) as n, min(v) filter (known) as v from k group by key)
+            select key, case when n = 1 then v end as value, case when n = 1 then 'accepted' when n > 1 then 'conflict' else 'unresolved' end as state from n"""),
+        "list_entries": "select 'nest' as framework, 'route' as kind, o_orderkey::varchar as logical_key, case when o_orderkey % 8 = 0 then 2 when o_orderkey % 4 = 0 then 1 else 0 end::bigint as handlers, case when o_orderkey % 8 = 0 then 'ambiguous' when o_orderkey % 4 = 0 then 'bound' else 'unbound' end as state from orders where o_orderkey % 2 = 0",
+        "policy_comparison": """
+            with o as (select case when o_custkey % 2 = 0 then 'hit_' else 'tokens_' end || o_orderpriority as metric, sum(o_orderkey % 10)::bigint as value, sum(o_orderkey % 9)::bigint as base from orders group by 1)
+            select metric, value, case when metric not like '%URGENT' then base end as baseline, case when metric like '%URGENT' then true when metric like 'hit%' then value >= base else value <= base * 1.1 end as passed from o""",
+        "resolve_imports": """
+            with e as (select distinct 'src/a' || (user_id % 9) || '/x.ts' as file, case when event_id % 2 = 0 then './' else '../lib/' end || 'm' || (user_id % 60) || case when event_id % 3 = 0 then '.js' else '' end as specifier from events),
+            m as (select distinct user_id % 60 as m from events),
+            f as (select 'src/lib/m' || m || case when m % 2 = 0 then '.ts' when m % 3 = 0 then '/index.tsx' else '.css' end as file from m union all select 'src/a3/m' || m || '.jsx' from m where m % 5 = 0),
+            b as (select *, case when starts_with(specifier, './') then regexp_replace(file, 'x.ts$', '') || specifier[3:] else 'src/' || specifier[4:] end as base from e),
+            c as (select file, specifier, unnest(case when ends_with(base, '.js') then [rtrim_js || x for x in ['.ts', '.tsx', '.js', '.jsx']] else [base || x for x in ['.ts', '.tsx', '.js', '.jsx', '/index.ts', '/index.tsx', '/index.js', '/index.jsx']] end) as candidate,
+                unnest(range(case when ends_with(base, '.js') then 4 else 8 end)) as nth from (select *, regexp_replace(base, '[.]js$', '') as rtrim_js from b)),
+            t as (select c.file, c.specifier, arg_min(candidate, nth) as target from c join f on f.file = candidate group by all)
+            select file, specifier, target from e left join t using (file, specifier)""",
+        "plan_invalidation": with_graph("""
+            , f as (select file as path from symbols where type = 'file'),
+            gone as (select path from f where path like '%7' or path like '%8'), edited as (select path from f where path like '%03' ),
+            imp as (select distinct a.file as importer, b.file as imported from edges e join symbols a on a.id = from_id join symbols b on b.id = to_id where e.type = 'imports'),
+            r(path) as (select path from gone union select path from edited union select importer from imp join r on r.path = imported)
+            select path, case when path in (select path from gone) then 'removed' when path in (select path from edited) then 'parse' when path in (select path from r) then 'resolve' else 'reuse' end as action from f
+            union all select path || '-moved', 'renamed' from f where path like '%8'""", True),
+        "architecture_cycles": with_graph("""
+            , i as (select distinct a.file as a, b.file as b from edges e join symbols a on a.id = from_id join symbols b on b.id = to_id where e.type = 'imports'), r(a, b) as (select a, b from i union select r.a, i.b from r join i on i.a = r.b),
+            k as (select x.a as file, min(y.b) as component from r x join r y on y.a = x.a and exists (select 1 from r z where z.a = y.b and z.b = x.a) where x.a = x.b group by x.a)
+            select 'dependency_cycle' as finding, 'introduced' as status, 'policy_change' as cause, 'medium' as severity, null::varchar as rule_id, string_agg(file, ' ' order by file) as detail from k group by component""", True),
         "coverage_gaps": f"{gap} select list_position({gaps}, kind)::bigint as place, kind, sum(count)::bigint as count, count(distinct file) as files from gap where count > 0 group by kind",
         "merge_gaps": f"{gap} select kind, case when kind in ('not_indexed', 'stale_index') then least(sum(count), 1) else sum(count) end::bigint as count from gap group by kind",
         "verification_targets": f"{gap} select distinct file, '' as symbol_id, kind as reason from gap where count > 0 order by all limit 100",
