@@ -25,6 +25,35 @@ def normalize_task(task: str, anchors: list[str] = (), paths: list[str] = ()) ->
     return out | {"identity": hashlib.sha256(json.dumps(out, sort_keys=True, ensure_ascii=False).encode()).hexdigest()}
 
 
+def collect_candidates(symbols: DataFrame, lexical: DataFrame, semantic: DataFrame, request: dict) -> DataFrame:
+    """(subject, kind, rank, exact, tokens) evidence for a normalised request: anchors, changed paths, exact names in the task, search hits.
+
+    symbols: id, file, name, tokens. lexical and semantic: id, rank.
+    """
+    words = [w for w in request["task"].replace("`", " ").split() if len(w) > 2]
+    hit = lambda column, values, kind: symbols.filter(F.col(column).isin(*values) if values else F.lit(False)).select(F.col("id").alias("subject"), F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("rank"), F.lit(True).alias("exact"), F.col("tokens").cast("long").alias("tokens"))
+    out = hit("name", request["anchors"], "explicit_anchor").union(hit("file", request["anchors"], "explicit_anchor")).union(hit("file", request["paths"], "explicit_changed_path"))
+    exact = hit("name", words, "task_exact_resolution")
+    only = symbols.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("subject")).filter("n = 1")
+    out = out.union(exact.join(only.select("subject"), "subject", "left_semi").select(*out.columns))
+    for rows, kind in ((lexical, "lexical"), (semantic, "semantic")):
+        out = out.union(rows.join(symbols.select("id", "tokens"), "id").select(F.col("id").alias("subject"), F.lit(kind), F.col("rank").cast("long"), F.lit(False), F.col("tokens").cast("long")))
+    return out
+
+
+def enriched(evidence: DataFrame, edges: DataFrame, per_subject: int = 5) -> DataFrame:
+    """Evidence with up to ``per_subject`` direct neighbours of each required subject as graph evidence, in order of their ids."""
+    seeds = evidence.filter(F.col("kind").isin(*REQUIRED)).select("subject").distinct()
+    both = edges.select(F.col("from_id").alias("subject"), F.col("to_id").alias("other")).union(edges.select(F.col("to_id"), F.col("from_id")))
+    near = both.join(seeds, "subject", "left_semi").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("subject").orderBy("other"))).filter(F.col("rank") <= per_subject)
+    return evidence.union(near.select(F.col("other").alias("subject"), F.lit("graph").alias("kind"), F.col("rank").cast("long").alias("rank"), F.lit(False).alias("exact"), F.lit(None).cast("long").alias("tokens")))
+
+
+def compile_context(evidence: DataFrame, max_items: int = ITEMS, max_tokens: int = TOKENS) -> DataFrame:
+    """The whole plan: evidence merged, ranked and cut to the budget."""
+    return budgeted(ranked(merge_candidates(evidence)), max_items, max_tokens)
+
+
 def merge_candidates(evidence: DataFrame) -> DataFrame:
     """(subject, kind, rank, exact, tokens) rows into one per subject: kinds, pieces, least rank by kind, exact, tokens."""
     per = evidence.groupBy("subject", "kind").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("pieces"), F.bool_or("exact").alias("exact"), F.max("tokens").alias("tokens"))
