@@ -96,8 +96,8 @@ STAR_SQL = """
             from orders join customer on c_custkey = o_custkey join nation_file on n_nationkey = c_nationkey
         union all select 'interface:part/' || lpad(p_partkey::varchar, 10, '0'), 'interface', lower(p_name), 'part.' || lpad(p_partkey::varchar, 10, '0'), 'part/' || lower(p_brand) from part),
     lined as (select *, case when type <> 'file' then 10 * row_number() over (partition by file order by id) end::int as start_line from plain),
-    symbols as (select *, (start_line + 7)::int as end_line, file || ':' || type || ':' || coalesce(qualified_name, name) || ':' || id as node_key from lined),
-    edges as (
+    symbols as materialized (select *, (start_line + 7)::int as end_line, file || ':' || type || ':' || coalesce(qualified_name, name) || ':' || id as node_key from lined),
+    edges as materialized (
         select file_id as from_id, id as to_id, 'contains' as type from plain join files using (file) where id <> file_id
         union all select 'function:customer/' || lpad(o_custkey::varchar, 10, '0'), 'method:orders/' || lpad(o_orderkey::varchar, 10, '0'), 'calls' from orders
         union all select distinct 'method:orders/' || lpad(l_orderkey::varchar, 10, '0'), 'interface:part/' || lpad(l_partkey::varchar, 10, '0'), 'calls' from lineitem

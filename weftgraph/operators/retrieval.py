@@ -96,7 +96,7 @@ def lexical_search(documents: DataFrame, query: str, limit: int = 20, file_prefi
 def logical_targets(rows: DataFrame) -> DataFrame:
     """Islands of overlapping line ranges of one file and symbol: file, symbol_name, island, start_line, end_line, chunks."""
     key = ["file", "symbol_name", "qualified_name", "symbol_type"]
-    order = Window.partitionBy(*key).orderBy("start_line", F.desc("end_line"))
+    order = Window.partitionBy(*key).orderBy("start_line", F.desc("end_line"), "document_id")
     before = F.max("end_line").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(before.isNull() | (F.col("start_line") > before), 1).otherwise(0)
     rows = rows.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -135,7 +135,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    area_edges = f", member as (select id, {AREA} as area, file, type, node_key from symbols), placed as (select e.*, a.area as source, b.area as target from edges e join member a on a.id = from_id join member b on b.id = to_id)"
+    area_edges = f", member as materialized (select id, {AREA} as area, file, type, node_key from symbols), placed as materialized (select e.*, a.area as source, b.area as target from edges e join member a on a.id = from_id join member b on b.id = to_id)"
     degrees = """
         , arch as (select e.*, a.file as from_file, b.file as to_file from edges e join symbols a on a.id = from_id join symbols b on b.id = to_id where e.type <> 'contains'),
         ends as (

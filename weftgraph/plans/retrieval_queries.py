@@ -115,9 +115,9 @@ def oracle_sql() -> dict[str, str]:
                 round(coalesce(1 / min(rank) filter (relevant and rank <= 5), 0.0), 9) as mrr_5, round(count(*) filter (relevant and rank <= 5) / any_value(total), 9) as recall_5, round(count(*) filter (relevant and rank <= 10) / any_value(total), 9) as recall_10,
                 round(count(*) filter (relevant and rank <= 5) / count(*) filter (rank <= 5), 9) as precision_5, round(count(*) filter (not relevant and rank <= 5) / count(*) filter (rank <= 5), 9) as noise_5, 1.0::double as judged_5 from r, t""",
         "logical_targets": f"""
-            with {_DOCS}, d as (select file, symbol_name, document_id::int % 50 as start_line, document_id::int % 50 + end_line as end_line from docs),
-            f as (select *, case when start_line > max(end_line) over w or max(end_line) over w is null then 1 else 0 end as fresh from d window w as (partition by file, symbol_name order by start_line, end_line desc rows between unbounded preceding and 1 preceding)),
-            i as (select *, sum(fresh) over (partition by file, symbol_name order by start_line, end_line desc rows unbounded preceding) as island from f)
+            with {_DOCS}, d as (select file, symbol_name, document_id, document_id::int % 50 as start_line, document_id::int % 50 + end_line as end_line from docs),
+            f as (select *, case when start_line > max(end_line) over w or max(end_line) over w is null then 1 else 0 end as fresh from d window w as (partition by file, symbol_name order by start_line, end_line desc, document_id rows between unbounded preceding and 1 preceding)),
+            i as (select *, sum(fresh) over (partition by file, symbol_name order by start_line, end_line desc, document_id rows unbounded preceding) as island from f)
             select file, symbol_name, min(start_line) as start_line, max(end_line) as end_line, count(*) as chunks from i group by file, symbol_name, island""",
         "split_chunks": f"""
             with {_DOCS}, l as (select document_id, string_split(replace(content, ' ', chr(10)), chr(10)) as l from docs),
