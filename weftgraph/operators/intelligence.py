@@ -74,7 +74,8 @@ def hub_threshold(stats: DataFrame, fraction: float = 0.95) -> DataFrame:
 def importance(graph: CodeGraph, limit: int = 50, include_files: bool = False) -> DataFrame:
     """rank, id, score, noise_penalty of the most important symbols: log-normalised signals, weighted, by kind, less for noise."""
     nodes = graph.symbols if include_files else graph.symbols.filter("type <> 'file'")
-    stats = nodes.select("id", "type", "name", "file", "node_key").join(degree_stats(graph), "id")
+    # The statistics are read three times: for the maxima, the threshold and the scores.
+    stats = Scratch(graph.edges.sparkSession, "importance").save(nodes.select("id", "type", "name", "file", "node_key").join(degree_stats(graph), "id"))
     most = stats.agg(*[F.max(s).alias(f"max_{s}") for s in SIGNALS]).crossJoin(hub_threshold(stats))
     rows = stats.crossJoin(F.broadcast(most))  # one row
     signal = sum((F.when((F.col(f"max_{s}") > 0) & (F.col(s) > 0), F.log1p(s) / F.log1p(f"max_{s}")).otherwise(0.0) * w for s, w in SIGNALS.items()), F.lit(0.0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.model import STAR_SQL, CodeGraph, star_graph
 from weftgraph.operators import intelligence, relations, resolve, traverse
-from weftgraph.session import ship
+from weftgraph.session import Scratch, ship
 
 PART = "interface:part/0000000001"
 NATION = "file:nation/0000000003"
@@ -15,9 +15,17 @@ CUSTOMER = "function:customer/0000000007"
 NATION_PATH = "region/%/nation/0000000003"
 
 
+_INDEXED: dict[tuple[str, str], CodeGraph] = {}
+
+
 def graph_of(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    """The graph of a folder, indexed once a session: its symbols and edges are written as tables that queries then read."""
     ship(spark)
-    return star_graph(spark, sf_dir)
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _INDEXED:
+        graph, scratch = star_graph(spark, sf_dir), Scratch(spark, "graph")
+        _INDEXED[at] = CodeGraph(scratch.save(graph.symbols), scratch.save(graph.edges))
+    return _INDEXED[at]
 
 
 def with_graph(sql: str, recursive: bool = False, more: str = "") -> str:
