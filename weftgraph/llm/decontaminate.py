@@ -24,7 +24,7 @@ from weftgraph.session import Scratch
 
 WINDOW = 13
 #: Words of a shard; a longer document is a shard of its own.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Bytes of benchmark text that are searched in one pass over the documents.
 BLOCK_BYTES = 2_000_000
 #: Ids of contaminated documents that may be broadcast (8 MB); more of them are joined by a shuffle.
