@@ -56,8 +56,18 @@ PATTERN = re.compile(
     """,
     re.VERBOSE,
 )
-#: A text without any of these holds no entity.
-HINT = re.compile(rf"[@\d]|(?i:password|passwd|pwd|secret|token|key)|(?<!\w)(?:{'|'.join(sorted([*_TITLE, *_GENDER], key=len, reverse=True))})(?!\w)")
+_NUMERIC = re.compile(r"[@\d]")
+_SECRETS = ("password", "passwd", "pwd", "secret", "token", "key")
+_CAPITALISED = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+")
+_NAMED = frozenset([*_TITLE, *_GENDER])
+
+
+def hinted(text: str) -> bool:
+    """Whether a text may hold an entity: a digit or @, a secret's label, or a known title or given name."""
+    if _NUMERIC.search(text):
+        return True
+    low = text.lower()
+    return any(word in low for word in _SECRETS) or not _NAMED.isdisjoint(_CAPITALISED.findall(text))
 
 
 def luhn(digits: str) -> bool:
@@ -138,7 +148,7 @@ def _script(word: str) -> str:
 
 def detect(text: str) -> Iterator[tuple[int, int, str, str]]:
     """Spans with the kind and the normal form of their entity, from left to right."""
-    if not HINT.search(text):
+    if not hinted(text):
         return
     for m in PATTERN.finditer(text):
         kind = m.lastgroup
