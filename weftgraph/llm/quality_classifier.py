@@ -2,7 +2,9 @@
 
 Each class has its mean and a covariance shrunk towards its diagonal and towards the pooled
 covariance. A score is the logistic of the difference of the classes' log densities, which
-come from Mahalanobis distances through Cholesky factors that are computed once.
+come from Mahalanobis distances through Cholesky factors that are computed once. Slope and
+intercept of the logistic are fitted on at most SAMPLE labelled rows, since densities of real
+statistics aren't quite Gaussian.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ FEATURES = ("log_words", "mean_word", "symbols", "upper", "digits", "exclaim", "
 _AT = {name: i for i, name in enumerate(COUNTS)}
 #: The statistics read as fractions are taken to this power, which spreads small ones.
 POWER = 0.5
+#: Labelled rows that slope and intercept are fitted on at most, the first by a hash of doc_id.
+SAMPLE = 20_000
+#: Log-density differences beyond this count as this.
+FAR = 40.0
 
 
 def transform(counts: np.ndarray) -> np.ndarray:
@@ -44,19 +50,37 @@ class Quadratic:
     constants: list[float]
     means: list[np.ndarray]
     inverses: list[np.ndarray]
-    slope: float
+    slope: float = 1.0
+    intercept: float = 0.0
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def difference(self, x: np.ndarray) -> np.ndarray:
+        """Log density of class 1 less that of class 0."""
         logs = [c - 0.5 * (((x - m) @ inverse.T) ** 2).sum(axis=1) for c, m, inverse in zip(self.constants, self.means, self.inverses, strict=True)]
-        return 1 / (1 + np.exp(-np.clip(self.slope * (logs[1] - logs[0]), -40, 40)))
-
+        return np.clip(logs[1] - logs[0], -FAR, FAR)
 
-def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrink: float = 0.1, pool: float = 0.1, slope: float = 0.5) -> Quadratic:
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * self.difference(x) + self.intercept)))
+
+    def calibrate(self, x: np.ndarray, label: np.ndarray, penalty: float = 1e-2) -> None:
+        """Slope and intercept by Newton steps of penalised logistic regression; rows of one label leave them alone."""
+        if len(set(label.tolist())) < 2:
+            return
+        d = np.column_stack([self.difference(x), np.ones(len(x))])
+        b = np.array([0.5, 0.0])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(d @ b, -30, 30)))
+            gradient = d.T @ (label - p) - penalty * (b - [0.5, 0.0])
+            b = b + np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + penalty * np.eye(2), gradient) * 0.5
+        if np.isfinite(b).all() and b[0] > 0:
+            self.slope, self.intercept = float(b[0]), float(b[1])
+
+
+def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrink: float = 0.1, pool: float = 0.7) -> Quadratic:
     """From each class's count, sum and sum of outer products. A class without rows gets the other's shape and no prior."""
     d = len(FEATURES)
     total = sum(m[0] for m in moments.values())
     if not total:
-        return Quadratic([0.0, 0.0], [np.zeros(d)] * 2, [np.eye(d)] * 2, slope)
+        return Quadratic([0.0, 0.0], [np.zeros(d)] * 2, [np.eye(d)] * 2)
     covariances, means = {}, {}
     for k, (n, s, ss) in moments.items():
         means[k] = s / n
@@ -72,7 +96,7 @@ def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrink: float
         inverses.append(np.linalg.inv(factor))
         centres.append(means.get(k, np.mean(list(means.values()), axis=0)))
         constants.append(float(np.log((moments[k][0] if k in moments else 0) / total + 1e-6) - np.log(np.diag(factor)).sum()))
-    return Quadratic(constants, centres, inverses, slope)
+    return Quadratic(constants, centres, inverses)
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,5 +149,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
     statistics = scratch.save(text_statistics(docs))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter("label in (0, 1)").filter(~held_out(3, 1))
     model = fit(class_moments(statistics, marked))
+    few = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SAMPLE)
+    table = statistics.join(few, "doc_id").select("label", *COUNTS).limit(2 * SAMPLE).toPandas()
+    if len(table):
+        model.calibrate(transform(table[list(COUNTS)].to_numpy()), table.label.to_numpy(float))
     scored = statistics.select("doc_id", *COUNTS).mapInArrow(_scorer(model), "doc_id long, score double")
     return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
