@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -57,17 +60,33 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[0]
 
 
+_LEFT: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Removes what this application wrote to the shared folder, while its JVM is still there."""
+    for spark, base in _LEFT:
+        with contextlib.suppress(Exception):
+            path = spark._jvm.org.apache.hadoop.fs.Path(base)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in _FALLBACK:
+        shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
+
+
 class Scratch:
     """Intermediate tables written to the shared folder.
 
     A written table cuts lineage and survives the loss of executors, which cached
-    blocks and local checkpoints don't. ``drop`` removes tables that no later plan reads.
+    blocks and local checkpoints don't. ``drop`` removes tables that no later plan reads;
+    the rest goes when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, label: str = "scratch"):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._count = 0
+        _LEFT.append((spark, self.base))
         ship(spark)
 
     def save(self, df: DataFrame) -> DataFrame:
