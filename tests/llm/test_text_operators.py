@@ -111,6 +111,25 @@ def test_ngram_join_pairs_large_groups_across_components(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == brute_components(data)
 
 
+def brute_links(data):
+    """For each row with how many other sets its own is similar, over rows with a doc_id."""
+    kinds = {frozenset(shingles(t)) for d, t in data if d is not None} - {frozenset()}
+    links = {a: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in kinds) for a in kinds}
+    return sorted(((d, links.get(frozenset(shingles(t)), 0)) for d, t in data), key=str)
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_ngram_join_counts_every_link(spark, docs, monkeypatch, block):
+    """Near copies of one text in one part or several, a chain whose ends aren't similar, and the odd rows."""
+    monkeypatch.setattr(ngram_join, "COUNT_BLOCK", block)
+    base = prose(21, 300).split()
+    data = [(i, " ".join([*base[: 5 * i], f"copy{i}", *base[5 * i + 1 :]])) for i in range(40)]
+    data += [(100 + i, " ".join(f"c{j}" for j in range(4 * i, 4 * i + 100))) for i in range(12)]
+    for rows_, table in ((data, spark.createDataFrame(data, "doc_id long, text string")), ([(r[0], r[1]) for r in rows()], docs)):
+        got = ngram_join.similarity_components(table).select("doc_id", "n_links").collect()
+        assert sorted((tuple(r) for r in got if r[0] is not None), key=str) == [x for x in brute_links(rows_) if x[0] is not None]
+
+
 def test_ngram_join_of_nothing(nothing):
     assert ngram_join.similarity_components(nothing).collect() == []
     assert ngram_join.one_of_each(nothing).collect() == []

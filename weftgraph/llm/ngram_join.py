@@ -20,6 +20,10 @@ Equal sets form one class. Inside a shared part, classes are linked to the small
 (a star), never in all pairs. In parts whose classes are then still in different components,
 the dense sketches of all classes are compared with each other, block by block in tasks, and
 only pairs that pass leave the task.
+
+Stars and forests give the components, not every link. A link never leaves its component, so
+links are counted afterwards: the whole sets of a component are compared with each other, block
+by block in tasks, and one count for each class of a block leaves the task.
 """
 
 from __future__ import annotations
@@ -42,6 +46,11 @@ AGREE = 14.0
 DENSE = 16
 #: Classes of a part that one task compares with as many others.
 BLOCK = 1024
+#: Classes of a component, and their shingles, that one task compares with as many others to count links.
+COUNT_BLOCK = 512
+COUNT_SHINGLES = 1_000_000
+#: Shingles whose occurrences are multiplied at a time.
+SLAB = 4096
 #: Rows of a part that a map task combines before it passes them on.
 COMBINE = 400_000
 #: Texts that one verifying group compares with its hub.
@@ -308,11 +317,92 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return edges.select(F.col("u").alias("cls"), F.col("v").alias("root"))
 
 
-def similarity_components(docs: DataFrame) -> DataFrame:
+def links_within(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Whether each of the sets at ``rows`` is similar to each at ``columns``, exactly: shared shingles are counted by products of occurrence matrices."""
+    share, of = THRESHOLD
+    n = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), n)
+    kinds, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # A shingle of one set is shared with none.
+    number = np.cumsum(times > 1) - 1
+    kept = times[at] > 1
+    owner, at = owner[kept], number[at[kept]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((len(rows), len(columns)))
+    edges = np.searchsorted(at, np.arange(0, int(number[-1]) + 1 + SLAB, SLAB)) if len(kinds) else np.zeros(1, np.int64)
+    for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        if a < b:
+            occurs = np.zeros((len(sets), SLAB), np.float32)
+            occurs[owner[a:b], at[a:b] - k * SLAB] = 1
+            both += occurs[rows] @ occurs[columns].T
+    return of * both >= share * (n[rows][:, None] + n[columns][None, :] - both)
+
+
+_COUNTS = pa.schema([("cls", pa.binary()), ("n_links", pa.int64())])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (root, i, j, block, cls, text) in order of (root, i, j): for each class of a cell its links in the cell. A cell may go on in the next batch."""
+
+    def cell(held: dict[bytes, tuple[int, np.ndarray]], at: tuple) -> Iterator[tuple[bytes, int]]:
+        names, sets = list(held), [x for _, x in held.values()]
+        block = np.array([x for x, _ in held.values()])
+        rows = np.flatnonzero(block == at[1])
+        columns = np.flatnonzero(block == at[2])
+        if len(names) <= 4:
+            fits = np.array([[linked(sets[x], sets[y]) for y in columns] for x in rows], bool).reshape(len(rows), len(columns))
+        else:
+            fits = links_within(sets, rows, columns)
+        if at[1] == at[2]:
+            np.fill_diagonal(fits, False)
+        else:
+            yield from ((names[c], k) for c, k in zip(columns.tolist(), fits.sum(axis=0).tolist(), strict=True) if k)
+        yield from ((names[r], k) for r, k in zip(rows.tolist(), fits.sum(axis=1).tolist(), strict=True) if k)
+
+    held: dict[bytes, tuple[int, np.ndarray]] = {}
+    at: tuple | None = None
+    for batch in batches:
+        found: list[tuple[bytes, int]] = []
+        root, i, j, block, names = (batch.column(c).to_pylist() for c in range(5))
+        for first, texts in chunks(batch.column(5)):
+            for x, s in enumerate(shingle_sets(texts), first):
+                here = (root[x], i[x], j[x])
+                if here != at:
+                    found += cell(held, at) if held else ()
+                    at, held = here, {}
+                if digest(s) == names[x]:  # else another text of a doc_id that occurs more than once
+                    held[names[x]] = (block[x], s.copy())
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), pa.array([k for _, k in found], pa.int64())], schema=_COUNTS)
+    if held and (found := list(cell(held, at))):
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), pa.array([k for _, k in found], pa.int64())], schema=_COUNTS)
+
+
+def link_counts(members: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cls, n_links): with how many other classes of its component (cls, root) each class is similar.
+
+    A component of more than COUNT_BLOCK classes or COUNT_SHINGLES shingles is cut into blocks, and each text goes to one
+    cell for each block. No pair leaves its task.
+    """
+    rows = scratch.save(members.join(classes.select("cls", "doc_id", "n"), "cls"))
+    size = rows.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / COUNT_BLOCK), F.ceil(F.sum("n") / COUNT_SHINGLES)).cast("int").alias("blocks"))
+    placed = rows.join(size, "root").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    placed = placed.select("root", "cls", "doc_id", "block", "blocks")
+    if 4 * rows.count() <= BROADCAST_IDS:  # a row is four times an id
+        placed = F.broadcast(placed)
+    cells = texts.join(placed, "doc_id").select("root", "cls", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    cells = cells.select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "cls", "text")
+    counts = cells.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_count, "cls binary, n_links long")
+    return scratch.save(counts.groupBy("cls").agg(F.sum("n_links").alias("n_links")))
+
+
+def similarity_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
     """For each document its set size, its class and the smallest doc_id it is linked with.
 
-    Returns doc_id, n_shingles, class_id (hex; null for an empty set), class_rows, n_links
-    (links found from its class), component_id. Rows in any order, one for each row of ``docs``.
+    Returns doc_id, n_shingles, class_id (hex; null for an empty set), class_rows, n_links (other classes that
+    its class is similar to; null unless ``count_links``), component_id. Rows in any order, one for each row of ``docs``.
 
     Null text and texts without words: an empty set, linked with nothing, component_id = doc_id.
     Rows of equal sets, also of one doc_id, are one class. A row without doc_id never links
@@ -336,14 +426,20 @@ def similarity_components(docs: DataFrame) -> DataFrame:
             links = scratch.save(links.union(verified(across, classes, docs, scratch)).distinct())
             pairs = scratch.save(pairs.union(across))
             roots = components(links, scratch)
-    ends = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    found = classes.select("cls", "doc_id", "class_rows").join(roots, "cls", "left").join(ends, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    scratch.drop(met)
+    members = scratch.save(roots.union(roots.select(F.col("root").alias("cls"), "root").distinct()))
+    found = classes.select("cls", "doc_id", "class_rows").join(members, "cls", "left")
+    if count_links:
+        found = found.join(link_counts(members, classes, docs, scratch), "cls", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    else:
+        found = found.withColumn("n_links", F.lit(None).cast("long"))
     found = scratch.save(found)
-    lowest = found.filter("n_links > 0").groupBy("root").agg(F.min("doc_id").alias("lowest"))
+    lowest = found.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("lowest"))
     found = found.join(lowest, "root", "left").select("cls", "class_rows", "n_links", F.coalesce("lowest", "doc_id").alias("component_id"))
+    none = F.lit(0 if count_links else None).cast("long")
     return (
         sets.select("doc_id", "n", "cls").join(found, "cls", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.lower(F.hex("cls")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).alias("class_rows"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        .select("doc_id", F.col("n").alias("n_shingles"), F.lower(F.hex("cls")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).alias("class_rows"), F.coalesce("n_links", none).alias("n_links"),
                 F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     )
 
@@ -438,7 +534,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     A doc_id whose rows stay more than once keeps one row for each of its texts. Rows without doc_id stay.
     """
     scratch = Scratch(docs.sparkSession, "one-of-each")
-    found = scratch.save(similarity_components(docs).select("doc_id", "component_id"))
+    found = scratch.save(similarity_components(docs, count_links=False).select("doc_id", "component_id"))
     stay = scratch.save(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
     once = stay.filter("rows = 1").select(F.col("doc_id").alias("stay_id"))
     if stay.count() <= BROADCAST_IDS:
