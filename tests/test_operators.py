@@ -4,6 +4,7 @@ import subprocess
 
 import pytest
 
+from weftgraph.model import CodeGraph
 from weftgraph.operators import change, context, evaluation, policy, reliability, resolution, retrieval, workspace
 from weftgraph.sources import generations, git_changes, repository
 from weftgraph.streaming import sync
@@ -220,3 +221,12 @@ def test_generations_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(sync.FILE_VERSIONS).parquet(f"{tmp_path}/in")
     sync.sync_stream(stream, store, f"{tmp_path}/checkpoint").awaitTermination()
     assert sorted(r.path for r in store.read("files").collect()) == ["a", "c", "d"]
+
+
+def test_every_rename_counts(spark):
+    """More moved files than the 100,000 that were once read; each has one call."""
+    n = 100_500
+    ids = spark.range(n).selectExpr("cast(id as string) as id", "concat('old/', id, '.ts') as old_path", "concat('new/', id, '.ts') as path")
+    side = lambda path: CodeGraph(ids.selectExpr("id", "'function' as type", "'f' as name", "cast(null as string) as qualified_name", f"{path} as file"), ids.selectExpr("id as from_id", "id as to_id", "'calls' as type"))
+    row = change.delta_summary(side("old_path"), side("path"), ids.select("old_path", "path")).first()
+    assert (row.added, row.removed, row.unchanged) == (0, 0, n)

@@ -104,7 +104,7 @@ def structural_edges(graph: CodeGraph, renames: DataFrame | None = None) -> Data
     """
     s = graph.symbols.select("id", "file", "type", F.coalesce("qualified_name", "name").alias("label"))
     if renames is not None:
-        s = s.join(F.broadcast(renames.limit(100_000).select(F.col("old_path").alias("file"), F.col("path").alias("new_file"))), "file", "left").withColumn("file", F.coalesce("new_file", "file"))
+        s = s.join(renames.select(F.col("old_path").alias("file"), F.col("path").alias("new_file")), "file", "left").withColumn("file", F.coalesce("new_file", "file"))
     key = F.when(F.col("type") == "file", F.concat(F.lit("file:"), "file")).otherwise(F.concat_ws(":", F.lit("symbol"), "file", "type", "label"))
     s = s.select("id", key.alias("key"), "file")
     end = lambda side: s.select(F.col("id").alias(f"{side}_id"), F.col("key").alias(f"{side}_key"), F.col("file").alias(f"{side}_file"))
