@@ -57,16 +57,17 @@ PATTERN = re.compile(
     re.VERBOSE,
 )
 _NUMERIC = re.compile(r"[@\d]")
+_KEYED = re.compile(r"A[KS]IA[A-Z0-9]{16}|gh[pousr]_|sk-|xox[abp]-|[0-9a-fA-F]{32}")
 _SECRETS = ("password", "passwd", "pwd", "secret", "token", "key")
 _CAPITALISED = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+")
 _NAMED = frozenset([*_TITLE, *_GENDER])
 
 
 def hinted(text: str) -> bool:
-    """Whether a text may hold an entity: a digit or @, a secret's label, or a known title or given name."""
-    if _NUMERIC.search(text):
+    """Whether a text may hold an entity: a digit or @, a key's prefix or a run of hex, a secret's label, or a known title or given name."""
+    if _NUMERIC.search(text) or _KEYED.search(text):
         return True
-    low = text.lower()
+    low = text.lower().replace("ſ", "s")  # which PATTERN takes for an s too
     return any(word in low for word in _SECRETS) or not _NAMED.isdisjoint(_CAPITALISED.findall(text))
 
 
