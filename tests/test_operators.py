@@ -230,3 +230,11 @@ def test_every_rename_counts(spark):
     side = lambda path: CodeGraph(ids.selectExpr("id", "'function' as type", "'f' as name", "cast(null as string) as qualified_name", f"{path} as file"), ids.selectExpr("id as from_id", "id as to_id", "'calls' as type"))
     row = change.delta_summary(side("old_path"), side("path"), ids.select("old_path", "path")).first()
     assert (row.added, row.removed, row.unchanged) == (0, 0, n)
+
+
+def test_context_budget_judges_every_subject(spark):
+    from weftgraph.plans import change_queries
+
+    sf = "/root/testdata/sf0.1"
+    rows = change_queries.queries()["task_context_budget"](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count() > 200

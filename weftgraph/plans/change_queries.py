@@ -189,7 +189,7 @@ def queries() -> dict:
         "workspace_package_links": lambda s, d: workspace.package_links(*packages(s, d)),
         "workspace_map": lambda s, d: workspace.workspace_map(by_region(graph_of(s, d)), by_region_edges(graph_of(s, d))),
         "task_context_ranking": lambda s, d: context_rows(s, d).withColumn("signal", F.round("signal", 9)),
-        "task_context_budget": lambda s, d: context.budgeted(context_rows(s, d).filter("rank <= 200")).select("rank", "subject", "included"),
+        "task_context_budget": lambda s, d: context.budgeted(context_rows(s, d)).select("rank", "subject", "included"),
     }
 
 
