@@ -238,3 +238,17 @@ def test_context_budget_judges_every_subject(spark):
     sf = "/root/testdata/sf0.1"
     rows = change_queries.queries()["task_context_budget"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count() > 200
+
+
+def test_whole_message_links_equal_their_sql(spark):
+    """Every odd order consumes."""
+    import duckdb
+    from weftgraph.plans import change_queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{sf}/orders.parquet'")
+    for name in ("message_links_whole", "workspace_message_links_whole"):
+        got = change_queries.queries()[name](spark, sf)
+        want = con.sql(change_queries.oracle_sql()[name])
+        assert sorted(map(tuple, got.collect())) == sorted(want.project(", ".join(got.columns)).fetchall()) != []

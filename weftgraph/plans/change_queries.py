@@ -73,12 +73,12 @@ def import_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return imports, lib.union(near)
 
 
-def messages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def messages(spark: SparkSession, sf_dir: str, consuming: str = "o_orderkey % 50 = 1") -> tuple[DataFrame, DataFrame]:
     ship(spark)
     o = read_table(spark, sf_dir, "orders")
     base = [F.concat(F.lit("repo"), (F.col("o_custkey") % 7).cast("string")).alias("repo"), F.col("o_orderkey").cast("string").alias("id"), F.lit("topic").alias("protocol_kind"), F.lit("literal").alias("destination_kind"), F.concat_ws("/", "o_orderpriority", (F.col("o_custkey") % 40).cast("string")).alias("destination"), F.lit("nest").alias("framework")]
     producers = o.filter("o_orderkey % 2 = 0").select(*base, F.lit("listener").alias("producer_kind"), (F.col("o_orderkey") % 10 != 0).alias("proven"))
-    consumers = o.filter("o_orderkey % 50 = 1").select(*base, F.lit("listener").alias("consumer_kind"))
+    consumers = o.filter(consuming).select(*base, F.lit("listener").alias("consumer_kind"))
     return producers, consumers
 
 
@@ -186,6 +186,8 @@ def queries() -> dict:
         "direct_owner": owners,
         "message_links": lambda s, d: workspace.message_links(*messages(s, d)),
         "workspace_message_links": lambda s, d: workspace.cross_message_links(*messages(s, d)),
+        "workspace_message_links_whole": lambda s, d: workspace.cross_message_links(*messages(s, d, "o_orderkey % 2 <> 0")),
+        "message_links_whole": lambda s, d: workspace.message_links(*messages(s, d, "o_orderkey % 2 <> 0")),
         "workspace_package_links": lambda s, d: workspace.package_links(*packages(s, d)),
         "workspace_map": lambda s, d: workspace.workspace_map(by_region(graph_of(s, d)), by_region_edges(graph_of(s, d))),
         "task_context_ranking": lambda s, d: context_rows(s, d).withColumn("signal", F.round("signal", 9)),
@@ -229,7 +231,12 @@ def oracle_sql() -> dict[str, str]:
     gap = f"with gap as (select ({gaps})[(event_id % 13 + 1)::int] as kind, event_id % 3 as count, event_type as file from events)"
     msg = """with o as (select 'repo' || (o_custkey % 7) as repo, o_orderkey as k, o_orderkey::varchar as id, o_orderpriority || '/' || (o_custkey % 40) as destination from orders),
         p as (select *, k % 10 <> 0 as proven from o where k % 2 = 0), c as (select * from o where k % 50 = 1)"""
-    return {
+    links = {
+        "message_links": f"{msg} select p.repo, p.id as producer, c.id as consumer, 'topic' as protocol_kind, 'literal' as destination_kind, p.destination, 'listener' as consumer_kind from p join c using (repo, destination) order by repo, producer, consumer limit 1000",
+        "workspace_message_links": f"""{msg}, n as (select destination, repo as there, count(*) as n from c group by all), j as (select p.repo, p.id as producer, p.proven, coalesce(sum(n) filter (there <> p.repo), 0)::bigint as matches from p left join n using (destination) group by all)
+            select repo, producer, matches, case when not proven then 'unknown' when matches = 0 then 'none' when matches = 1 then 'one' else 'many' end as cardinality from j""",
+    }
+    return {f"{k}_whole": v.replace("k % 50 = 1", "k % 2 <> 0") for k, v in links.items()} | {
         "changed_symbols": with_graph("select distinct id, file, 'modified' as change_kind from symbols join hunk on path = file and n > 0 and coalesce(start_line, end_line, 0) <= s + n - 1 and coalesce(end_line, start_line, 0) >= s", more=hunk),
         "change_summary": with_graph("select count(distinct file) as files, count(*) as modified, 0::bigint as added, 0::bigint as deleted from (select distinct id, file from symbols join hunk on path = file and n > 0 and coalesce(start_line, end_line, 0) <= s + n - 1 and coalesce(end_line, start_line, 0) >= s)", more=hunk),
         "unmapped_hunks": with_graph("select path, s as new_start from hunk where not exists (select 1 from symbols where path = file and n > 0 and coalesce(start_line, end_line, 0) <= s + n - 1 and coalesce(end_line, start_line, 0) >= s)", more=hunk),
