@@ -72,7 +72,8 @@ def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftgraph.llm.pii import pseudonymised
 
-    return pseudonymised(table(spark, sf_dir, "documents")).withColumn("kinds", F.array_join("kinds", ","))
+    key = spark.conf.get("spark.weftgraph.pii.key", None) or "a public key for trials"
+    return pseudonymised(table(spark, sf_dir, "documents"), key).withColumn("kinds", F.array_join("kinds", ","))
 
 
 def queries() -> dict:
