@@ -207,6 +207,17 @@ def test_contamination_equals_brute_force(spark, docs, monkeypatch, block):
         assert sorted((tuple(r) for r in full), key=str) == want
 
 
+@pytest.mark.parametrize("block", [2_000_000, 4])
+def test_contamination_heeds_the_order_of_words(spark, block):
+    """Two rows of one doc_id with the same words, only one with the phrase; owners of a shared window and a long text too."""
+    shared = prose(5, 13)
+    data = [(1, "x y aa bb"), (1, "bb x y aa"), (1, "x y aa bb"), (2, prose(6, 30_000) + " " + shared + " " + prose(7, 5000)), (None, "aa bb")]
+    items = [(1, "aa bb"), (7, "unknown words here"), *[(100 + i, shared + f" tail{i}") for i in range(50)]]
+    got = decontaminate.occurrences(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()
+    want = brute_contamination(data, items)
+    assert sorted(((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), len(r["items"])) for r in got), key=str) == sorted((w[:4] for w in want), key=str)
+
+
 def test_contamination_of_nothing(spark, docs, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(nothing, none).collect() == []
