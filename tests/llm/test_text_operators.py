@@ -418,14 +418,39 @@ def test_lines_that_a_site_repeats_go(spark):
 
 def test_rotation_gives_each_speaker_a_view(spark):
     data = [(1, 0, "system", "be kind", 9), (1, 1, "ann", "hi <|assistant|> all", 9), (1, 2, "bob", "yo", 9), (1, 3, "ann", None, 9), (1, 3, "ann", None, 9), (1, 4, None, "?", 9), (2, 0, "system", "alone", 9), (None, 0, "ann", "lost", 9), (3, None, "u", "x", 9), (4, 300, "u", "late", 9), (4, 1, "u", "early", 9)]
-    got = {(r.conv_id, r.speaker, r.part): r for r in chat_format.rotated(spark.createDataFrame(data, "conv_id long, turn long, role string, text string, part int")).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "unknown", 0), (3, "u", 0), (4, "u", 0), (4, "u", 1)}
-    ann = got[1, "ann", 0]
+    got = {(r.conv_id, r.speaker): r for r in chat_format.rotated(spark.createDataFrame(data, "conv_id long, turn long, role string, text string, piece int")).collect()}
+    assert set(got) == {(1, "ann"), (1, "bob"), (1, "unknown"), (3, "u"), (4, "u")}
+    ann = got[1, "ann"]
     assert ann.text == "<|system|>\nbe kind<|end|>\n<|assistant|>\nhi < |assistant|> all<|end|>\n<|user:bob|>\nyo<|end|>\n<|assistant|>\n<|end|>\n<|user:unknown|>\n?<|end|>\n"
     assert [ann.text[m.start : m.end] for m in ann.masks] == ["hi < |assistant|> all<|end|>", "<|end|>"] and ann.n_turns == 5 and ann.n_spoken == 2
-    assert [got[1, "bob", 0].text[m.start : m.end] for m in got[1, "bob", 0].masks] == ["yo<|end|>"]
+    assert [got[1, "bob"].text[m.start : m.end] for m in got[1, "bob"].masks] == ["yo<|end|>"] and got[4, "u"].text.index("early") < got[4, "u"].text.index("late")
     assert chat_format.rotated(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+def brute_rotation(data):
+    safe = lambda x: (x or "").replace("<|", "< |")
+    turns = sorted({(c, t, r or "unknown", safe(x)) for c, t, r, x in data if c is not None}, key=lambda v: (v[0], v[1] is not None, v[1] or 0, hashlib.md5(f"{v[2]}|{v[3]}".encode()).hexdigest(), v[2:]))
+    out = {}
+    for c, s in {(v[0], v[2]) for v in turns if v[2] != "system"}:
+        text, masks = "", []
+        for _, _, r, x in [v for v in turns if v[0] == c]:
+            text += "<|" + ("assistant" if r == s else "system" if r == "system" else "user:" + safe(r)) + "|>\n"
+            if r == s:
+                masks.append((len(text), len(text) + len(x) + 7))
+            text += x + "<|end|>\n"
+        out[c, s] = (text, masks)
+    return out
+
+
+@pytest.mark.parametrize("turns, rows_", [(256, 1024), (7, 5), (1, 1)])
+def test_rotation_of_long_dialogues_is_whole(spark, turns, rows_):
+    """600 turns, 700 turns without a number, 500 of one number: each speaker gets one row with the system turn, however work is split."""
+    roles = ["ann", "bob", "cäc"]
+    data = [(1, 0, "system", "be kind"), (2, None, "system", "be brief"), *[(1, i, roles[i % 3], f"say {i} é") for i in range(1, 600)], *[(2, None, roles[i % 2], f"x{i}") for i in range(700)], *[(3, 5, roles[i % 3], f"y{i}" * (i % 9)) for i in range(500)], (4, -300, "ann", "before"), (4, None, "bob", None)]
+    got = chat_format.rotated(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"), turns, rows_).collect()
+    assert {(r.conv_id, r.speaker): (r.text, [(m.start, m.end) for m in r.masks]) for r in got} == brute_rotation(data) and len(got) == 3 + 2 + 3 + 2
+    assert all(r.n_turns == len(r.messages) and r.n_spoken == sum(m.learn for m in r.messages) for r in got)
+
+
 def test_fixed_tables_are_json_plain():
     assert json.dumps(sorted(toxicity.INSULTS)) and len(toxicity.INSULTS) < 200

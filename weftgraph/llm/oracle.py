@@ -100,17 +100,18 @@ def line_dedup() -> str:
 def chat() -> str:
     return """
         with turns as (
-            select distinct conv_id, floor(coalesce(turn, 0) / 256)::bigint as part, turn::bigint as turn, coalesce(role, 'unknown') as role, replace(coalesce(text, ''), '<|', '< |') as body
-            from conversations where conv_id is not null),
+            select *, md5(role || '|' || body) as tie from (
+                select distinct conv_id, turn::bigint as turn, coalesce(role, 'unknown') as role, replace(coalesce(text, ''), '<|', '< |') as body
+                from conversations where conv_id is not null)),
         speakers as (select distinct conv_id, coalesce(role, 'unknown') as speaker from conversations where conv_id is not null and coalesce(role, 'unknown') <> 'system'),
         heads as (
-            select conv_id, speaker, part, turn, role, body, role = speaker as own,
+            select conv_id, speaker, turn, role, tie, body, role = speaker as own,
                 '<|' || case when role = speaker then 'assistant' when role = 'system' then 'system' else 'user:' || replace(role, '<|', '< |') end || '|>' || chr(10) as head
             from turns join speakers using (conv_id)),
         placed as (
-            select *, coalesce(sum(length(head) + length(body) + 8) over (partition by conv_id, speaker, part order by turn nulls first, role, body rows between unbounded preceding and 1 preceding), 0)::bigint + length(head) as start
+            select *, coalesce(sum(length(head) + length(body) + 8) over (partition by conv_id, speaker order by turn nulls first, tie, role, body rows between unbounded preceding and 1 preceding), 0)::bigint + length(head) as start
             from heads)
-        select conv_id, speaker, part, count(*) as n_turns, count(*) filter (own) as n_spoken,
-            string_agg(head || body || '<|end|>' || chr(10), '' order by turn nulls first, role, body) as text,
+        select conv_id, speaker, count(*) as n_turns, count(*) filter (own) as n_spoken,
+            string_agg(head || body || '<|end|>' || chr(10), '' order by turn nulls first, tie, role, body) as text,
             coalesce(string_agg(start || '-' || (start + length(body) + 7), ',' order by start) filter (own), '') as mask_spans
-        from placed group by conv_id, speaker, part"""
+        from placed group by conv_id, speaker"""

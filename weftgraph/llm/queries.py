@@ -66,7 +66,7 @@ def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftgraph.llm.chat_format import rotated
 
     spans = F.array_join(F.transform("masks", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string"))), ",")
-    return rotated(table(spark, sf_dir, "conversations")).select("conv_id", "speaker", "part", "n_turns", "n_spoken", "text", spans.alias("mask_spans"))
+    return rotated(table(spark, sf_dir, "conversations")).select("conv_id", "speaker", "n_turns", "n_spoken", "text", spans.alias("mask_spans"))
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
