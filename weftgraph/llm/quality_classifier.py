@@ -2,9 +2,10 @@
 
 Each class has its mean and a covariance shrunk towards its diagonal and towards the pooled
 covariance. A score is the logistic of the difference of the classes' log densities, which
-come from Mahalanobis distances through Cholesky factors that are computed once. Slope and
-intercept of the logistic are fitted on at most SAMPLE labelled rows, since densities of real
-statistics aren't quite Gaussian.
+come from Mahalanobis distances through Cholesky factors that are computed once. Densities of real
+statistics aren't quite Gaussian and their differences run to thousands, so the logistic is taken of
+asinh(difference / 2), which keeps their order and never saturates; its slope and intercept are fitted on
+at most SAMPLE labelled rows, and the two weights of shrinkage are chosen by cross-validation on these rows.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from weftgraph.session import Scratch
 
 FEATURES = ("log_words", "mean_word", "symbols", "upper", "digits", "exclaim", "stops", "marks", "words_per_line", "dup_lines", "repeats", "distinct", "longest")
 _AT = {name: i for i, name in enumerate(COUNTS)}
-#: The statistics read as fractions are taken to this power, which spreads small ones.
+#: The statistics read as fractions are taken to this power: the square root steadies the variance of a proportion.
 POWER = 0.5
-#: Labelled rows that slope and intercept are fitted on at most, the first by a hash of doc_id.
+#: Labelled rows that slope, intercept and the weights of shrinkage are fitted on at most, the first by a hash of doc_id.
 SAMPLE = 20_000
-#: Log-density differences beyond this count as this.
-FAR = 40.0
+#: Weights of the diagonal and of the pooled covariance to choose from, and the folds of cross-validation.
+SHRINK, POOL, FOLDS = (0.05, 0.2, 0.5), (0.1, 0.4, 0.7), 3
+#: Bounds of the slope.
+SLOPES = (0.05, 5.0)
 
 
 def transform(counts: np.ndarray) -> np.ndarray:
@@ -56,26 +59,46 @@ class Quadratic:
     def difference(self, x: np.ndarray) -> np.ndarray:
         """Log density of class 1 less that of class 0."""
         logs = [c - 0.5 * (((x - m) @ inverse.T) ** 2).sum(axis=1) for c, m, inverse in zip(self.constants, self.means, self.inverses, strict=True)]
-        return np.clip(logs[1] - logs[0], -FAR, FAR)
+        return logs[1] - logs[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * self.difference(x) + self.intercept)))
+        return 1 / (1 + np.exp(-(self.slope * np.arcsinh(self.difference(x) / 2) + self.intercept)))
 
-    def calibrate(self, x: np.ndarray, label: np.ndarray, penalty: float = 1e-2) -> None:
-        """Slope and intercept by Newton steps of penalised logistic regression; rows of one label leave them alone."""
-        if len(set(label.tolist())) < 2:
-            return
-        d = np.column_stack([self.difference(x), np.ones(len(x))])
-        b = np.array([0.5, 0.0])
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(d @ b, -30, 30)))
-            gradient = d.T @ (label - p) - penalty * (b - [0.5, 0.0])
-            b = b + np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + penalty * np.eye(2), gradient) * 0.5
-        if np.isfinite(b).all() and b[0] > 0:
-            self.slope, self.intercept = float(b[0]), float(b[1])
+    def loss(self, x: np.ndarray, label: np.ndarray) -> float:
+        p = np.clip(self.score(x), 1e-9, 1 - 1e-9)
+        return float(-(label * np.log(p) + (1 - label) * np.log(1 - p)).mean())
 
+    def calibrate(self, x: np.ndarray, label: np.ndarray) -> None:
+        """Slope and intercept by damped Newton steps of logistic regression; rows of one label leave them alone.
 
-def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrink: float = 0.1, pool: float = 0.7) -> Quadratic:
+        Targets are drawn in by one row of either label, so that the likelihood has a maximum for separable rows too.
+        """
+        good, bad = float((label == 1).sum()), float((label == 0).sum())
+        if not good or not bad:
+            return
+        target = np.where(label == 1, (good + 1) / (good + 2), 1 / (bad + 2))
+        d = np.column_stack([np.arcsinh(self.difference(x) / 2), np.ones(len(x))])
+
+        def cost(b: np.ndarray) -> float:
+            z = d @ b
+            return float((np.logaddexp(0, z) - target * z).sum())
+
+        b = np.array([1.0, 0.0])
+        now = cost(b)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-(d @ b)))
+            step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + 1e-9 * len(d) * np.eye(2), d.T @ (target - p))
+            size = 1.0
+            while size > 1e-6 and cost(b + size * step) > now:
+                size /= 2
+            after = cost(b + size * step)
+            if not after < now - 1e-9 * len(d):
+                break
+            b, now = b + size * step, after
+        self.slope, self.intercept = float(np.clip(b[0], *SLOPES)), float(b[1])
+
+
+def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrink: float, pool: float) -> Quadratic:
     """From each class's count, sum and sum of outer products. A class without rows gets the other's shape and no prior."""
     d = len(FEATURES)
     total = sum(m[0] for m in moments.values())
@@ -99,6 +122,27 @@ def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrink: float
     return Quadratic(constants, centres, inverses)
 
 
+def moments_of(x: np.ndarray, label: np.ndarray) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    return {k: (float(len(own)), own.sum(axis=0), own.T @ own) for k in (0, 1) if len(own := x[label == k])}
+
+
+def chosen(x: np.ndarray, label: np.ndarray, fold: np.ndarray) -> tuple[float, float]:
+    """The (shrink, pool) of the least loss on rows that the model hasn't seen; the first of the grid without rows to tell."""
+    losses = {}
+    for shrink in SHRINK:
+        for pool in POOL:
+            each = []
+            for f in range(FOLDS):
+                seen, new = fold != f, fold == f
+                if len(set(label[seen].tolist())) < 2 or not new.any():
+                    continue
+                model = fit(moments_of(x[seen], label[seen]), shrink, pool)
+                model.calibrate(x[seen], label[seen])
+                each.append(model.loss(x[new], label[new]))
+            losses[shrink, pool] = float(np.mean(each)) if each else 0.0
+    return min(losses, key=lambda k: (losses[k], k))
+
+
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and class: count, sums and sums of products, flattened."""
     sums: dict[int, np.ndarray] = {}
@@ -137,21 +181,22 @@ def _scorer(model: Quadratic):
     return score
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted of each document.
 
     Learns from all labelled rows that aren't held out (labels other than 0 and 1, null labels and null
     ids are left out; several labels of a document each count). Null and empty texts are scored by the
-    statistics of an empty text; without any label every score is 0.5. Texts are read once: statistics
-    are written, learned from and scored.
+    statistics of an empty text; without any label every score is 0.5. Repeated rows get equal scores, and repeated labelled
+    rows each count. Other columns are ignored, whatever their names; doc_id must be null or a whole number. Texts
+    are read once: statistics are written, learned from and scored. Means and covariances are those of all labelled rows; at
+    most ``sample`` of them, the first by a hash of doc_id, fit the four numbers that are left.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     statistics = scratch.save(text_statistics(docs))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter("label in (0, 1)").filter(~held_out(3, 1))
-    model = fit(class_moments(statistics, marked))
-    few = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SAMPLE)
-    table = statistics.join(few, "doc_id").select("label", *COUNTS).limit(2 * SAMPLE).toPandas()
-    if len(table):
-        model.calibrate(transform(table[list(COUNTS)].to_numpy()), table.label.to_numpy(float))
+    table = statistics.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", *COUNTS).limit(sample).select("label", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).alias("fold"), *COUNTS).toPandas()
+    x, label = transform(table[list(COUNTS)].to_numpy().reshape(len(table), len(COUNTS))), table.label.to_numpy(float)
+    model = fit(class_moments(statistics, marked), *chosen(x, label, table.fold.to_numpy()))
+    model.calibrate(x, label)
     scored = statistics.select("doc_id", *COUNTS).mapInArrow(_scorer(model), "doc_id long, score double")
     return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
