@@ -120,15 +120,16 @@ def verdict(rules: list[Rule]) -> Column:
 def learned(statistics: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """Rules from the statistics of at most ``sample`` labelled documents that pass the base rules.
 
-    Null ids and labels other than 0 and 1 are left out. Without labels there are no rules.
+    Null ids and labels other than 0 and 1 are left out; of repeated documents at most ``sample`` rows count, in the same
+    order. Without labels there are no rules. A list has at most 24 rules of 4 conditions.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null")
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     rows = statistics.filter(f"not ({BASE})").join(marked, "doc_id")
-    table = rows.select("doc_id", "quality", *[F.expr(f"cast({e} as double)").alias(k) for k, e in TESTS.items()], (F.pmod(F.xxhash64(F.lit("grow"), "doc_id"), F.lit(3)) > 0).alias("grow")).limit(2 * sample).toPandas()
+    table = rows.select("doc_id", "quality", *[F.expr(f"cast({e} as double)").alias(k) for k, e in TESTS.items()], (F.pmod(F.xxhash64(F.lit("grow"), "doc_id"), F.lit(3)) > 0).alias("grow"))
+    table = table.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *TESTS).limit(sample).toPandas()
     if table.empty:
         return []
-    table = table.sort_values(["doc_id", "quality"], kind="stable")
     return learn({k: table[k].to_numpy(float) for k in TESTS}, table.quality.to_numpy() == 0, table.grow.to_numpy(bool))
 
 
@@ -137,7 +138,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     base_failed: fewer than 10 words, or over 20 % of them in repeated 5-word windows (null and empty
     texts fail). kept: passes the base and no learned rule rejects it; rule is the number of the one
-    that does. Repeated rows get equal results. Texts are read once.
+    that does. Repeated rows get equal results; an empty table gives no rows. Other columns are ignored, whatever their
+    names; doc_id must be null or a whole number. Texts are read once.
     """
     scratch = Scratch(docs.sparkSession, "rules")
     statistics = scratch.save(text_statistics(docs))
@@ -153,20 +155,23 @@ def _beside(text_at: int):
         for batch in batches:
             for first, texts in chunks(batch.column(text_at)):
                 rows = text_counts(texts)
-                stats = pa.StructArray.from_arrays([pa.array(rows[:, i], pa.int64()) for i in range(len(COUNTS))], names=list(COUNTS))
                 part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, stats], names=[*part.schema.names, "__statistics"])
+                whole = pa.StructArray.from_arrays(part.columns, fields=list(part.schema))
+                yield pa.RecordBatch.from_arrays([whole, *[pa.array(rows[:, i], pa.int64()) for i in range(len(COUNTS))]], names=["document", *COUNTS])
 
     return count
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns they came with. They don't move: rules are learned from the labelled ones first, then all are judged where they are."""
+    """The documents that pass, with the columns they came with, whatever their names.
+
+    Null and empty texts fail the base rules and go; repeated rows go or stay together; an empty table gives no rows.
+    Documents don't move: rules are learned from the labelled ones first, then all are judged where they are.
+    """
     scratch = Scratch(docs.sparkSession, "rules")
     ids = labels.filter("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
     # At most SAMPLE ids.
-    statistics = scratch.save(text_statistics(docs.join(F.broadcast(ids), "doc_id", "left_semi")))
+    statistics = scratch.save(text_statistics(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")))
     rule = verdict(learned(statistics, labels))
-    schema = StructType([*docs.schema.fields, StructField("__statistics", _STATS)])
-    rows = docs.mapInArrow(_beside(docs.columns.index("text")), schema)
-    return rows.select(*docs.columns, "__statistics.*").filter(~F.expr(BASE) & (rule == 0)).select(*docs.columns)
+    rows = docs.mapInArrow(_beside(docs.columns.index("text")), StructType([StructField("document", docs.schema), *_STATS.fields]))
+    return rows.filter(~F.expr(BASE) & (rule == 0)).select("document.*")
