@@ -12,7 +12,7 @@ import pytest
 from weftgraph.llm import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sharding, toxicity
 from weftgraph.llm.fm_index import FMIndex, suffix_array
 from weftgraph.llm.statistics import COUNTS, text_counts
-from weftgraph.llm.tokens import LETTERS_LOWER, WORDS_LOWER, shingle_sets, word_hashes
+from weftgraph.llm.tokens import LETTERS_LOWER, WORDS_LOWER, beginning_hashes, shingle_sets, word_hashes
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, n long, cls string, slot int, label int, score double, host string"
 BLANK = r"[^\x20\x09-\x0D]+"
@@ -255,6 +255,8 @@ def test_judged_and_kept(docs, labels, nothing):
     for r in got:
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
         assert not (r.base_failed and r.kept)
+    clashing = docs.withColumnsRenamed({"n": "n_words", "cls": "document", "slot": "word_chars"})
+    assert quality_rules.kept_documents(clashing, labels).columns == clashing.columns
     kept = quality_rules.kept_documents(docs, labels)
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
     assert quality_rules.judged(nothing, labels).collect() == [] and quality_rules.kept_documents(nothing, labels.limit(0)).collect() == []
@@ -314,7 +316,34 @@ def test_quadratic_scores_are_log_density_differences():
         c = c + (1e-4 + 1e-3 * np.diag(pooled).mean()) * np.eye(d)
         e = x - s / n
         logs.append(np.log(n / 700) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", e, np.linalg.inv(c), e))
-    assert np.allclose(model.difference(x), np.clip(logs[1] - logs[0], -40, 40), atol=1e-4)
+    assert np.allclose(model.difference(x), logs[1] - logs[0], rtol=1e-6, atol=1e-4)
+
+
+def test_quadratic_scores_keep_the_order_of_differences():
+    """Also for labels that a line separates, where the slope has to stay finite."""
+    g = np.random.default_rng(6)
+    d = len(quality_classifier.FEATURES)
+    x = np.concatenate([g.normal(size=(3000, d)), g.normal(4.0, 3.0, size=(3000, d))])
+    label = np.repeat([0.0, 1.0], 3000)
+    fold = np.arange(6000) % quality_classifier.FOLDS
+    model = quality_classifier.fit(quality_classifier.moments_of(x, label), *quality_classifier.chosen(x, label, fold))
+    model.calibrate(x, label)
+    score, difference = model.score(x), model.difference(x)
+    assert 0.05 <= model.slope <= 5 and abs(model.intercept) < 20 and len(np.unique(score)) > 5900
+    assert (np.diff(score[np.argsort(difference)]) >= 0).all() and ((score >= 0.5) == (label == 1)).mean() > 0.99
+
+
+def test_quality_scores_take_many_values(spark):
+    d, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = [r.score for r in quality_classifier.quality_scores(d, marks).collect()]
+    assert len(set(got)) > 0.8 * len(set(r.text for r in d.collect())) and 0 < min(got) and max(got) < 1
+
+
+def test_beginnings_are_letters():
+    texts = ["Жаба жабами abcdef abc été étés".encode(), b"", "жаб".encode()]
+    four = beginning_hashes(texts, LETTERS_LOWER, (3,))[0]
+    assert four[2] != 0 and [bool(x) for x in four] == [True, True, True, False, False, True, False]
+    assert beginning_hashes(["жабы".encode()], LETTERS_LOWER, (3,))[0][0] == four[1] == beginning_hashes(["жабо".encode()], LETTERS_LOWER, (3,))[0][0] and four[0] != four[1]
 
 
 def test_isotonic_curve_rises():

@@ -59,8 +59,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def word_hashes(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of ``texts`` and, for each text, where its words begin (one entry more than texts)."""
+def _hashed(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The joined bytes, where words start and end in them, prefix sums and their scale, and where each text's words begin."""
     buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     mapped = table[buffer]
     inside = np.concatenate(([False], mapped != 0))
@@ -70,10 +70,26 @@ def word_hashes(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.n
     sums = np.empty(len(buffer) + 1, U)
     sums[0] = 0
     np.cumsum(_TABLE[mapped] * up, out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * _LANES[15]
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
-    return mix(raw), bounds
+    return buffer, starts, ends, sums, down, np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
+
+
+def word_hashes(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of ``texts`` and, for each text, where its words begin (one entry more than texts)."""
+    _, starts, ends, sums, down, bounds = _hashed(texts, table)
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * _LANES[15]), bounds
+
+
+def beginning_hashes(texts: list[bytes], table: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]:
+    """For each width the hashes of the words' first ``width`` letters; 0 for words that aren't longer."""
+    buffer, starts, ends, sums, down, _ = _hashed(texts, table)
+    letters = np.flatnonzero((buffer & 0xC0) != 0x80)
+    nth = np.searchsorted(letters, starts)
+    out = []
+    for width in widths:
+        at = letters[np.minimum(nth + width, len(letters) - 1)]
+        out.append(np.where(at < ends, mix((sums[at] - sums[starts]) * down[starts] + np.full(1, width, U) * _LANES[14]), U(0)))
+    return out
 
 
 def shingle_sets(texts: list[bytes], table: np.ndarray = WORDS_LOWER, width: int = SHINGLE) -> Iterator[np.ndarray]:

@@ -2,7 +2,8 @@
 
 Features: densities of a lexicon of whole words and of word beginnings, hits near second-person
 pronouns, capitals, punctuation, and words that only match once look-alike characters are
-undone. The lexicon is a short general list and what labelled rows teach.
+undone. The lexicon is a short general list and what labelled rows teach. Lexicon and trees are learned from
+two thirds of the labelled rows; the isotonic curve is fitted on the rest, whose labels they haven't seen.
 """
 
 from __future__ import annotations
@@ -17,19 +18,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.quality_classifier import held_out
-from weftgraph.llm.tokens import LETTERS_LOWER, U, chunks, word_hashes
+from weftgraph.llm.tokens import LETTERS_LOWER, U, beginning_hashes, chunks, word_hashes
 from weftgraph.session import Scratch
 
 #: Labelled rows that the lexicon and the trees are learned from at most, the first by a hash of doc_id.
 SAMPLE = 20_000
 #: Words and beginnings that a lexicon keeps at most, the best by log odds.
 LEXICON = 4_000
-#: Bytes of a word's beginning that are looked at.
-BEGINNINGS = (4, 5, 6)
+#: Toxic rows of each half of the learning rows that must hold an entry, and how many times as often as other rows.
+TOLD, ODDS = 3, 8.0
+#: Letters of a word's beginning that are looked at.
+BEGINNINGS = (4, 5, 6, 7, 8)
 
 # General insults, and pronouns of address, in the corpus languages.
-INSULTS = "idiot idiots moron morons stupid loser losers scum trash clown pathetic worthless disgusting dumb imbecile filthy vermin idiota imbécil estúpido basura idiote imbécile ordure crétin dummkopf abschaum trottel depp".split()
-ADDRESS = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split()
+INSULTS = [
+    "idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "dumb", "imbecile", "filthy", "vermin",
+    "idiota", "imbécil", "estúpido", "basura", "idiote", "imbécile", "ordure", "crétin", "dummkopf", "abschaum", "trottel", "depp",
+]
+ADDRESS = ["you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "vos", "tú", "ti", "usted", "ustedes", "vosotros"]
 LOOKALIKES = {ord("0"): "o", ord("1"): "i", ord("3"): "e", ord("4"): "a", ord("5"): "s", ord("7"): "t", ord("@"): "a", ord("$"): "s", ord("!"): "i", ord("*"): "*"}
 
 _UNDONE = LETTERS_LOWER.copy()
@@ -42,21 +48,11 @@ def hashed(words: list[str]) -> np.ndarray:
     return np.unique(word_hashes([w.encode() for w in words], LETTERS_LOWER)[0]) if words else np.zeros(0, U)
 
 
-def beginnings(texts: list[bytes], width: int) -> np.ndarray:
-    """Hashes of the first ``width`` bytes of each word (marked by the width); 0 for shorter words."""
-    cut = b"\n".join(texts).translate(_SPACED).split()
-    raw = [w[:width] if len(w) > width else b"" for w in cut]
-    codes = np.frombuffer(b"".join(w.ljust(8, b"\0") for w in raw), np.int64).astype(U)
-    return np.where(codes == 0, U(0), (codes + U(width) * U(0x100000000000000)) * U(0x9E3779B97F4A7C15))
-
-
-_SPACED = bytes(32 if LETTERS_LOWER[b] == 0 else int(LETTERS_LOWER[b]) for b in range(256))
-
-
 @dataclass
 class Lexicon:
     words: np.ndarray = field(default_factory=lambda: hashed(INSULTS))
     begins: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
+    widths: tuple[int, ...] = BEGINNINGS
 
 
 def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -79,8 +75,9 @@ def features(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
     total = lambda mask, of=owner: np.bincount(of[mask], minlength=n).astype(float)
     hit = _within(words, lexicon.words)
     begin = np.zeros(len(words), bool)
-    for width in BEGINNINGS:
-        begin |= _within(beginnings(texts, width), lexicon.begins)
+    if len(lexicon.begins):
+        for hashes in beginning_hashes(texts, LETTERS_LOWER, lexicon.widths):
+            begin |= _within(hashes, lexicon.begins)
     at = np.flatnonzero(hit | begin)
     kinds = np.bincount(np.unique(np.column_stack([owner[at], words[at].view(np.int64)]), axis=0)[:, 0], minlength=n) if len(at) else np.zeros(n)
     address = _within(words, _ADDRESS)
@@ -103,32 +100,30 @@ def features(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
     ])
 
 
-def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (label, text): how many texts of either label hold each word hash and each beginning."""
+def _tallied(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...] = BEGINNINGS) -> Iterator[pa.RecordBatch]:
+    """Rows (label, half, text): how many texts of either label and half hold each word hash and each beginning."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        key, kind, label = (np.concatenate([h[i] for h in held]) for i in range(3))
-        both = key ^ kind.astype(U)
-        order = np.argsort(both)
-        both, kind, label = both[order], kind[order], label[order]
-        first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-        bad = np.add.reduceat(label, first)
-        every = np.diff(np.append(first, len(both)))
-        return pa.RecordBatch.from_arrays([pa.array((both[first] ^ kind[first].astype(U)).view(np.int64)), pa.array(kind[first], pa.int32()), pa.array(bad, pa.int64()), pa.array(every - bad, pa.int64())], names=["key", "kind", "bad", "good"])
+        key, kind, group = (np.concatenate([h[i] for h in held]) for i in range(3))
+        order = np.lexsort((kind, key))
+        key, kind, group = key[order], kind[order], group[order]
+        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))))
+        counts = [pa.array(np.add.reduceat((group == g).astype(np.int64), first)) for g in range(4)]
+        return pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(kind[first], pa.int32()), *counts], names=["key", "kind", *_GROUPS])
 
     for batch in batches:
-        labels = batch.column(0).to_numpy(zero_copy_only=False)
-        for start, texts in chunks(batch.column(1)):
+        groups = 2 * batch.column(0).to_numpy(zero_copy_only=False) + batch.column(1).to_numpy(zero_copy_only=False)
+        for start, texts in chunks(batch.column(2)):
             words, bounds = word_hashes(texts, LETTERS_LOWER)
-            begins = [beginnings(texts, w) for w in BEGINNINGS]
+            begins = beginning_hashes(texts, LETTERS_LOWER, widths)
             for i in range(len(texts)):
                 part = slice(bounds[i], bounds[i + 1])
                 for kind, values in ((0, words[part]), (1, np.concatenate([b[part] for b in begins]))):
                     values = np.unique(values)
                     values = values[values != 0]
-                    held.append((values, np.full(len(values), kind, np.int32), np.full(len(values), labels[start + i], np.int64)))
+                    held.append((values, np.full(len(values), kind, np.int32), np.full(len(values), groups[start + i], np.int64)))
                     size += len(values)
             if size > 1_000_000:
                 yield flush()
@@ -137,17 +132,22 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+_GROUPS = ("good0", "good1", "bad0", "bad1")
+
+
 def learned_lexicon(sample: DataFrame) -> Lexicon:
-    """Words and beginnings that toxic rows of (label, text) hold far more often than others do.
+    """Words and beginnings that toxic rows of (label, half, text) hold far more often than others do, in either half.
 
-    Only those come to the driver that at least 5 toxic rows hold, 12 times as often as other rows, LEXICON at most.
+    Only those come to the driver that at least TOLD toxic rows of each half hold, ODDS times as often as its other rows, LEXICON
+    at most. What is telling in one half by chance isn't in the other.
     """
-    rate = sample.agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("rows")).first()
-    if not rate.bad or rate.bad == rate.rows:
+    rows = {(r.label, r.half): r["rows"] for r in sample.groupBy("label", "half").agg(F.count(F.lit(1)).alias("rows")).collect()}
+    if len(rows) < 4:
         return Lexicon()
-    odds = (F.col("bad") / rate.bad) / ((F.col("good") + 0.5) / (rate.rows - rate.bad))
-    counted = sample.select("label", "text").mapInArrow(_tallied, "key long, kind int, bad long, good long").groupBy("key", "kind").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    best = counted.filter("bad >= 5").withColumn("odds", odds).filter("odds >= 12").orderBy(F.desc("odds"), F.desc("bad"), "kind", "key").limit(LEXICON).collect()
+    odds = [(F.col(f"bad{h}") / rows[1, h]) / ((F.col(f"good{h}") + 0.5) / rows[0, h]) for h in (0, 1)]
+    counted = sample.select("label", "half", "text").mapInArrow(_tallied, "key long, kind int, " + ", ".join(f"{g} long" for g in _GROUPS)).groupBy("key", "kind").agg(*[F.sum(g).alias(g) for g in _GROUPS])
+    telling = counted.filter((F.least("bad0", "bad1") >= TOLD) & (F.least(*odds) >= ODDS)).withColumn("odds", F.least(*odds))
+    best = telling.orderBy(F.desc("odds"), F.desc(F.col("bad0") + F.col("bad1")), "kind", "key").limit(LEXICON).collect()
     of = lambda kind: np.array([r.key for r in best if r.kind == kind], np.int64).view(U)
     return Lexicon(np.union1d(hashed(INSULTS), of(0)), np.sort(of(1)))
 
@@ -178,11 +178,9 @@ class Trees:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         m = self.margin(x)
-        raw = 1 / (1 + np.exp(-np.clip(m, -30, 30)))
         if self.curve is None:
-            return raw
-        # A little of the margin keeps the order inside a calibrated step.
-        return np.clip(0.98 * np.interp(m, *self.curve) + 0.02 * raw, 0, 1)
+            return 1 / (1 + np.exp(-np.clip(m, -30, 30)))
+        return np.interp(m, *self.curve)
 
 
 DEPTH = 3
@@ -241,12 +239,11 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def fitted(table: pd.DataFrame) -> Trees | None:
-    """Trees from two thirds of the rows, calibrated on the rest; None if a label is missing."""
-    table = table.sort_values(["doc_id", "label"], kind="stable")
+    """Trees from the rows that aren't marked to calibrate, calibrated on those that are; None if a label is missing."""
     y, x = table.label.to_numpy(float), table[list(FEATURES)].to_numpy(float)
     if len(set(y)) < 2:
         return None
-    part = (table.doc_id.to_numpy(np.int64).astype(U) * U(0x9E3779B97F4A7C15) >> U(40)) % U(3) == 0
+    part = table.calibrate.to_numpy(bool)
     if len(set(y[part])) < 2 or len(set(y[~part])) < 2:
         return boosted(x, y)
     trees = boosted(x[~part], y[~part])
@@ -277,17 +274,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     """doc_id, held_out, score, predicted of each document.
 
     Learns from at most ``sample`` labelled rows that aren't held out, the first by a hash of doc_id
-    (labels other than 0 and 1 and null ids are left out). Null and empty texts get the score of an
-    empty text; without labels of both kinds every score is 0. Other columns are ignored.
+    (labels other than 0 and 1 and null ids are left out; of repeated labelled documents at most ``sample`` rows train the
+    trees). Null and empty texts get the score of an empty text; repeated rows get equal scores; without labels of both
+    kinds every score is 0. Other columns are ignored, whatever their names; doc_id must be null or a whole number.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("label")).filter("label in (0, 1) and doc_id is not null").filter(~held_out(4, 2))
-    marked = scratch.save(marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample))
+    marked = scratch.save(marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample).withColumn("third", F.pmod(F.xxhash64(F.lit("third"), "doc_id"), F.lit(3))).withColumn("calibrate", F.col("third") == 2))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # ``marked`` has at most ``sample`` rows of two numbers.
-    rows = texts.join(F.broadcast(marked), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text"))
+    # ``marked`` has at most ``sample`` rows of two numbers and a mark.
+    rows = texts.join(F.broadcast(marked.filter("not calibrate")), "doc_id").select("label", F.col("third").alias("half"), F.coalesce("text", F.lit("")).alias("text"))
     lexicon = learned_lexicon(scratch.save(rows))
     table = scratch.save(texts.mapInArrow(_featured(lexicon), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)))
-    trees = fitted(table.join(F.broadcast(marked), "doc_id").limit(2 * sample).toPandas())
+    trees = fitted(table.join(F.broadcast(marked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", *FEATURES).limit(sample).toPandas())
     scored = table.select("doc_id", *FEATURES).mapInArrow(_scorer(trees), "doc_id long, score double")
     return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
