@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftgraph.llm import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sharding, toxicity
@@ -102,15 +103,97 @@ def test_ngram_join_finds_links_at_the_threshold(spark):
     assert sorted((tuple(r) for r in got), key=str) == brute_components(data)
 
 
-def test_ngram_join_pairs_large_groups_across_components(spark, monkeypatch):
-    """Texts that share a long passage but are no copies, with copies among them, in small blocks."""
+@pytest.mark.parametrize("pairs", [4, 0])
+def test_ngram_join_pairs_large_groups_across_components(spark, monkeypatch, pairs):
+    """Texts that share a long passage but are no copies, with copies among them, in small blocks; by pairs or by whole sets within cells."""
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    comparer = ngram_join._comparer
+    monkeypatch.setattr(ngram_join, "_comparer", lambda mode: _with_pairs(comparer(mode), pairs))
     passage = prose(9, 90)
     data = [(i, passage + " " + prose(100 + i // 2, 40 if i % 2 else 42)) for i in range(40)]
     got = ngram_join.similarity_components(spark.createDataFrame(data, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_components(data)
 
 
+def _with_pairs(compare, pairs):
+    def run(batches):
+        from weftgraph.llm import ngram_join
+
+        ngram_join.CELL_PAIRS = pairs
+        yield from compare(batches)
+
+    return run
+
+
+def test_crowded_cells_are_linked_on_whole_sets():
+    """What a task gets when its pairs are too many: a forest of the true links, none of the others."""
+    texts = [prose(31, 300).split() for _ in range(1)] + []
+    base = texts[0]
+    texts = [" ".join([*base[: 7 * i], f"n{i}", *base[7 * i + 1 :]]) for i in range(12)] + [" ".join([*base[:150], *prose(40 + i, 150).split()]) for i in range(6)]
+    sets = list(ngram_join.shingle_sets([t.encode() for t in texts]))
+    n = len(texts)
+    columns = [[5] * n, [0] * n, [0] * n, [0] * n, [ngram_join.short(ngram_join.digest(x)) for x in sets], list(range(n)), texts]
+    batch = pa.RecordBatch.from_pydict({str(i): c for i, c in enumerate(columns)})
+    links = [(a, b) for out in ngram_join._link_cells([batch.slice(0, 9), batch.slice(9)]) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    at = {ngram_join.digest(x): i for i, x in enumerate(sets)}
+    assert len(links) == 11 and all(at[a] < 12 and at[b] < 12 and ngram_join.linked(sets[at[a]], sets[at[b]]) for a, b in links) and len({x for p in links for x in p}) == 12
+
+
+def test_dense_sketches_tell_long_sets_apart():
+    """From 100 to 20,000 shingles: unrelated sets are refused, similar ones pass, also where sketches differ in width."""
+    g = np.random.default_rng(11)
+    for n in (100, 1000, 2300, 3000, 4100, 20_000):
+        a, b = (np.unique(g.integers(1 << 62, size=n, dtype=np.uint64)) for _ in range(2))
+        c = np.unique(np.concatenate([a[: int(0.9 * n)], g.integers(1 << 62, size=n // 20, dtype=np.uint64)]))
+        for x, y, near in ((a, b, False), (a, c, True)):
+            p, q = (ngram_join.dense_sketch(s)[None, :] for s in (x, y))
+            longs = min(p.shape[1], q.shape[1])
+            differ = int(np.bitwise_count((ngram_join.folded(p, longs) ^ ngram_join.folded(q, longs)).view(np.uint64)).sum())
+            assert (9 * differ <= len(x) + len(y)) == near and (not near or differ <= len(np.setxor1d(x, y)))
+
+
+def test_pairs_at_the_threshold_share_a_part():
+    """Recall of the pigeonhole step on sets of up to 20,000 shingles, for pairs just above the threshold: 0.999 at least."""
+    g = np.random.default_rng(12)
+    met = total = 0
+    for n, times in ((60, 400), (250, 300), (1000, 300), (5000, 80), (20_000, 20)):
+        for _ in range(times):
+            both = np.unique(g.integers(1 << 62, size=n, dtype=np.uint64))
+            own = max(1, len(both) // 4)  # shared / union = 0.8 with the rest split over the sides
+            x = np.sort(np.concatenate([both, g.integers(1 << 62, size=own // 2, dtype=np.uint64)]))
+            y = np.sort(np.concatenate([both, g.integers(1 << 62, size=own - own // 2, dtype=np.uint64)]))
+            if ngram_join.linked(x, y):
+                total += 1
+                met += len(np.intersect1d(ngram_join.part_keys(x), ngram_join.part_keys(y))) > 0
+    assert total > 1000 and met >= 0.999 * total
+
+
+def test_components_of_chains_and_stars(spark):
+    from weftgraph.session import Scratch
+
+    name = lambda k, i: f"{k:02d}{(i * 7919) % 1009:04d}".encode()
+    links = [(name(0, i), name(0, i + 1)) for i in range(900)] + [(name(1, 0), name(1, i)) for i in range(1, 300)] + [(name(2, 1), name(2, 2))]
+    got = {r.cls: r.root for r in ngram_join.components(spark.createDataFrame(links, "a binary, b binary").repartition(7), Scratch(spark, "test")).collect()}
+    for k in range(3):
+        own = {x for p in links for x in p if x.startswith(f"{k:02d}".encode())}
+        assert {x for x in own if x not in got} == {min(own)} and all(bytes(got[x]) == min(own) for x in own - {min(own)})
+
+
+def test_ngram_join_of_long_texts(spark):
+    """Texts of 3,000 to 6,000 words with near copies, against brute force."""
+    data = []
+    for k in range(12):
+        base = [f"w{k}x{i}" for i in range(3000 + 250 * k)]
+        for c in range(4):
+            copy = list(base)
+            for at in range(c, len(copy), (61, 47, 31, 23)[c]):
+                copy[at] = f"y{k}q{c}q{at}"
+            data.append((len(data), " ".join(copy)))
+    got = ngram_join.similarity_components(spark.createDataFrame(data, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted((tuple(r[:3]) for r in got), key=str) == brute_components(data)
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == brute_links(data)
+
+
 def brute_links(data):
     """For each row with how many other sets its own is similar, over rows with a doc_id."""
     kinds = {frozenset(shingles(t)) for d, t in data if d is not None} - {frozenset()}

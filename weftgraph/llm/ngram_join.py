@@ -6,9 +6,9 @@ the sets. Two sets of similarity 0.8 or more differ in at most (|A| + |B|) / 9 s
 
 Per size band a wide sketch (2^32 bits a part, held as one XOR of bit hashes for each part)
 is cut into a fixed number of parts, and the pigeonhole principle makes linked sets agree in
-whole parts; sets that share a part are candidates. Candidates are compared by a dense sketch
-of 1024 bits, whose Hamming distance must not exceed the bound, and what is left is verified
-on the whole sets.
+whole parts; sets that share a part are candidates. Candidates are compared by a dense sketch of as many
+bits as the set has shingles (1024 at least), whose Hamming distance must not exceed the bound, and what is
+left is verified on the whole sets.
 
 Number of parts for a largest distance D: D + 1 + slack, which makes agreement in a part
 that isn't empty certain (a set with more empty parts than slack emits those too). For
@@ -17,9 +17,10 @@ that AGREE of them stay untouched on average at the threshold itself; then the c
 missing a pair is about exp(-AGREE) at most, and falls fast above the threshold.
 
 Equal sets form one class. Inside a shared part, classes are linked to the smallest class
-(a star), never in all pairs. In parts whose classes are then still in different components,
-the dense sketches of all classes are compared with each other, block by block in tasks, and
-only pairs that pass leave the task.
+(a star), never in all pairs. In parts whose classes are then still in different components, the dense
+sketches of all classes are compared with each other, block by block in tasks: first a spanning forest of the pairs
+that pass leaves a task and is verified, then the pairs that are still between components. Where these are
+more than a few for each class, the task's classes go on instead of its pairs, and their whole sets are compared there.
 
 Stars and forests give the components, not every link. A link never leaves its component, so
 links are counted afterwards: the whole sets of a component are compared with each other, block
@@ -42,15 +43,20 @@ from weftgraph.session import Scratch
 
 THRESHOLD = (80, 100)
 AGREE = 14.0
-#: Longs of the dense sketch.
+#: Longs of the dense sketch at least; it has a bit for each shingle of a larger set.
 DENSE = 16
 #: Classes of a part that one task compares with as many others.
 BLOCK = 1024
+#: Shingles of a part's classes that one task compares with as many others, and pairs for each class of a cell that may leave it.
+BLOCK_SHINGLES = 1_000_000
+CELL_PAIRS = 4
 #: Classes of a component, and their shingles, that one task compares with as many others to count links.
 COUNT_BLOCK = 512
 COUNT_SHINGLES = 1_000_000
 #: Shingles whose occurrences are multiplied at a time.
 SLAB = 4096
+#: Links that a task contracts at a time.
+CONTRACT = 1_000_000
 #: Rows of a part that a map task combines before it passes them on.
 COMBINE = 400_000
 #: Texts that one verifying group compares with its hub.
@@ -113,9 +119,21 @@ def part_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def dense_sketch(shingles: np.ndarray) -> np.ndarray:
-    """DENSE longs whose bit i is the parity of the shingles that hash to i."""
-    bits = np.bincount((mix(shingles + U(0xD1B54A32)) >> U(20) & U(64 * DENSE - 1)).astype(np.int64), minlength=64 * DENSE)
-    return np.packbits((bits & 1).astype(np.uint8), bitorder="little").view(np.int64)
+    """Longs whose bit i is the parity of the shingles that hash to i: a power of two of them, and a bit for each shingle at least.
+
+    The hash's low bits say where, so a sketch's halves XORed are the sketch of half as many bits.
+    """
+    bits = max(64 * DENSE, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount((mix(shingles + U(0xD1B54A32)) >> U(20) & U(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((odd & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def folded(sketches: np.ndarray, longs: int) -> np.ndarray:
+    """Rows of sketches brought down to so many longs."""
+    while sketches.shape[1] > longs:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
 def digest(shingles: np.ndarray) -> bytes:
@@ -268,52 +286,86 @@ def near(pairs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     share, of = THRESHOLD
     side = classes.select("name", "n", "dense")
     both = pairs.join(side.select(F.col("name").alias("hub"), F.col("n").alias("hub_n"), F.col("dense").alias("hub_dense")), "hub").join(side, "name")
-    differ = F.aggregate(F.zip_with("dense", "hub_dense", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    # Of sizes that fit one sketch has twice the longs of the other at most.
+    half = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+    differ = F.aggregate(F.zip_with(half("dense", "hub_dense"), half("hub_dense", "dense"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     fits = (F.least("n", "hub_n") * of >= F.greatest("n", "hub_n") * share) & (differ * (of + share) <= (of - share) * (F.col("n") + F.col("hub_n")))
     return scratch.save(both.filter(fits).select("hub", "name").distinct())
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Those of the distinct (hub, name) pairs whose sets are similar, as (a, b) digests.
+def texts_of(names: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(name, text) of the distinct names, written; a doc_id that occurs more than once gives each of its texts."""
+    wanted = scratch.save(names.join(reps.select("name", "doc_id"), "name"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = wanted.select("doc_id", "name")
+    if wanted.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return scratch.save(texts.join(ids, "doc_id").select("name", "text"))
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Those of the distinct (hub, name) pairs whose sets are similar, as (a, b) digests, and the texts (name, text) that were compared.
 
     A hub's text goes once to each group of about SALT_ROWS texts that are compared with it.
     """
     pairs = near(pairs, reps, scratch)
+    texts = texts_of(pairs.select("name").union(pairs.select("hub")).distinct(), reps, docs, scratch)
     n_hub = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n_hub"))
     salts = n_hub.select("hub", F.ceil(F.col("n_hub") / SALT_ROWS).alias("salts"))
-    wanted = scratch.save(pairs.select("name").union(pairs.select("hub")).distinct().join(reps.select("name", "doc_id"), "name"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = wanted.select("doc_id", "name")
-    if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = scratch.save(texts.join(ids, "doc_id").select("name", "text"))
     below = pairs.join(salts, "hub").select("hub", "name", (F.xxhash64("name") % F.col("salts")).alias("salt")).join(texts, "name")
     above = salts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(texts.withColumnRenamed("name", "hub"), "hub")
     below = below.select("hub", F.abs("salt").cast("long").alias("salt"), F.lit(0).alias("top"), "name", "text")
     above = above.select("hub", F.col("salt").cast("long"), F.lit(1).alias("top"), F.col("hub").alias("name"), "text")
     both = above.unionByName(below).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.desc("top"))
-    return scratch.save(both.mapInArrow(_verify, "a binary, b binary").distinct())
+    return scratch.save(both.mapInArrow(_verify, "a binary, b binary").distinct()), texts
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) as stars: each name with the smallest that the links of this task reach from it."""
+    above: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    def flush() -> pa.RecordBatch:
+        rows = [(x, top(x)) for x in above]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.binary()), pa.array([y for _, y in rows], pa.binary())], names=["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            u, v = top(u), top(v)
+            if u != v:
+                above[max(u, v)] = min(u, v)
+        if len(above) > CONTRACT:
+            yield flush()
+            above.clear()
+    if above:
+        yield flush()
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(cls, root): for every class in a link, the smallest class that its links reach.
 
-    Alternates large-star and small-star steps, so the number of rounds grows with the
-    logarithm of a component; each round is a shuffle of the links.
+    Links are contracted inside tasks, then large-star and small-star steps alternate, so the number of rounds
+    grows with the logarithm of a component at most; each round is a shuffle of the links.
     """
-    edges = scratch.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
+    stars = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).repartition("v").mapInArrow(_contract, "u binary, v binary")
+    edges = scratch.save(stars.distinct())
+    now = state(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.save(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = scratch.save(small.select("e.u", "e.v").filter("u <> v").distinct())
-        same = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
-        scratch.drop(large, edges)
-        edges = after
-        if same:
+        scratch.drop(edges)
+        edges, before = after, now
+        now = state(edges)
+        if now == before:
             return edges.select(F.col("u").alias("cls"), F.col("v").alias("root"))
 
 
@@ -379,20 +431,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), pa.array([k for _, k in found], pa.int64())], schema=_COUNTS)
 
 
-def link_counts(members: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def link_counts(members: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(cls, n_links): with how many other classes of its component (cls, root) each class is similar.
 
     A component of more than COUNT_BLOCK classes or COUNT_SHINGLES shingles is cut into blocks, and each text goes to one
-    cell for each block. No pair leaves its task.
+    cell for each block. No pair leaves its task. ``texts`` (name, text) holds those of all members.
     """
-    rows = scratch.save(members.join(classes.select("cls", "doc_id", "n"), "cls"))
+    rows = scratch.save(members.join(classes.select("cls", "name", "n"), "cls"))
     size = rows.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / COUNT_BLOCK), F.ceil(F.sum("n") / COUNT_SHINGLES)).cast("int").alias("blocks"))
     placed = rows.join(size, "root").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    placed = placed.select("root", "cls", "doc_id", "block", "blocks")
-    if 4 * rows.count() <= BROADCAST_IDS:  # a row is four times an id
-        placed = F.broadcast(placed)
-    cells = texts.join(placed, "doc_id").select("root", "cls", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    cells = placed.select("root", "cls", "name", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    cells = cells.join(texts, "name")
     cells = cells.select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "cls", "text")
     counts = cells.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_count, "cls binary, n_links long")
     return scratch.save(counts.groupBy("cls").agg(F.sum("n_links").alias("n_links")))
@@ -414,23 +463,35 @@ def similarity_components(docs: DataFrame, count_links: bool = True) -> DataFram
     classes = scratch.save(classes)
     met = candidates(sets.filter("doc_id is not null"), scratch)
     pairs = scratch.save(met.select("hub", "name").distinct())
-    links = verified(pairs, classes, docs, scratch)
+    links, texts = verified(pairs, classes, docs, scratch)
     roots = components(links, scratch)
-    # Forests join most of a large group by few pairs; what is still apart after them is compared whole.
-    for mode in ("first", "last", "all"):
-        near_pairs = scratch.save(between_components(met, classes, roots, mode, scratch))
-        if near_pairs.isEmpty():
-            break
-        across = scratch.save(near_pairs.join(pairs, ["hub", "name"], "left_anti"))
+    # A forest joins most of a large group by few pairs; what is still apart after it is compared whole.
+    for mode in ("forest", "all"):
+        compared = scratch.save(between_components(met, classes, roots, mode, scratch))
+        across = scratch.save(compared.filter("hub is not null").select("hub", "name").distinct().join(pairs, ["hub", "name"], "left_anti"))
+        new = []
         if not across.isEmpty():
-            links = scratch.save(links.union(verified(across, classes, docs, scratch)).distinct())
-            pairs = scratch.save(pairs.union(across))
-            roots = components(links, scratch)
+            found, more = verified(across, classes, docs, scratch)
+            new.append(found)
+            texts = texts.union(more)
+            pairs = pairs.union(across)
+        crowded = compared.filter("hub is null")
+        if mode == "all" and not crowded.isEmpty():
+            found, more = linked_within_cells(crowded, classes, docs, scratch)
+            new.append(found)
+            texts = texts.union(more)
+        new = [x for x in new if not x.isEmpty()]
+        if new:
+            # Links inside the components found so far say nothing new about them.
+            known = roots.select(F.col("cls").alias("a"), F.col("root").alias("b"))
+            for x in new:
+                known = known.union(x)
+            roots = components(known, scratch)
     scratch.drop(met)
     members = scratch.save(roots.union(roots.select(F.col("root").alias("cls"), "root").distinct()))
     found = classes.select("cls", "doc_id", "class_rows").join(members, "cls", "left")
     if count_links:
-        found = found.join(link_counts(members, classes, docs, scratch), "cls", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+        found = found.join(link_counts(members, classes, scratch.save(texts.distinct()), scratch), "cls", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     else:
         found = found.withColumn("n_links", F.lit(None).cast("long"))
     found = scratch.save(found)
@@ -444,12 +505,10 @@ def similarity_components(docs: DataFrame, count_links: bool = True) -> DataFram
     )
 
 
-def _linking(rows: np.ndarray, columns: np.ndarray, fits: np.ndarray, label: np.ndarray, of: np.ndarray, last: bool) -> Iterator[tuple[int, int]]:
+def _linking(rows: np.ndarray, columns: np.ndarray, fits: np.ndarray, label: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int]]:
     """Of the pairs that fit, those that join two sets of components not joined yet; ``label`` is kept up to date."""
     for x, r in enumerate(rows.tolist()):
         near = columns[fits[x]]
-        if last:
-            near = near[::-1]
         there = label[of[near]]
         other = there != label[of[r]]
         if other.any():
@@ -458,43 +517,67 @@ def _linking(rows: np.ndarray, columns: np.ndarray, fits: np.ndarray, label: np.
             label[np.isin(label, joined)] = label[of[r]]
 
 
+_CELL = pa.schema([("part", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("hub", pa.int64()), ("name", pa.int64()), ("root", pa.int64())])
+_CELL_DDL = "part long, i int, j int, block int, hub long, name long, root long"
+
+
 def _comparer(mode: str):
-    """Rows (part, i, j, block, name, root, n, dense) in order of (part, i, j): the pairs of a cell whose sketches allow similarity 0.8.
+    """Rows (part, i, j, block, name, root, n, dense) in order of (part, i, j): the pairs (hub, name) of a cell between components whose sketches allow similarity 0.8.
 
     A cell is a block against itself or two blocks against each other; a cell may go on in the next batch. With mode
-    `first` or `last` a cell gives a spanning forest of its components only, which is no more rows than it has read.
+    `forest` a cell gives a spanning forest of its components only, which is no more rows than it has read. With `all` it
+    gives every such pair, or, where these are more than CELL_PAIRS for each class, the classes that they are of, without a hub.
     """
     share, of = THRESHOLD
 
-    def cell(held: list[list[np.ndarray]], at: tuple) -> pa.RecordBatch | None:
-        block, name, root, n, dense = (np.concatenate([h[i] for h in held]) for i in range(5))
+    def cell(held: list[tuple], at: tuple) -> pa.RecordBatch | None:
+        block, name, root, n = (np.concatenate([h[i] for h in held]) for i in range(4))
+        longs = min(x.shape[1] for h in held for _, x in h[4])
+        dense = np.empty((len(name), longs), U)
+        done = 0
+        for h in held:
+            for where, x in h[4]:
+                dense[done + where] = folded(x, longs)
+            done += len(h[0])
         rows = np.flatnonzero(block == at[1])
         columns = rows if at[1] == at[2] else np.flatnonzero(block == at[2])
         found: list[np.ndarray] = []
         kinds, kind_of = np.unique(root, return_inverse=True)
         label = np.arange(len(kinds))
+        near = np.zeros(len(name), bool)
+        total = 0
         for first in range(0, len(rows), 64):
             r = rows[first : first + 64]
             differ = np.zeros((len(r), len(columns)), np.int64)
-            for k in range(DENSE):
+            for k in range(longs):
                 differ += np.bitwise_count(dense[r, k][:, None] ^ dense[columns, k][None, :])
             small, large = np.minimum.outer(n[r], n[columns]), np.maximum.outer(n[r], n[columns])
             fits = (differ * (of + share) <= (of - share) * (small + large)) & (small * of >= large * share) & (root[r][:, None] != root[columns][None, :])
             if mode == "all":
                 x, y = np.nonzero(fits)
-                found.append(np.column_stack([name[r[x]], name[columns[y]]]))
+                total += len(x)
+                near[r[x]] = near[columns[y]] = True
+                if total <= CELL_PAIRS * len(name):
+                    found.append(np.column_stack([name[r[x]], name[columns[y]]]))
             else:
-                found += [np.array([[name[x], name[y]]]) for x, y in _linking(r, columns, fits, label, kind_of, mode == "last")]
+                found += [np.array([[name[x], name[y]]]) for x, y in _linking(r, columns, fits, label, kind_of)]
+        if total > CELL_PAIRS * len(name):
+            which = np.flatnonzero(near)
+            size = len(which)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(size, at[0]), pa.int64()), *[pa.array(np.full(size, x), pa.int32()) for x in at[1:]], pa.array(block[which], pa.int32()), pa.nulls(size, pa.int64()), pa.array(name[which]), pa.array(root[which])], schema=_CELL)
         pairs = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), np.int64)
         pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hub", "name"]) if len(pairs) else None
+        none = lambda t: pa.nulls(len(pairs), t)
+        return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none(pa.int64())], schema=_CELL) if len(pairs) else None
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple] = []
         at: tuple | None = None
         for batch in batches:
             part, i, j, block, name, root, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(7))
-            dense = batch.column(7).flatten().to_numpy(zero_copy_only=False).view(U).reshape(-1, DENSE)
+            lengths = batch.column(7).value_lengths().to_numpy(zero_copy_only=False)
+            flat = batch.column(7).flatten().to_numpy(zero_copy_only=False).view(U)
+            begins = np.cumsum(lengths) - lengths
             cuts = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))).tolist() if len(part) else []
             for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
                 here = (part[a], i[a], j[a])
@@ -503,7 +586,11 @@ def _comparer(mode: str):
                         yield out
                     held = []
                 at = here
-                held.append([block[a:b], name[a:b], root[a:b], n[a:b], dense[a:b]])
+                dense = []
+                for size in np.unique(lengths[a:b]).tolist():
+                    where = np.flatnonzero(lengths[a:b] == size)
+                    dense.append((where, flat[begins[a + where][:, None] + np.arange(size)]))
+                held.append((block[a:b], name[a:b], root[a:b], n[a:b], dense))
         if held and (out := cell(held, at)) is not None:
             yield out
 
@@ -511,21 +598,60 @@ def _comparer(mode: str):
 
 
 def between_components(met: DataFrame, classes: DataFrame, roots: DataFrame, mode: str, scratch: Scratch) -> DataFrame:
-    """(hub, name): pairs of classes that share a part, are in different components and have sketches that allow similarity 0.8.
+    """What `_comparer` gives of classes that share a part and are in different components.
 
     Parts within one component are done. A part of more than BLOCK classes is cut into blocks, and each
     class goes to one cell for each block, where it meets BLOCK others. Rows are a class's sketch, not its text.
-    Modes `first` and `last` give spanning forests, `all` gives every such pair.
     """
     part_of = met.select("part", F.col("hub").alias("name")).union(met.select("part", "name")).distinct()
-    root_of = scratch.save(classes.join(roots, "cls", "left").groupBy("name").agg(F.min(F.xxhash64(F.coalesce("root", "cls"))).alias("root")))
+    root_of = scratch.save(classes.join(roots, "cls", "left").groupBy("name").agg(F.min(F.xxhash64(F.coalesce("root", "cls"))).alias("root"), F.max("n").alias("n")))
     members = part_of.join(root_of, "name")
-    mixed = members.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi and members > 2")
-    members = members.join(mixed.select("part", "members"), "part").withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    cells = members.select("part", "name", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("with"))
+    mixed = members.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).filter("lo <> hi and members > 2")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    members = members.drop("n").join(mixed.select("part", blocks.alias("blocks")), "part").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    cells = members.select("part", "name", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     cells = cells.select("part", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "name", "root")
     rows = cells.join(classes.select("name", "n", "dense"), "name").select("part", "i", "j", "block", "name", "root", "n", "dense")
-    return rows.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(_comparer(mode), "hub long, name long").distinct()
+    return rows.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(_comparer(mode), _CELL_DDL)
+
+
+def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, i, j, block, name, root, text) in order of (part, i, j): a spanning forest of the links of each cell between components."""
+
+    def forest(held: dict[bytes, tuple[int, int, np.ndarray]], at: tuple) -> list[tuple[bytes, bytes]]:
+        names, block, root = list(held), np.array([x[0] for x in held.values()]), np.array([x[1] for x in held.values()])
+        rows, columns = np.flatnonzero(block == at[1]), np.flatnonzero(block == at[2])
+        if not len(rows) or not len(columns):
+            return []
+        fits = links_within([x[2] for x in held.values()], rows, columns) & (root[rows][:, None] != root[columns][None, :])
+        kinds, kind_of = np.unique(root, return_inverse=True)
+        return [(names[x], names[y]) for x, y in _linking(rows, columns, fits, np.arange(len(kinds)), kind_of)]
+
+    held: dict[bytes, tuple[int, int, np.ndarray]] = {}
+    at: tuple | None = None
+    for batch in batches:
+        found: list[tuple[bytes, bytes]] = []
+        part, i, j, block, name, root = (batch.column(c).to_pylist() for c in range(6))
+        for first, texts in chunks(batch.column(6)):
+            for x, s in enumerate(shingle_sets(texts), first):
+                here = (part[x], i[x], j[x])
+                if here != at:
+                    found += forest(held, at) if held else ()
+                    at, held = here, {}
+                cls = digest(s)
+                if short(cls) == name[x]:  # else another text of a doc_id that occurs more than once
+                    held[cls] = (block[x], root[x], s.copy())
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], schema=_LINKS)
+    if held and (found := forest(held, at)):
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], schema=_LINKS)
+
+
+def linked_within_cells(crowded: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, b): links between components in the cells of ``crowded``, a spanning forest of each, from the whole sets; and the texts compared."""
+    texts = texts_of(crowded.select("name").distinct(), classes, docs, scratch)
+    rows = crowded.select("part", "i", "j", "block", "name", "root").join(texts, "name").select("part", "i", "j", "block", "name", "root", "text")
+    return scratch.save(rows.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(_link_cells, "a binary, b binary").distinct()), texts
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
