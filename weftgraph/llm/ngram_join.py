@@ -466,8 +466,10 @@ def similarity_components(docs: DataFrame, count_links: bool = True) -> DataFram
     links, texts = verified(pairs, classes, docs, scratch)
     roots = components(links, scratch)
     # A forest joins most of a large group by few pairs; what is still apart after it is compared whole.
+    part_of = met.select("part", F.col("hub").alias("name")).union(met.select("part", "name")).distinct()
     for mode in ("forest", "all"):
-        compared = scratch.save(between_components(met, classes, roots, mode, scratch))
+        compared, part_of = between_components(part_of, classes, roots, mode, scratch)
+        compared = scratch.save(compared)
         across = scratch.save(compared.filter("hub is not null").select("hub", "name").distinct().join(pairs, ["hub", "name"], "left_anti"))
         new = []
         if not across.isEmpty():
@@ -597,22 +599,21 @@ def _comparer(mode: str):
     return compare
 
 
-def between_components(met: DataFrame, classes: DataFrame, roots: DataFrame, mode: str, scratch: Scratch) -> DataFrame:
-    """What `_comparer` gives of classes that share a part and are in different components.
+def between_components(part_of: DataFrame, classes: DataFrame, roots: DataFrame, mode: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """What `_comparer` gives of classes that share a part (part, name) and are in different components; and the rows of ``part_of`` in such parts.
 
     Parts within one component are done. A part of more than BLOCK classes is cut into blocks, and each
     class goes to one cell for each block, where it meets BLOCK others. Rows are a class's sketch, not its text.
     """
-    part_of = met.select("part", F.col("hub").alias("name")).union(met.select("part", "name")).distinct()
     root_of = scratch.save(classes.join(roots, "cls", "left").groupBy("name").agg(F.min(F.xxhash64(F.coalesce("root", "cls"))).alias("root"), F.max("n").alias("n")))
     members = part_of.join(root_of, "name")
     mixed = members.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).filter("lo <> hi and members > 2")
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    members = members.drop("n").join(mixed.select("part", blocks.alias("blocks")), "part").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    members = scratch.save(members.drop("n").join(mixed.select("part", blocks.alias("blocks")), "part").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")))
     cells = members.select("part", "name", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     cells = cells.select("part", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "name", "root")
     rows = cells.join(classes.select("name", "n", "dense"), "name").select("part", "i", "j", "block", "name", "root", "n", "dense")
-    return rows.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(_comparer(mode), _CELL_DDL)
+    return rows.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(_comparer(mode), _CELL_DDL), members.select("part", "name")
 
 
 def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
