@@ -18,11 +18,11 @@ missing a pair is about exp(-AGREE) at most, and falls fast above the threshold.
 
 Equal sets form one class. Inside a shared part, classes are linked to the smallest class
 (a star), never in all pairs. In parts whose classes are then still in different components, the dense
-sketches of all classes are compared with each other, block by block in tasks: first a spanning forest of the pairs
-that pass leaves a task and is verified, then the pairs that are still between components. Where these are
-more than a few for each class, the task's classes go on instead of its pairs, and their whole sets are compared there.
+sketches of all classes are compared with each other, block by block in tasks, and the pairs between components that
+pass are verified. Where these are more than a few for each class, the task's classes go on instead of its pairs,
+and their whole sets are compared in a task, which a spanning forest of true links leaves.
 
-Stars and forests give the components, not every link. A link never leaves its component, so
+Stars and these pairs give the components, not every link. A link never leaves its component, so
 links are counted afterwards: the whole sets of a component are compared with each other, block
 by block in tasks, and one count for each class of a block leaves the task.
 """
@@ -290,7 +290,7 @@ def near(pairs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     half = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
     differ = F.aggregate(F.zip_with(half("dense", "hub_dense"), half("hub_dense", "dense"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     fits = (F.least("n", "hub_n") * of >= F.greatest("n", "hub_n") * share) & (differ * (of + share) <= (of - share) * (F.col("n") + F.col("hub_n")))
-    return scratch.save(both.filter(fits).select("hub", "name").distinct())
+    return scratch.save(both.filter(fits).select("hub", "name"))
 
 
 def texts_of(names: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -435,7 +435,7 @@ def link_counts(members: DataFrame, classes: DataFrame, texts: DataFrame, scratc
     """(cls, n_links): with how many other classes of its component (cls, root) each class is similar.
 
     A component of more than COUNT_BLOCK classes or COUNT_SHINGLES shingles is cut into blocks, and each text goes to one
-    cell for each block. No pair leaves its task. ``texts`` (name, text) holds those of all members.
+    cell for each block. No pair leaves its task. ``texts`` (name, text) holds those of all members, some more than once.
     """
     rows = scratch.save(members.join(classes.select("cls", "name", "n"), "cls"))
     size = rows.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / COUNT_BLOCK), F.ceil(F.sum("n") / COUNT_SHINGLES)).cast("int").alias("blocks"))
@@ -465,35 +465,29 @@ def similarity_components(docs: DataFrame, count_links: bool = True) -> DataFram
     pairs = scratch.save(met.select("hub", "name").distinct())
     links, texts = verified(pairs, classes, docs, scratch)
     roots = components(links, scratch)
-    # A forest joins most of a large group by few pairs; what is still apart after it is compared whole.
-    part_of = met.select("part", F.col("hub").alias("name")).union(met.select("part", "name")).distinct()
-    for mode in ("forest", "all"):
-        compared, part_of = between_components(part_of, classes, roots, mode, scratch)
-        compared = scratch.save(compared)
-        across = scratch.save(compared.filter("hub is not null").select("hub", "name").distinct().join(pairs, ["hub", "name"], "left_anti"))
-        new = []
-        if not across.isEmpty():
-            found, more = verified(across, classes, docs, scratch)
-            new.append(found)
-            texts = texts.union(more)
-            pairs = pairs.union(across)
-        crowded = compared.filter("hub is null")
-        if mode == "all" and not crowded.isEmpty():
-            found, more = linked_within_cells(crowded, classes, docs, scratch)
-            new.append(found)
-            texts = texts.union(more)
-        new = [x for x in new if not x.isEmpty()]
-        if new:
-            # Links inside the components found so far say nothing new about them.
-            known = roots.select(F.col("cls").alias("a"), F.col("root").alias("b"))
-            for x in new:
-                known = known.union(x)
-            roots = components(known, scratch)
+    # What is still apart after the stars is compared whole.
+    compared = scratch.save(between_components(met, classes, roots, scratch))
+    across = scratch.save(compared.filter("hub is not null").select("hub", "name").distinct().join(pairs, ["hub", "name"], "left_anti"))
+    new = []
+    if not across.isEmpty():
+        new.append(verified(across, classes, docs, scratch))
+    crowded = compared.filter("hub is null")
+    if not crowded.isEmpty():
+        new.append(linked_within_cells(crowded, classes, docs, scratch))
+    # Links inside the components found so far say nothing new about them.
+    known = roots.select(F.col("cls").alias("a"), F.col("root").alias("b"))
+    more = False
+    for found, read in new:
+        texts = texts.union(read)
+        if not found.isEmpty():
+            known, more = known.union(found), True
+    if more:
+        roots = components(known, scratch)
     scratch.drop(met)
     members = scratch.save(roots.union(roots.select(F.col("root").alias("cls"), "root").distinct()))
     found = classes.select("cls", "doc_id", "class_rows").join(members, "cls", "left")
     if count_links:
-        found = found.join(link_counts(members, classes, scratch.save(texts.distinct()), scratch), "cls", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+        found = found.join(link_counts(members, classes, texts, scratch), "cls", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     else:
         found = found.withColumn("n_links", F.lit(None).cast("long"))
     found = scratch.save(found)
@@ -523,12 +517,11 @@ _CELL = pa.schema([("part", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), (
 _CELL_DDL = "part long, i int, j int, block int, hub long, name long, root long"
 
 
-def _comparer(mode: str):
+def _comparer():
     """Rows (part, i, j, block, name, root, n, dense) in order of (part, i, j): the pairs (hub, name) of a cell between components whose sketches allow similarity 0.8.
 
-    A cell is a block against itself or two blocks against each other; a cell may go on in the next batch. With mode
-    `forest` a cell gives a spanning forest of its components only, which is no more rows than it has read. With `all` it
-    gives every such pair, or, where these are more than CELL_PAIRS for each class, the classes that they are of, without a hub.
+    A cell is a block against itself or two blocks against each other; a cell may go on in the next batch. Where its pairs
+    are more than CELL_PAIRS for each class, it gives the classes that they are of instead, without a hub.
     """
     share, of = THRESHOLD
 
@@ -544,8 +537,6 @@ def _comparer(mode: str):
         rows = np.flatnonzero(block == at[1])
         columns = rows if at[1] == at[2] else np.flatnonzero(block == at[2])
         found: list[np.ndarray] = []
-        kinds, kind_of = np.unique(root, return_inverse=True)
-        label = np.arange(len(kinds))
         near = np.zeros(len(name), bool)
         total = 0
         for first in range(0, len(rows), 64):
@@ -554,15 +545,11 @@ def _comparer(mode: str):
             for k in range(longs):
                 differ += np.bitwise_count(dense[r, k][:, None] ^ dense[columns, k][None, :])
             small, large = np.minimum.outer(n[r], n[columns]), np.maximum.outer(n[r], n[columns])
-            fits = (differ * (of + share) <= (of - share) * (small + large)) & (small * of >= large * share) & (root[r][:, None] != root[columns][None, :])
-            if mode == "all":
-                x, y = np.nonzero(fits)
-                total += len(x)
-                near[r[x]] = near[columns[y]] = True
-                if total <= CELL_PAIRS * len(name):
-                    found.append(np.column_stack([name[r[x]], name[columns[y]]]))
-            else:
-                found += [np.array([[name[x], name[y]]]) for x, y in _linking(r, columns, fits, label, kind_of)]
+            x, y = np.nonzero((differ * (of + share) <= (of - share) * (small + large)) & (small * of >= large * share) & (root[r][:, None] != root[columns][None, :]))
+            total += len(x)
+            near[r[x]] = near[columns[y]] = True
+            if total <= CELL_PAIRS * len(name):
+                found.append(np.column_stack([name[r[x]], name[columns[y]]]))
         if total > CELL_PAIRS * len(name):
             which = np.flatnonzero(near)
             size = len(which)
@@ -599,21 +586,22 @@ def _comparer(mode: str):
     return compare
 
 
-def between_components(part_of: DataFrame, classes: DataFrame, roots: DataFrame, mode: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """What `_comparer` gives of classes that share a part (part, name) and are in different components; and the rows of ``part_of`` in such parts.
+def between_components(met: DataFrame, classes: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """What `_comparer` gives of classes that share a part and are in different components.
 
     Parts within one component are done. A part of more than BLOCK classes is cut into blocks, and each
     class goes to one cell for each block, where it meets BLOCK others. Rows are a class's sketch, not its text.
     """
+    part_of = met.select("part", F.col("hub").alias("name")).union(met.select("part", "name")).distinct()
     root_of = scratch.save(classes.join(roots, "cls", "left").groupBy("name").agg(F.min(F.xxhash64(F.coalesce("root", "cls"))).alias("root"), F.max("n").alias("n")))
     members = part_of.join(root_of, "name")
     mixed = members.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).filter("lo <> hi and members > 2")
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    members = scratch.save(members.drop("n").join(mixed.select("part", blocks.alias("blocks")), "part").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")))
+    members = members.drop("n").join(mixed.select("part", blocks.alias("blocks")), "part").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
     cells = members.select("part", "name", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     cells = cells.select("part", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "name", "root")
     rows = cells.join(classes.select("name", "n", "dense"), "name").select("part", "i", "j", "block", "name", "root", "n", "dense")
-    return rows.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(_comparer(mode), _CELL_DDL), members.select("part", "name")
+    return rows.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(_comparer(), _CELL_DDL)
 
 
 def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
