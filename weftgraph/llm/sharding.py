@@ -99,19 +99,20 @@ def shard_table(docs: DataFrame, leaves: tuple[Leaf, ...] = EIGHT) -> DataFrame:
 
     Rows are numbered in buckets of a shard, whose offsets are summed over at most shards * 4096
     counts. Equal rows are counted before the shuffle and numbered together, so no bucket is hot.
-    An empty table gives no rows.
+    Null and empty texts have size 1; rows without doc_id share one key. Other columns are ignored, whatever
+    their names. An empty table gives no rows.
     """
     same = ["doc_id", "size", "text_crc32", "law", "shard", "grown_shard", "bucket"]
     rows = keyed(docs, leaves).groupBy(*same).agg(F.count(F.lit(1)).alias("copies"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum("copies").over(within), F.lit(0)))
-    rows = rows.join(_offsets(keyed(docs, leaves)), ["shard", "bucket"])
+    # Both branches read the same shuffled counts, so texts are scanned and hashed once.
+    rows = rows.withColumn("before", F.coalesce(F.sum("copies").over(within), F.lit(0))).join(_offsets(rows, F.sum("copies")), ["shard", "bucket"])
     first = F.col("offset") + F.col("before")
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", F.explode(F.sequence(first, first + F.col("copies") - 1)).alias("slot"), "grown_shard")
 
 
-def _offsets(rows: DataFrame) -> DataFrame:
-    counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("rows"))
+def _offsets(rows: DataFrame, number: Column) -> DataFrame:
+    counts = rows.groupBy("shard", "bucket").agg(number.alias("rows"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # At most shards * 4096 rows of some 40 bytes, whatever the input.
     return F.broadcast(counts.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset")))
@@ -120,9 +121,10 @@ def _offsets(rows: DataFrame) -> DataFrame:
 def sharded_documents(docs: DataFrame, leaves: tuple[Leaf, ...] = EIGHT) -> DataFrame:
     """The documents themselves with shard and slot: doc_id, text, lang, source, n_chars, size, text_crc32, law, shard, slot, grown_shard.
 
-    One shuffle takes each row to its bucket of a shard.
+    One shuffle takes each row to its bucket of a shard. Rows are numbered as in ``shard_table``; equal rows of one key share
+    a bucket. Other columns are dropped. An empty table gives no rows.
     """
     rows = keyed(docs, leaves, ("text", "lang", "source", "n_chars"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    rows = rows.withColumn("nth", F.row_number().over(within) - 1).join(_offsets(keyed(docs, leaves)), ["shard", "bucket"])
+    rows = rows.withColumn("nth", F.row_number().over(within) - 1).join(_offsets(keyed(docs, leaves), F.count(F.lit(1))), ["shard", "bucket"])
     return rows.select("doc_id", "text", "lang", "source", "n_chars", "size", "text_crc32", "law", "shard", (F.col("offset") + F.col("nth")).alias("slot"), "grown_shard")
