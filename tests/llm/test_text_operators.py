@@ -108,7 +108,7 @@ def test_ngram_join_pairs_large_groups_across_components(spark, monkeypatch, pai
     """Texts that share a long passage but are no copies, with copies among them, in small blocks; by pairs or by whole sets within cells."""
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     comparer = ngram_join._comparer
-    monkeypatch.setattr(ngram_join, "_comparer", lambda mode: _with_pairs(comparer(mode), pairs))
+    monkeypatch.setattr(ngram_join, "_comparer", lambda: _with_pairs(comparer(), pairs))
     passage = prose(9, 90)
     data = [(i, passage + " " + prose(100 + i // 2, 40 if i % 2 else 42)) for i in range(40)]
     got = ngram_join.similarity_components(spark.createDataFrame(data, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
@@ -475,7 +475,13 @@ def test_growth_moves_rows_into_the_new_shard_only(spark):
         moved += r["count"] * (r.grown_shard == 8)
     assert max(sizes.values()) < 1.15 * min(sizes.values()) and abs(moved - 20000 / 9) < 250
     heavy = tuple(sharding.Leaf(x.shard, x.region, x.rack, 3.0 if x.shard == 0 else 1.0) for x in sharding.EIGHT)
-    assert sharding.shard_of is not None and ids.select(sharding.shard_of(ids.doc_id.cast("string"), heavy).alias("s")).filter("s = 0").count() > 5000
+    both = ids.select(sharding.shard_of(ids.doc_id.cast("string"), sharding.EIGHT).alias("was"), sharding.shard_of(ids.doc_id.cast("string"), heavy).alias("now")).groupBy("was", "now").count().collect()
+    moves = {(r.was, r.now): r["count"] for r in both if r.was != r.now}
+    assert sum(r["count"] for r in both if r.now == 0) > 5000
+    # A changed weight draws keys along its path only: into its region, within it into its rack, within that to the shard.
+    region, rack = {0, 1, 2, 3}, {0, 1}
+    for was, now in moves:
+        assert now in region if was not in region else now in rack if was not in rack else now == 0
 
 
 def brute_targets(sizes):

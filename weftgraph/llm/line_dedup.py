@@ -19,8 +19,11 @@ LEAST = 3
 BROADCAST_LINES = 1_000_000
 # Elements that end a line of text.
 BREAKS = "p|br|div|li|ul|ol|h[1-6]|nav|article|section|footer|header|main|aside|table|tr|td|th|title|head|body|html|blockquote|pre"
-# The named entities that are decoded, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+# The entities that are decoded, by name and by number, the ampersand last.
+ENTITIES = (
+    ("&lt;", "<"), ("&#60;", "<"), ("&gt;", ">"), ("&#62;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&rsquo;", "\u2019"), ("&lsquo;", "\u2018"), ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"),
+    ("&nbsp;", " "), ("&#160;", " "), ("&copy;", "©"), ("&#169;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&bull;", "•"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&"), ("&#38;", "&"),
+)
 
 
 def host_of(url: Column) -> Column:

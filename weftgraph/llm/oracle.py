@@ -81,7 +81,8 @@ def line_dedup() -> str:
     text = f"regexp_replace({text}, '</?(?:{lines.BREAKS})\\b[^>]*>', chr(10), 'gi')"
     text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
     for name, sign in lines.ENTITIES:
-        text = f"replace({text}, '{name}', '{sign}')"
+        quoted = sign.replace("'", "''")
+        text = f"replace({text}, '{name}', '{quoted}')"
     return f"""
         with cut as (
             select row_number() over () as page, page_id, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) as host,
