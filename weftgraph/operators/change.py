@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.model import CodeGraph
@@ -78,23 +78,32 @@ def change_summary(changed: DataFrame) -> DataFrame:
 
 
 def affected_tests(graph: CodeGraph, targets: DataFrame, max_depth: int = 3, max_tests: int = 100) -> DataFrame:
-    """file, kind, distance, confidence of the test files that depend on production targets (column id).
+    """file, distance, confidence, kinds, test_symbols, truncated of the test files that depend on production targets (column id).
 
-    A test that refers to a target directly, or imports its file, is of high confidence; a call path of up to two
-    steps is medium, a longer one low. The nearest evidence of a file counts.
+    What depends on a target or on anything in its file is evidence: a test file that imports is an import_dependency, a direct call
+    a direct_reference, both of high confidence; anything else is a call_path, medium up to two steps, else low. The nearest and the
+    strongest evidence of a file count. Targets that are files or in test files are left out.
     """
-    s = graph.symbols.select("id", "file")
-    production = targets.join(s, "id").filter(~is_test_file(F.col("file")))
-    edges = graph.edges.filter(F.col("type").isin(*IMPACT_TYPES))
-    direct = edges.filter("type <> 'imports'").join(production.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(F.col("from_id").alias("id"), F.lit("direct_reference").alias("kind"), F.lit(1).alias("distance"))
-    files = s.join(production.select("file").distinct(), "file", "left_semi").select(F.col("id").alias("to_id"))
-    imported = edges.filter("type = 'imports'").join(files, "to_id", "left_semi").select(F.col("from_id").alias("id"), F.lit("import_dependency").alias("kind"), F.lit(1).alias("distance"))
-    path = multi_impact(graph, production.select("id"), max_depth).filter("depth > 1").select("id", F.lit("call_path").alias("kind"), F.col("depth").alias("distance"))
-    found = direct.union(imported).union(path).join(s, "id").filter(is_test_file(F.col("file")))
-    order = F.when(F.col("kind") == "direct_reference", 0).when(F.col("kind") == "import_dependency", 1).otherwise(2)
-    best = found.groupBy("file").agg(F.min(F.struct(order.alias("o"), "distance", "kind")).alias("b")).select("file", "b.kind", F.col("b.distance").cast("long").alias("distance"))
-    confidence = F.when(F.col("kind") != "call_path", "high").when(F.col("distance") <= 2, "medium").otherwise("low")
-    return best.select("file", "kind", "distance", confidence.alias("confidence")).orderBy(F.when(confidence == "high", 0).when(confidence == "medium", 1).otherwise(2), "distance", "file").limit(clamp(max_tests, 100, 1000, 1))
+    s = graph.symbols.select("id", "file", "type")
+    production = Scratch(graph.edges.sparkSession, "tests").save(targets.join(s, "id").filter(~is_test_file(F.col("file")) & (F.col("type") != "file")))
+    same = s.join(production.select("file").distinct(), "file", "left_semi").select("id")
+    calls = graph.edges.filter("type = 'calls'").join(same.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(F.col("from_id").alias("id")).distinct().withColumn("direct", F.lit(True))
+    reached = multi_impact(graph, production.select("id"), max_depth).select("id", "depth").union(multi_impact(graph, same, max_depth).select("id", "depth")).groupBy("id").agg(F.min("depth").alias("depth"))
+    found = reached.join(s, "id").filter(is_test_file(F.col("file"))).join(calls, "id", "left")
+    kind = F.when(F.col("type") == "file", "import_dependency").when(F.coalesce("direct", F.lit(False)) & (F.col("depth") == 1), "direct_reference").otherwise("call_path")
+    place = F.when(kind != "call_path", 0).when(F.col("depth") <= 2, 1).otherwise(2)
+    rows = found.withColumn("kind", kind).withColumn("place", place).groupBy("file").agg(
+        F.min("depth").cast("long").alias("distance"), F.min("place").alias("place"), F.sort_array(F.collect_set("kind")).alias("kinds"), F.sort_array(F.collect_set(F.when(F.col("type") != "file", F.col("id")))).alias("test_symbols"))
+    most = clamp(max_tests, 100, 1000, 1)
+    top = rows.orderBy("place", "distance", "file").limit(most + 1)
+    # At most max_tests + 1 rows are numbered.
+    top = top.withColumn("nth", F.row_number().over(Window.orderBy("place", "distance", "file"))).withColumn("truncated", F.max("nth").over(Window.partitionBy()) > most)
+    return top.filter(F.col("nth") <= most).select("file", "distance", F.element_at(F.array(*[F.lit(c) for c in ("high", "medium", "low")]), F.col("place") + 1).alias("confidence"), "kinds", "test_symbols", "truncated")
+
+
+def changed_tests(files: DataFrame) -> DataFrame:
+    """path of the changed files that are tests themselves."""
+    return files.filter(is_test_file(F.col("path"))).select("path").distinct()
 
 
 def structural_edges(graph: CodeGraph, renames: DataFrame | None = None) -> DataFrame:

@@ -125,19 +125,23 @@ def _moved(edges: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
 
 
 def communities(graph: CodeGraph) -> DataFrame:
-    """(id, community) of every node of a graph of up to COMMUNITY_EDGES different weighted pairs.
+    """(id, community) of every node, by repository: the symbols' column repo, or all one without it.
 
-    Moves are sequential by definition, so a graph is one task; many repositories run side by side. Pair
-    weights are summed before they get there. A larger graph is an error, not a different answer.
+    Moves are sequential by definition, so a repository is one task and repositories run side by side; edges between
+    repositories don't count. Pair weights are summed before they get there. A repository of more than COMMUNITY_EDGES
+    weighted pairs is an error, not a different answer.
     """
     kinds = [k for k, w in COMMUNITY_WEIGHT.items() if w]
+    repo = F.col("repo") if "repo" in graph.symbols.columns else F.lit("")
+    nodes = graph.symbols.select("id", "node_key", repo.alias("repo"))
     weighted = graph.edges.filter(F.col("type").isin(*kinds)).groupBy("from_id", "to_id").agg(F.sum(_by(F.col("type"), COMMUNITY_WEIGHT, 0.0)).alias("weight"))
+    end = lambda side: nodes.select(F.col("id").alias(f"{side}_id"), F.col("repo").alias(f"{side}_repo"))
+    weighted = weighted.join(end("from"), "from_id").join(end("to"), "to_id").filter("from_repo = to_repo").select("from_id", "to_id", "weight", F.col("from_repo").alias("repo"))
     weighted = Scratch(graph.edges.sparkSession, "communities").save(weighted)
-    if weighted.count() > COMMUNITY_EDGES:
-        raise ValueError(f"communities are found in graphs of up to {COMMUNITY_EDGES} weighted pairs")
-    one = lambda df: df.withColumn("repo", F.lit(0))
-    edges, nodes = one(weighted), one(graph.symbols.select("id", "node_key"))
-    return edges.groupBy("repo").cogroup(nodes.groupBy("repo")).applyInPandas(lambda e, n: _moved(e, n), "id string, community string")
+    most = weighted.groupBy("repo").agg(F.count(F.lit(1)).alias("pairs")).agg(F.max("pairs").alias("pairs")).first().pairs or 0
+    if most > COMMUNITY_EDGES:
+        raise ValueError(f"communities are found in repositories of up to {COMMUNITY_EDGES} weighted pairs, one has {most}")
+    return weighted.groupBy("repo").cogroup(nodes.groupBy("repo")).applyInPandas(lambda e, n: _moved(e, n), "id string, community string")
 
 
 def community_stats(graph: CodeGraph, membership: DataFrame) -> DataFrame:
@@ -263,16 +267,35 @@ def cycles(graph: CodeGraph, types: tuple[str, ...] = CYCLE_TYPES) -> DataFrame:
 
 def shortest_cycle(graph: CodeGraph, component: DataFrame, kind: str) -> DataFrame:
     """hop, id of the shortest cycle through the smallest node of one component (column id), first discovery in order of node_key."""
-    from weftgraph.operators.traverse import breadth_first, ordered_seeds
+    from weftgraph.operators.traverse import levels, way_back
 
+    spark = graph.edges.sparkSession
     nodes = component.select("id").join(graph.symbols, "id")
     edges = graph.edges.filter(F.col("type") == kind).join(component.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(component.select(F.col("id").alias("to_id")), "to_id", "left_semi")
-    first = ordered_seeds(nodes.orderBy("node_key").limit(1))
+    scratch = Scratch(spark, "cycle")
+    edges = scratch.save(edges.select("from_id", "to_id", "type").distinct())
+    first = nodes.orderBy("node_key").select("id").first()
+    if first is None:
+        return spark.createDataFrame([], "hop int, id string")
+    back = edges.filter(F.col("to_id") == first.id).select(F.col("from_id").alias("id"))
     ways = edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "type", F.lit("forward").alias("direction"), "from_id", "to_id")
-    scratch = Scratch(graph.edges.sparkSession, "cycle")
-    found = breadth_first(graph, first, ways, [F.col("node_key")], 2**20, 2**31 - 1, scratch)
-    back = found.join(edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("start")), "id").join(first.select(F.col("id").alias("start")), "start").orderBy("depth", "ord").limit(1)
-    return back.select(F.posexplode(F.concat("path", F.array("start"))).alias("hop", "id"))
+    seed = spark.createDataFrame([(first.id, 1)], "id string, ord long")
+    closing = lambda level: level.join(back, "id", "left_semi")
+    if not closing(seed).isEmpty():
+        return spark.createDataFrame([(0, first.id), (1, first.id)], "hop int, id string")
+    found = levels(graph, seed, ways, [F.col("node_key")], 2**20, scratch, lambda level: not closing(level).isEmpty())
+    last = closing(found[-1]).orderBy("ord").first()
+    if last is None:
+        return spark.createDataFrame([], "hop int, id string")
+    path = [first.id, *[hop[3] for hop in way_back(found, last.id)], first.id]
+    return spark.createDataFrame(list(enumerate(path)), "hop int, id string")
+
+
+def canonical_cycles(graph: CodeGraph, types: tuple[str, ...] = CYCLE_TYPES) -> dict[tuple[str, str], DataFrame]:
+    """The shortest cycle through the smallest node of each component, by relation and component. A search for each: for reports of a few."""
+    members = Scratch(graph.edges.sparkSession, "cycles").save(cycles(graph, types))
+    keys = [(r.relation, r.component) for r in members.select("relation", "component").distinct().orderBy("relation", "component").collect()]
+    return {(kind, c): shortest_cycle(graph, members.filter((F.col("relation") == kind) & (F.col("component") == c)).select("id"), kind) for kind, c in keys}
 
 
 def repository_map(graph: CodeGraph, areas: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Words that a query drops.
-STOP_WORDS = "a an and are do does how in is it of on the to used uses using what where which".split()
+STOP_WORDS = ["a", "an", "and", "are", "do", "does", "how", "in", "is", "it", "of", "on", "the", "to", "used", "uses", "using", "what", "where", "which"]
 RRF_K = 60
 CHUNK_LINES, OVERLAP = 120, 20
 MOST_TOKENS = 4000
@@ -77,20 +77,47 @@ def lexical_search(documents: DataFrame, query: str, limit: int = 20, file_prefi
     """rank, document_id, file, score and the coverages of the best documents.
 
     A query of one bare identifier that names several logical targets exactly is ambiguous: its rows
-    score 0 and come by file and line, sharing one rank group.
+    score 0 and come by file and line, and those that it names share a rank group. So do methods of one name and
+    score that the rest of the query tells apart by the same parts of their owners' names.
     """
     rows = lexical_scores(documents, query)
     if file_prefix:
         rows = rows.filter(F.col("file").startswith(file_prefix))
     order = [*[F.desc(c) for c in LEXICAL_ORDER], F.col("file"), F.col("start_line"), F.col("document_id")]
-    tokens = query_tokens(query)
-    bare = tokens[0].lower() if len(tokens) == 1 and re.fullmatch(r"[\w$]+", query.strip()) else None
+    bare = bare_identifier(query)
     group = F.lit(None).cast("string")
-    if bare is not None and ambiguous_targets(documents, bare) > 1:
-        order, group = order[4:], F.lit(f"ambiguous:{bare}")
+    if bare and ambiguous_targets(documents.filter(F.col("file").startswith(file_prefix)) if file_prefix else documents, bare) > 1:
+        order, group = order[4:], F.when(names_exactly(bare), F.lit(f"bare-exact:{bare}"))
         rows = rows.withColumn("score", F.lit(0.0))
-    top = rows.orderBy(*order).limit(max(0, limit))
-    return top.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "document_id", "file", "start_line", "score", *LEXICAL_ORDER, group.alias("rank_group"))
+    top = rows.orderBy(*order).limit(max(0, limit)).withColumn("owner_group", owner_group(query))
+    # At most ``limit`` rows are left here.
+    several = F.count(F.lit(1)).over(Window.partitionBy("owner_group")) > 1
+    return top.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "document_id", "file", "start_line", "score", *LEXICAL_ORDER, F.coalesce(group, F.when(several, F.col("owner_group"))).alias("rank_group"))
+
+
+def bare_identifier(query: str) -> str | None:
+    """The query as one identifier, lower-cased and without $; None where it isn't one."""
+    return (query.strip().replace("$", "").lower() or None) if re.fullmatch(r"(?:[^\W\d]|\$)[\w$]*", query.strip()) else None
+
+
+def names_exactly(bare: str) -> Column:
+    """Whether a document's symbol or qualified name is the identifier, or begins with it as a word."""
+    plain = lambda c: F.lower(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("$"), F.lit("")))
+    out = F.lit(False)
+    for c in ("symbol_name", "qualified_name"):
+        out = out | (plain(c) == bare) | plain(c).startswith(bare + " ")
+    return out
+
+
+def owner_group(query: str) -> Column:
+    """What methods share whose owners the query names alike: name, the parts of the query that the owner alone has, and score; null for others."""
+    asked = list(dict.fromkeys(p for t in query_tokens(query) for p in parts_of(t)))
+    if not asked:
+        return F.lit(None).cast("string")
+    own, whole = identifier_parts(F.coalesce("symbol_name", F.lit(""))), identifier_parts(F.coalesce("qualified_name", F.lit("")))
+    evidence = F.array_sort(F.filter(F.array(*[F.lit(p) for p in asked]), lambda p: ~F.array_contains(own, p) & F.array_contains(whole, p)))
+    holds = (F.col("symbol_type") == "method") & (F.size(F.array_distinct(whole)) > F.size(F.array_distinct(own))) & (F.size(evidence) > 0)
+    return F.when(holds, F.concat_ws(":", F.lit("owner-context"), F.lower("symbol_name"), F.array_join(evidence, "+"), F.col("score").cast("string")))
 
 
 def logical_targets(rows: DataFrame) -> DataFrame:
@@ -104,11 +131,7 @@ def logical_targets(rows: DataFrame) -> DataFrame:
 
 
 def ambiguous_targets(documents: DataFrame, bare: str) -> int:
-    plain = lambda c: F.lower(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("$"), F.lit("")))
-    exact = F.lit(False)
-    for c in ("symbol_name", "qualified_name"):
-        exact = exact | (plain(c) == bare) | plain(c).startswith(bare + " ")
-    return logical_targets(documents.filter(exact)).limit(2).count()
+    return logical_targets(documents.filter(names_exactly(bare))).limit(2).count()
 
 
 def _equals(word: str):
@@ -166,27 +189,42 @@ def token_count(text: Column) -> Column:
     return F.when(t == "", 0).otherwise(F.size(F.split(t, r"\s+"))).cast("long")
 
 
-def context_block(nth: Column, file: Column, content: Column) -> Column:
-    return F.concat(F.lit("## Context "), nth.cast("string"), F.lit("\nFile: "), file, F.lit("\n\n"), content)
+def context_block(nth: Column, score: Column) -> Column:
+    """A document's block in the rendered context; documents have file, symbol_name, symbol_type, start_line, end_line, content."""
+    known = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other))
+    lines = [
+        F.concat(F.lit("## Context "), nth.cast("string")), F.concat(F.lit("File: "), known("file", "unknown")), F.concat(F.lit("Symbol: "), known("symbol_name", "unknown")), F.concat(F.lit("Type: "), known("symbol_type", "unknown")),
+        F.concat(F.lit("Lines: "), known("start_line", "?"), F.lit("-"), known("end_line", "?")), F.concat(F.lit("Score: "), F.format_string("%.4f", score)), F.lit(""), F.coalesce("content", F.lit("")),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
+#: Tokens of what stands between two blocks: one rule.
+BETWEEN = 1
+
+
+def rendered_context(documents: DataFrame) -> DataFrame:
+    """(context): the blocks of the ranked documents (rank, score and what `context_block` reads) with a rule between them."""
+    block = F.struct("rank", context_block(F.row_number().over(Window.orderBy("rank")), F.col("score")).alias("block"))
+    return documents.select(block.alias("b")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["block"]), "\n\n---\n\n").alias("context"))
 
 
-def greedy_budget(items: DataFrame, budget: int = MOST_TOKENS, double_count: bool = True) -> DataFrame:
-    """(rank, tokens) with included: a later small item may fit where an earlier one didn't.
+def greedy_budget(items: DataFrame, budget: int = MOST_TOKENS) -> DataFrame:
+    """(rank, tokens) of blocks into rank, tokens, included: tokens of the context rendered with the item, and whether it is taken.
 
-    With ``double_count`` an item is tested with the running total plus the whole rendering it would make,
-    as the reference counts; else with the total plus its own tokens. The items are a ranked list of at most some
-    thousands (retrieval limits), folded in one row.
+    An item is tested with what is used plus the whole rendering it would make, which counts what is used twice; a later
+    small item may fit where an earlier one didn't. The items are a ranked list of at most some hundreds (retrieval's limits), folded in one row.
     """
-    ordered = items.agg(F.sort_array(F.collect_list(F.struct("rank", "tokens"))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<bigint>)").alias("kept"))
+    ordered = items.agg(F.sort_array(F.collect_list(F.struct(F.col("rank").cast("long").alias("rank"), F.col("tokens").cast("long").alias("tokens")))).alias("items"))
+    decided = "array<struct<rank:bigint,tokens:bigint,included:boolean>>"
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr(f"cast(array() as {decided})").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        cost = acc["used"] * (2 if double_count else 1) + x["tokens"]
-        fits = cost <= budget
-        return F.struct(F.when(fits, acc["used"] + x["tokens"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x["rank"].cast("long")))).otherwise(acc["kept"]).alias("kept"))
+        rendered = acc["used"] + x["tokens"] + F.when(acc["used"] > 0, BETWEEN).otherwise(0)
+        fits = acc["used"] + rendered <= budget
+        return F.struct(F.when(fits, rendered).otherwise(acc["used"]).cast("long").alias("used"), F.concat(acc["out"], F.array(F.struct(x["rank"].alias("rank"), rendered.cast("long").alias("tokens"), fits.alias("included")))).alias("out"))
 
-    folded = ordered.select("items", F.aggregate("items", start, step).alias("out"))
-    return folded.select(F.explode("items").alias("x"), "out").select(F.col("x.rank").cast("long").alias("rank"), F.col("x.tokens").cast("long").alias("tokens"), F.array_contains("out.kept", F.col("x.rank").cast("long")).alias("included"))
+    return ordered.select(F.explode(F.aggregate("items", start, step)["out"]).alias("x")).select("x.*")
 
 
 def split_chunks(documents: DataFrame, lines: int = CHUNK_LINES, overlap: int = OVERLAP) -> DataFrame:
@@ -229,6 +267,7 @@ def inspect_retrieval(documents: DataFrame, vectors: DataFrame, query: str, vect
     lex = lexical_search(documents, query, top_k).select(F.col("document_id").alias("key"), "rank", "rank_group")
     vec = vector_search(vectors, vector, top_k).select(F.col("point_id").alias("key"), "rank")
     both = fused(vec, lex, top_k).withColumnRenamed("rank", "fused_rank")
-    rows = both.join(documents.select(F.col("document_id").alias("key"), token_count(F.col("content")).alias("tokens")), "key", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-    kept = greedy_budget(rows.select(F.col("fused_rank").alias("rank"), "tokens"), budget).select(F.col("rank").alias("fused_rank"), "included")
-    return rows.join(kept, "fused_rank").select("key", "vector_rank", "lexical_rank", "fused_rank", (F.col("fused_rank") <= rerank).alias("reranked"), "tokens", "included")
+    # The block's number and score are one token each, whatever they are; a key without a document renders as an empty block.
+    rows = both.withColumnRenamed("key", "document_id").join(documents, "document_id", "left").withColumn("block", token_count(context_block(F.lit(1), F.lit(0.0))))
+    kept = greedy_budget(rows.select(F.col("fused_rank").alias("rank"), F.col("block").alias("tokens")), budget).withColumnRenamed("rank", "fused_rank")
+    return rows.select(F.col("document_id").alias("key"), "vector_rank", "lexical_rank", "fused_rank").join(kept, "fused_rank").select("key", "vector_rank", "lexical_rank", "fused_rank", (F.col("fused_rank") <= rerank).alias("reranked"), "tokens", "included")

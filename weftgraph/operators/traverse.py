@@ -7,6 +7,8 @@ its edges. Ordinals continue that order, so limits cut exactly where a queue wou
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,12 +46,12 @@ def steps(graph: CodeGraph, types: tuple[str, ...] | None, directions: tuple[str
     return out
 
 
-def breadth_first(graph: CodeGraph, seeds: DataFrame, ways: DataFrame, order: list[Column], max_depth: int, max_new: int, scratch: Scratch, stop_at: str | None = None) -> DataFrame:
+def breadth_first(graph: CodeGraph, seeds: DataFrame, ways: DataFrame, order: list[Column], max_depth: int, max_new: int, scratch: Scratch) -> DataFrame:
     """id, depth, ord, parent, type, direction, path of the seeds (depth 0) and of at most ``max_new`` nodes found from them.
 
     seeds: (id, ord). ``order`` sorts the edges of one parent; it may use the step's columns and the
-    found node's node_key. Ends early once ``stop_at`` is found. The frontier is at most ``max_new`` rows
-    after the seeds, so each level's ordinals are assigned over few rows.
+    found node's node_key. The frontier is at most ``max_new`` rows after the seeds (a result limit of some hundreds), so each
+    level's ordinals are assigned over few rows. `levels` is for searches without such a limit.
     """
     keyed = scratch.save(ways.join(graph.symbols.select(F.col("id").alias("dst"), "node_key"), "dst"))
     none = F.lit(None).cast("string")
@@ -71,11 +73,46 @@ def breadth_first(graph: CodeGraph, seeds: DataFrame, ways: DataFrame, order: li
         found += size
         known = known.union(level)
         frontier = level
-        if stop_at is not None and not level.filter(F.col("id") == stop_at).isEmpty():
-            break
     return known
 
 
+def levels(graph: CodeGraph, seeds: DataFrame, ways: DataFrame, order: list[Column], max_depth: int, scratch: Scratch, arrived: Callable[[DataFrame], bool]) -> list[DataFrame]:
+    """The levels of an unlimited search, each a table (id, ord, parent, type, direction), until one has arrived or nothing is new.
+
+    A row holds its parent only. Ordinals are the places of a sort by ranges, so no level is numbered in one task:
+    they rise in the order in which a queue would find the nodes, with gaps.
+    """
+    keyed = scratch.save(ways.join(graph.symbols.select(F.col("id").alias("dst"), "node_key"), "dst"))
+    none = F.lit(None).cast("string")
+    out = [scratch.save(seeds.select("id", F.col("ord").cast("long").alias("ord"), none.alias("parent"), none.alias("type"), none.alias("direction")))]
+    known = out[0].select("id")
+    for _ in range(max_depth):
+        front = out[-1].select(F.col("id").alias("src"), F.col("ord").alias("parent_ord"))
+        reached = keyed.join(front, "src").join(known.withColumnRenamed("id", "dst"), "dst", "left_anti")
+        keys = [*[c.alias(f"o{i}") for i, c in enumerate(order)], "from_id", "to_id"]
+        place = F.struct("parent_ord", *keys).alias("place")
+        # The first discovery of a node is an argmin, which is combined before the shuffle.
+        new = reached.select("dst", place, "src", "type", "direction").groupBy("dst").agg(F.min_by(F.struct("place", "src", "type", "direction"), "place").alias("x")).select(F.col("dst").alias("id"), "x.*")
+        level = scratch.save(new.orderBy("place").select("id", F.monotonically_increasing_id().alias("ord"), F.col("src").alias("parent"), "type", "direction"))
+        if level.isEmpty():
+            break
+        out.append(level)
+        known = known.union(level.select("id"))
+        if arrived(level):
+            break
+    return out
+
+
+def way_back(found: list[DataFrame], node_id: str) -> list[tuple]:
+    """(parent, type, direction, id) of the hops from a seed to a node of the last level; one row is read for each."""
+    hops = []
+    for level in reversed(found[1:]):
+        row = level.filter(F.col("id") == node_id).first()
+        hops.append((row.parent, row.type, row.direction, row.id))
+        node_id = row.parent
+    return hops[::-1]
+
+
 def ordered_seeds(rows: DataFrame) -> DataFrame:
     """(id, ord) in the order of node_key."""
     return rows.select("id", F.row_number().over(Window.orderBy("node_key")).alias("ord"))
@@ -125,10 +162,11 @@ def trace(graph: CodeGraph, source: str, target: str, max_depth: int | None = No
     ways = steps(graph, types, ("forward",) if mode == "directed" else ("forward", "inverse"))
     seeds = graph.symbols.filter(F.col("id") == source).select("id", F.lit(1).alias("ord"))
     order = [priority("type", TRACE_PRIORITY), F.col("node_key"), F.col("direction")]
-    known = breadth_first(graph, seeds, ways, order, clamp(max_depth, 8, 32), 2**31 - 1, Scratch(spark, "trace"), target)
-    path = known.filter(F.col("id") == target).select(F.posexplode("path").alias("pos", "id"))
-    back = path.join(known.select("id", "parent", "type", "direction"), "id").filter("pos > 0")
-    return back.select(F.col("pos").cast("long").alias("hop"), F.col("parent").alias("from_id"), F.col("type").alias("relation"), "direction", F.col("id").alias("to_id")).orderBy("hop")
+    there = lambda level: not level.filter(F.col("id") == target).isEmpty()
+    found = levels(graph, seeds, ways, order, clamp(max_depth, 8, 32), Scratch(spark, "trace"), there)
+    if len(found) < 2 or not there(found[-1]):
+        return spark.createDataFrame([], hops)
+    return spark.createDataFrame([(i, parent, kind, direction, node) for i, (parent, kind, direction, node) in enumerate(way_back(found, target), 1)], hops)
 
 
 def expand(graph: CodeGraph, seeds: DataFrame, max_depth: int = 2, max_nodes: int = 8) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MESSAGE_KEYS = ("protocol_kind", "destination_kind", "destination", "consumer_kind")
@@ -10,11 +10,30 @@ ENTRY_KINDS = ("route", "graphql_operation", "graphql_field", "scheduled_job", "
 RECORDS = 1000
 
 
+def consumer_kind_of(protocol: Column, producer_kind: Column) -> Column:
+    """The kind of consumer that a producer reaches: events for Kafka and event producers, else requests that are answered."""
+    return F.when((protocol == "kafka") | (producer_kind == "event"), "event").otherwise("request_response")
+
+
 def message_links(producers: DataFrame, consumers: DataFrame, limit: int = RECORDS) -> DataFrame:
-    """producer, consumer and their shared keys within one repository; a producer kind that is its consumers' kind."""
-    p = producers.select(F.col("id").alias("producer"), "repo", *MESSAGE_KEYS[:3], F.col("producer_kind").alias("consumer_kind"))
+    """place, record (producer, link, unlinked), repo, producer, consumer, cardinality: the first ``limit`` records, and truncated.
+
+    producers: id, repo, protocol_kind, destination_kind, destination, producer_kind. consumers: id, repo, MESSAGE_KEYS. A producer comes with its
+    record and then with its links, or one as unlinked; one budget covers them all, in order of repo and producer. Since every
+    producer takes a record, only the first ``limit`` of them are joined. truncated is set where records were left out.
+    """
+    p = producers.select("repo", F.col("id").alias("producer"), *MESSAGE_KEYS[:3], consumer_kind_of(F.col("protocol_kind"), F.col("producer_kind")).alias("consumer_kind"))
+    p = p.orderBy("repo", "producer").limit(limit + 1)
     c = consumers.select(F.col("id").alias("consumer"), "repo", *MESSAGE_KEYS)
-    return p.join(c, ["repo", *MESSAGE_KEYS]).select("repo", "producer", "consumer", *MESSAGE_KEYS).orderBy("repo", "producer", "consumer").limit(limit)
+    links = p.join(c, ["repo", *MESSAGE_KEYS], "left").select("repo", "producer", "consumer")
+    matched = links.groupBy("repo", "producer").agg(F.count("consumer").alias("n"))
+    cardinality = F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "one").otherwise("many")
+    records = matched.select("repo", "producer", F.lit(0).alias("step"), F.lit("producer").alias("record"), F.lit(None).cast("string").alias("consumer"), cardinality.alias("cardinality")).union(
+        links.select("repo", "producer", F.lit(1).alias("step"), F.when(F.col("consumer").isNull(), "unlinked").otherwise("link").alias("record"), "consumer", F.lit(None).cast("string").alias("cardinality")))
+    order = ["repo", "producer", "step", "consumer"]
+    # At most limit + 1 rows are numbered.
+    placed = records.orderBy(*order).limit(limit + 1).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).withColumn("truncated", F.max("place").over(Window.partitionBy()) > limit)
+    return placed.filter(F.col("place") <= limit).select("place", "record", "repo", "producer", "consumer", "cardinality", "truncated")
 
 
 def cross_message_links(producers: DataFrame, consumers: DataFrame) -> DataFrame:
@@ -24,7 +43,7 @@ def cross_message_links(producers: DataFrame, consumers: DataFrame) -> DataFrame
     popular destination meets its producers as one row for each repository.
     """
     keys = [*MESSAGE_KEYS, "framework"]
-    p = producers.select("repo", F.col("id").alias("producer"), *MESSAGE_KEYS[:3], F.col("producer_kind").alias("consumer_kind"), "framework", "proven")
+    p = producers.select("repo", F.col("id").alias("producer"), *MESSAGE_KEYS[:3], consumer_kind_of(F.col("protocol_kind"), F.col("producer_kind")).alias("consumer_kind"), "framework", "proven")
     c = consumers.groupBy(F.col("repo").alias("there"), *keys).agg(F.count(F.lit(1)).alias("n"))
     joined = p.join(c, keys, "left").groupBy("repo", "producer", "proven").agg(F.coalesce(F.sum(F.when(F.col("there") != F.col("repo"), F.col("n"))), F.lit(0)).alias("matches"))
     cardinality = F.when(~F.col("proven"), "unknown").when(F.col("matches") == 0, "none").when(F.col("matches") == 1, "one").otherwise("many")

@@ -33,7 +33,15 @@ def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("region/"), F.lpad(F.col("n_regionkey").cast("string"), 10, "0"), F.lit("/nation/"), F.lpad(F.col("n_nationkey").cast("string"), 10, "0"))
     rows = e.join(F.broadcast(n), (F.col("user_id") % 25) == F.col("n_nationkey"))
     start, lines = (1 + F.col("event_id") % 500).cast("int"), (F.col("event_id") % 5).cast("int")
-    return rows.select(path.alias("path"), start.alias("old_start"), F.lit(0).alias("old_lines"), start.alias("new_start"), lines.alias("new_lines"))
+    return rows.select(path.alias("path"), start.alias("old_start"), (F.col("event_id") % 3).cast("int").alias("old_lines"), start.alias("new_start"), lines.alias("new_lines"))
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Symbols before, without orders of the last years, and after, without those of the first."""
+    symbols = graph_of(spark, sf_dir).symbols
+    dated = read_table(spark, sf_dir, "orders").select(F.concat(F.lit("method:orders/"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("id"), F.year("o_orderdate").alias("year"))
+    rows = symbols.join(dated, "id", "left")
+    return rows.filter("year is null or year <= 1996").drop("year"), rows.filter("year is null or year >= 1994").drop("year")
 
 
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +63,12 @@ def gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(kind.alias("kind"), (F.col("event_id") % 3).alias("count"), F.col("event_type").alias("file"))
 
 
+def uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of errors as symbols without a test."""
+    e = read_table(spark, sf_dir, "events")
+    return e.filter("event_type = 'error'").select(F.col("event_type").alias("file"), F.concat(F.lit("s"), (F.col("event_id") % 11).cast("string")).alias("symbol_id"))
+
+
 GROUPS = tuple(policy.Group(f"region{i}", (f"region/{i:010d}/**",)) for i in range(5))
 RULES = (policy.Rule("no-0-1", "region0", "region1", severity="high"), policy.Rule("no-2-3", "region2", "region3"), policy.Rule("no-4-0", "region4", "region0", severity="low"))
 BASELINE = policy.Policy(GROUPS, RULES[:1])
@@ -73,12 +87,15 @@ def import_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return imports, lib.union(near)
 
 
-def messages(spark: SparkSession, sf_dir: str, consuming: str = "o_orderkey % 50 = 1") -> tuple[DataFrame, DataFrame]:
+def messages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Even orders as producers, odd ones as consumers of events and requests over Kafka or another protocol."""
     ship(spark)
     o = read_table(spark, sf_dir, "orders")
-    base = [F.concat(F.lit("repo"), (F.col("o_custkey") % 7).cast("string")).alias("repo"), F.col("o_orderkey").cast("string").alias("id"), F.lit("topic").alias("protocol_kind"), F.lit("literal").alias("destination_kind"), F.concat_ws("/", "o_orderpriority", (F.col("o_custkey") % 40).cast("string")).alias("destination"), F.lit("nest").alias("framework")]
-    producers = o.filter("o_orderkey % 2 = 0").select(*base, F.lit("listener").alias("producer_kind"), (F.col("o_orderkey") % 10 != 0).alias("proven"))
-    consumers = o.filter(consuming).select(*base, F.lit("listener").alias("consumer_kind"))
+    kafka = F.col("o_custkey") % 3 == 0
+    base = [F.concat(F.lit("repo"), (F.col("o_custkey") % 7).cast("string")).alias("repo"), F.col("o_orderkey").cast("string").alias("id"), F.when(kafka, "kafka").otherwise("unspecified").alias("protocol_kind"), F.lit("literal").alias("destination_kind"),
+            F.concat_ws("/", "o_orderpriority", (F.col("o_custkey") % 40).cast("string")).alias("destination"), F.when(kafka, "spring").otherwise("nestjs").alias("framework")]
+    producers = o.filter("o_orderkey % 2 = 0").select(*base, F.when(F.col("o_orderkey") % 4 == 0, "event").otherwise("request").alias("producer_kind"), (F.col("o_orderkey") % 10 != 0).alias("proven"))
+    consumers = o.filter("o_orderkey % 2 <> 0").select(*base, F.when(kafka | (F.col("o_orderkey") % 3 == 0), "event").otherwise("request_response").alias("consumer_kind"))
     return producers, consumers
 
 
@@ -99,8 +116,7 @@ def candidate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     def changed(s: SparkSession, d: str) -> DataFrame:
-        g = graph_of(s, d)
-        return change.changed_symbols(g.symbols, g.symbols, changed_files(s, d), hunks(s, d))
+        return change.changed_symbols(*snapshots(s, d), changed_files(s, d), hunks(s, d))
 
     def changed_impact(s: SparkSession, d: str) -> DataFrame:
         g = only(graph_of(s, d), "calls")
@@ -111,8 +127,13 @@ def queries() -> dict:
         g = graph_of(s, d)
         names = g.symbols.filter("type = 'interface'").select("id", "file", "name", F.lit("function").alias("type"))
         sites = names.select(F.concat(F.lit("site:"), "id").alias("site_id"), "file", F.col("name").alias("callee"), F.lit("typescript").alias("language"), (F.col("id").like("%7")).alias("uncertain"))
-        bound = g.symbols.limit(0).select("file", F.col("name").alias("local_name"), F.col("file").alias("target_file"), F.col("name").alias("imported_name"))
-        return resolution.decide(sites, resolution.call_candidates(sites, names, bound)).select("site_id", "status", "target", "strategy", "confidence", F.array_join("candidates", " ").alias("candidates"), "reason")
+        classes = g.symbols.filter("type = 'class'").select("id", "file", "name", "type")
+        file_of = g.symbols.filter("type = 'file'").select("id", "file")
+        pairs = g.edges.filter("type = 'imports'").join(file_of.select(F.col("id").alias("from_id"), F.col("file").alias("importer")), "from_id").join(file_of.select(F.col("id").alias("to_id"), F.col("file").alias("target_file")), "to_id")
+        used = pairs.join(classes.select(F.col("file").alias("target_file"), "name", "id"), "target_file")
+        bound = used.select(F.col("importer").alias("file"), F.concat(F.lit("a "), "name").alias("local_name"), "target_file", F.col("name").alias("imported_name"))
+        sites = sites.union(used.select(F.concat_ws(":", F.lit("use"), "importer", "id"), "importer", F.concat(F.lit("a "), "name"), F.lit("typescript"), F.lit(False)))
+        return resolution.decide(sites, resolution.call_candidates(sites, names.union(classes), bound)).select("site_id", "status", "target", "strategy", "confidence", F.array_join("candidates", " ").alias("candidates"), "reason")
 
     def owners(s: SparkSession, d: str) -> DataFrame:
         e = hunks(s, d).filter("new_lines > 0")
@@ -156,6 +177,41 @@ def queries() -> dict:
         o = read_table(s, d, "orders").groupBy(F.concat(F.when(F.col("o_custkey") % 2 == 0, "hit_").otherwise("tokens_"), "o_orderpriority").alias("metric"))
         return evaluation.against_policy(o.agg(F.sum(F.col("o_orderkey") % 10).alias("value")), o.agg(F.sum(F.col("o_orderkey") % 9).alias("value")).filter("metric not like '%URGENT'"))
 
+    def reexported(s: SparkSession, d: str) -> DataFrame:
+        """Suppliers as the names that nations export, handed on whole along imports."""
+        g = graph_of(s, d)
+        own = g.symbols.filter("type = 'class'").select("file", "name", F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("string").alias("source_name"))
+        file_of = g.symbols.filter("type = 'file'").select("id", "file")
+        stars = g.edges.filter("type = 'imports'").join(file_of.select(F.col("id").alias("from_id"), "file"), "from_id").join(file_of.select(F.col("id").alias("to_id"), F.col("file").alias("source_file")), "to_id")
+        none = F.lit(None).cast("string")
+        return resolution.reexports(own.union(stars.select("file", none, "source_file", none)))
+
+    def scopes(s: SparkSession, d: str) -> DataFrame:
+        """Files hold customers, customers their orders."""
+        sym = graph_of(s, d).symbols
+        file_of = sym.filter("type = 'file'").select("file", F.col("id").alias("file_id"))
+        owner = F.concat(F.lit("function:"), F.replace(F.substring_index("qualified_name", ".orders", 1), F.lit("."), F.lit("/")))
+        rows = sym.filter("type in ('file', 'function', 'method')").join(file_of, "file")
+        return rows.select("file", F.col("id").alias("scope_id"), F.when(F.col("type") == "method", owner).when(F.col("type") == "function", F.col("file_id")).alias("parent_id"))
+
+    def bindings(s: SparkSession, d: str) -> DataFrame:
+        """Each order asks for a name that its file binds, and every tenth customer too."""
+        tree = scopes(s, d)
+        sites = tree.filter("scope_id like 'method:%'").select(F.col("scope_id").alias("site_id"), "file", "scope_id", F.lit("x").alias("name"))
+        bound = tree.filter("scope_id like 'file:%'").select("file", "scope_id", F.lit("x").alias("name"), F.concat(F.lit("file:"), "file").alias("target")).union(
+            tree.filter("scope_id like 'function:%0'").select("file", "scope_id", F.lit("x").alias("name"), F.concat(F.lit("own:"), "scope_id").alias("target")))
+        return resolution.innermost_binding(sites, resolution.scope_closure(tree), bound)
+
+    def members(s: SparkSession, d: str) -> DataFrame:
+        """Orders as calls of methods on `this` or a variable, over five classes."""
+        ship(s)
+        o = read_table(s, d, "orders")
+        n = lambda prefix, column, m: F.concat(F.lit(prefix), (F.col(column) % m).cast("string"))
+        sites = o.select(F.col("o_orderkey").cast("string").alias("site_id"), n("f", "o_custkey", 7).alias("file"), n("C", "o_custkey", 5).alias("owner_class"), F.when(F.col("o_orderkey") % 3 == 0, "this").otherwise(n("r", "o_orderkey", 4)).alias("receiver"), n("m", "o_orderkey", 6).alias("method"), F.lit("typescript").alias("language"), F.lit(False).alias("uncertain"))
+        methods = s.createDataFrame([(f"C{c}.m{m}", f"C{c}", f"m{m}") for c in range(5) for m in range(6) if (c + m) % 4], "id string, class_name string, name string")
+        types = s.createDataFrame(TYPES, "file string, owner_class string, receiver string, type_name string, how string")
+        return resolution.decide(sites, resolution.member_candidates(sites, methods, types)).select("site_id", "status", "target", "strategy")
+
     return {
         "coverage_merge": coverage,
         "accepted_evidence": evidence,
@@ -165,7 +221,7 @@ def queries() -> dict:
         "change_summary": lambda s, d: change.change_summary(changed(s, d)),
         "unmapped_hunks": lambda s, d: change.unmapped_hunks(graph_of(s, d).symbols, graph_of(s, d).symbols, changed_files(s, d), hunks(s, d)),
         "changed_impact": changed_impact,
-        "affected_tests": lambda s, d: change.affected_tests(as_tests(graph_of(s, d)), graph_of(s, d).symbols.filter("id = 'interface:part/0000000001'").select("id")),
+        "affected_tests": lambda s, d: change.affected_tests(as_tests(graph_of(s, d)), graph_of(s, d).symbols.filter("id = 'interface:part/0000000001'").select("id")).withColumns({"kinds": F.array_join("kinds", " "), "test_symbols": F.array_join("test_symbols", " ")}),
         "graph_delta": lambda s, d: change.graph_delta(before_graph(s, d), uses_graph(s, d), None, 1000),
         "delta_summary": lambda s, d: change.delta_summary(before_graph(s, d), uses_graph(s, d)),
         "repository_status": status,
@@ -179,22 +235,29 @@ def queries() -> dict:
         "reliability": lambda s, d: reliability.aggregate_reliability(contributions(s, d)),
         "coverage_gaps": lambda s, d: reliability.coverage_gaps(gap_rows(s, d)),
         "merge_gaps": lambda s, d: reliability.merge_gaps(gap_rows(s, d)),
-        "verification_targets": lambda s, d: reliability.verification_targets(gap_rows(s, d), gap_rows(s, d).limit(0).select("file", F.lit(None).cast("string").alias("symbol_id"))),
+        "verification_targets": lambda s, d: reliability.verification_targets(gap_rows(s, d), uncovered(s, d)),
         "diagnostics_summary": lambda s, d: reliability.diagnostics_summary(gap_rows(s, d)),
         "resolve_imports": lambda s, d: resolution.resolve_imports(*import_rows(s, d)),
         "call_decisions": decisions,
         "direct_owner": owners,
         "message_links": lambda s, d: workspace.message_links(*messages(s, d)),
         "workspace_message_links": lambda s, d: workspace.cross_message_links(*messages(s, d)),
-        "workspace_message_links_whole": lambda s, d: workspace.cross_message_links(*messages(s, d, "o_orderkey % 2 <> 0")),
-        "message_links_whole": lambda s, d: workspace.message_links(*messages(s, d, "o_orderkey % 2 <> 0")),
         "workspace_package_links": lambda s, d: workspace.package_links(*packages(s, d)),
         "workspace_map": lambda s, d: workspace.workspace_map(by_region(graph_of(s, d)), by_region_edges(graph_of(s, d))),
         "task_context_ranking": lambda s, d: context_rows(s, d).withColumn("signal", F.round("signal", 9)),
         "task_context_budget": lambda s, d: context.budgeted(context_rows(s, d)).select("rank", "subject", "included"),
+        "reexports": reexported,
+        "scope_closure": lambda s, d: resolution.scope_closure(scopes(s, d)),
+        "innermost_bindings": bindings,
+        "member_calls": members,
     }
 
 
+#: Types of receivers: (file, class that they hold in or None, receiver, type, how it is known); two kinds for some, none for others.
+TYPES = [(f"f{f}", None if r < 2 else f"C{(f + r) % 5}", f"r{r}", f"C{(f + r + more) % 5}", ("declared", "constructor", "parameter", "assignment")[(f + r) % 4]) for f in range(7) for r in range(3) for more in ((0, 1) if f % 3 == 0 else (0,))]
+_TYPES_SQL = [(f[1:], "null" if owner is None else f"'{owner}'", r[1:], kind, how) for f, owner, r, kind, how in TYPES]
+
+
 def as_tests(g: CodeGraph) -> CodeGraph:
     """Every third order in a test folder of its nation."""
     test = (F.col("type") == "method") & F.col("id").rlike("[369]$")
@@ -217,7 +280,14 @@ def invalidation_input(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def oracle_sql() -> dict[str, str]:
     hunk = """, hunk as (
-        select 'region/' || lpad(n_regionkey::varchar, 10, '0') || '/nation/' || lpad(n_nationkey::varchar, 10, '0') as path, (1 + event_id % 500)::int as s, (event_id % 5)::int as n from events join nation on user_id % 25 = n_nationkey)"""
+        select 'region/' || lpad(n_regionkey::varchar, 10, '0') || '/nation/' || lpad(n_nationkey::varchar, 10, '0') as path, (1 + event_id % 500)::int as s, (event_id % 5)::int as n, (event_id % 3)::int as o from events join nation on user_id % 25 = n_nationkey)"""
+    touched = lambda side: f"select distinct id, file, type, coalesce(qualified_name, name) as label from {side} x join hunk on path = file and {'n' if side == 'late_side' else 'o'} > 0 and coalesce(start_line, end_line, 0) <= s + {'n' if side == 'late_side' else 'o'} - 1 and coalesce(end_line, start_line, 0) >= s"
+    snap = f""", dated as (select x.*, year(o_orderdate) as y from symbols x left join orders on x.id = 'method:orders/' || lpad(o_orderkey::varchar, 10, '0')),
+        early_side as materialized (select * from dated where y is null or y <= 1996), late_side as materialized (select * from dated where y is null or y >= 1994),
+        new_hit as materialized ({touched("late_side")}), old_hit as materialized ({touched("early_side")}),
+        kinds as (
+            select id, file, case when exists (select 1 from early_side b where (b.file, b.type, coalesce(b.qualified_name, b.name)) = (h.file, h.type, h.label) and b.file in (select path from hunk)) then 'modified' else 'added' end as change_kind from new_hit h
+            union all select id, file, 'deleted' from old_hit where (file, type, label) not in (select (file, type, label) from new_hit))"""
     key = lambda t: f"case when {t}.type = 'file' then 'file:' || {t}.file else 'symbol:' || {t}.file || ':' || {t}.type || ':' || coalesce({t}.qualified_name, {t}.name) end"
     delta = f""", early as (select distinct 'method:orders/' || lpad(l_orderkey::varchar, 10, '0') as from_id, 'interface:part/' || lpad(l_partkey::varchar, 10, '0') as to_id from lineitem where l_shipdate < timestamp '{SPLIT}'),
         late as (select from_id, to_id from edges where type = 'calls' and from_id like 'method:%'),
@@ -229,17 +299,14 @@ def oracle_sql() -> dict[str, str]:
     outcomes = "[" + ", ".join(f"'{o}'" for o in reliability.OUTCOMES) + "]"
     gaps = "[" + ", ".join(f"'{g}'" for g in reliability.GAPS) + "]"
     gap = f"with gap as (select ({gaps})[(event_id % 13 + 1)::int] as kind, event_id % 3 as count, event_type as file from events)"
-    msg = """with o as (select 'repo' || (o_custkey % 7) as repo, o_orderkey as k, o_orderkey::varchar as id, o_orderpriority || '/' || (o_custkey % 40) as destination from orders),
-        p as (select *, k % 10 <> 0 as proven from o where k % 2 = 0), c as (select * from o where k % 50 = 1)"""
-    links = {
-        "message_links": f"{msg} select p.repo, p.id as producer, c.id as consumer, 'topic' as protocol_kind, 'literal' as destination_kind, p.destination, 'listener' as consumer_kind from p join c using (repo, destination) order by repo, producer, consumer limit 1000",
-        "workspace_message_links": f"""{msg}, n as (select destination, repo as there, count(*) as n from c group by all), j as (select p.repo, p.id as producer, p.proven, coalesce(sum(n) filter (there <> p.repo), 0)::bigint as matches from p left join n using (destination) group by all)
-            select repo, producer, matches, case when not proven then 'unknown' when matches = 0 then 'none' when matches = 1 then 'one' else 'many' end as cardinality from j""",
-    }
-    return {f"{k}_whole": v.replace("k % 50 = 1", "k % 2 <> 0") for k, v in links.items()} | {
-        "changed_symbols": with_graph("select distinct id, file, 'modified' as change_kind from symbols join hunk on path = file and n > 0 and coalesce(start_line, end_line, 0) <= s + n - 1 and coalesce(end_line, start_line, 0) >= s", more=hunk),
-        "change_summary": with_graph("select count(distinct file) as files, count(*) as modified, 0::bigint as added, 0::bigint as deleted from (select distinct id, file from symbols join hunk on path = file and n > 0 and coalesce(start_line, end_line, 0) <= s + n - 1 and coalesce(end_line, start_line, 0) >= s)", more=hunk),
-        "unmapped_hunks": with_graph("select path, s as new_start from hunk where not exists (select 1 from symbols where path = file and n > 0 and coalesce(start_line, end_line, 0) <= s + n - 1 and coalesce(end_line, start_line, 0) >= s)", more=hunk),
+    msg = """with o as (
+            select 'repo' || (o_custkey % 7) as repo, o_orderkey as k, o_orderkey::varchar as id, o_custkey % 3 = 0 as kafka, o_orderpriority || '/' || (o_custkey % 40) as destination from orders),
+        p as (select *, k % 10 <> 0 as proven, case when kafka or k % 4 = 0 then 'event' else 'request_response' end as kind from o where k % 2 = 0),
+        c as (select *, case when kafka or k % 3 = 0 then 'event' else 'request_response' end as kind from o where k % 2 <> 0)"""
+    return {
+        "changed_symbols": with_graph("select * from kinds", more=hunk + snap),
+        "change_summary": with_graph("select count(distinct file) as files, " + ", ".join(f"count(*) filter (change_kind = '{k}') as {k}" for k in ("modified", "added", "deleted")) + " from kinds", more=hunk + snap),
+        "unmapped_hunks": with_graph("select path, s as new_start from hunk where not exists (select 1 from symbols where path = file and greatest(n, o) > 0 and coalesce(start_line, end_line, 0) <= s + greatest(n, o) - 1 and coalesce(end_line, start_line, 0) >= s)", more=hunk),
         "changed_impact": with_graph("""
             , seed as (select id from symbols where type = 'interface' and id like '%00'), c as (select distinct from_id, to_id from edges where type = 'calls'),
             one as (select distinct from_id as id, to_id as origin from c where to_id in (select id from seed) and from_id not in (select id from seed)),
@@ -247,6 +314,17 @@ def oracle_sql() -> dict[str, str]:
             select id, 1::bigint as depth, string_agg(origin, ' ' order by origin) as origins from one group by id union all select id, 2, string_agg(origin, ' ' order by origin) from two group by id"""),
         "graph_delta": with_graph("select change, kind, from_key, to_key from (select 'added' as change, * from (from a except from b) union all select 'removed', * from (from b except from a)) order by kind, from_key, to_key, change limit 1000", more=delta),
         "delta_summary": with_graph("select (select count(*) from (from a except from b)) as added, (select count(*) from (from b except from a)) as removed, (select count(*) from (from a intersect from b)) as unchanged", more=delta),
+        "affected_tests": with_graph("""
+            , s as materialized (select id, type, case when type = 'method' and regexp_matches(id, '[369]$') then file || '/tests/' || name else file end as file from symbols),
+            same as (select id from s where file = (select file from s where id = 'interface:part/0000000001')),
+            r(id, depth) as (select id, 0 from same union select from_id, depth + 1 from r join edges on to_id = r.id and edges.type in ('calls', 'imports', 'extends', 'implements', 'references') where depth < 3),
+            m as (select id, min(depth) as depth from r group by id having min(depth) > 0),
+            one(id, depth) as (select 'interface:part/0000000001', 0 union select from_id, depth + 1 from one join edges on to_id = one.id and edges.type in ('calls', 'imports', 'extends', 'implements', 'references') where depth < 3),
+            both_ as (select id, min(depth) as depth from (select * from m union all select id, min(depth) from one group by id having min(depth) > 0) group by id),
+            k as (select s.file, s.id, s.type, depth, case when s.type = 'file' then 'import_dependency' when depth = 1 and s.id in (select from_id from edges where type = 'calls' and to_id in (select id from same)) then 'direct_reference' else 'call_path' end as kind
+                from both_ join s using (id) where s.file like '%/tests/%'),
+            g as (select file, min(depth)::bigint as distance, min(case when kind <> 'call_path' then 0 when depth <= 2 then 1 else 2 end) as place, array_to_string(list_sort(list(distinct kind)), ' ') as kinds, array_to_string(list_sort(list(distinct id) filter (type <> 'file')), ' ') as test_symbols from k group by file)
+            select file, distance, ['high', 'medium', 'low'][place + 1] as confidence, kinds, test_symbols, (select count(*) from g) > 100 as truncated from g order by place, distance, file limit 100""", True),
         "repository_status": """
             with c as (select doc_id::varchar as path, sha256(text) as h from documents where doc_id % 10 <> 0), i as (select doc_id::varchar as path, case when doc_id % 11 = 0 then 'other' else sha256(text) end as h from documents where doc_id % 7 <> 0)
             select path, case when i.h is null then 'new' when c.h is null then 'removed' when c.h = i.h then 'current' else 'changed' end as state from c full join i using (path)""",
@@ -293,10 +371,16 @@ def oracle_sql() -> dict[str, str]:
             select 'dependency_cycle' as finding, 'introduced' as status, 'policy_change' as cause, 'medium' as severity, null::varchar as rule_id, string_agg(file, ' ' order by file) as detail from k group by component""", True),
         "coverage_gaps": f"{gap} select list_position({gaps}, kind)::bigint as place, kind, sum(count)::bigint as count, count(distinct file) as files from gap where count > 0 group by kind",
         "merge_gaps": f"{gap} select kind, case when kind in ('not_indexed', 'stale_index') then least(sum(count), 1) else sum(count) end::bigint as count from gap group by kind",
-        "verification_targets": f"{gap} select distinct file, '' as symbol_id, kind as reason from gap where count > 0 order by all limit 100",
+        "verification_targets": f"""{gap} select * from (select distinct file, '' as symbol_id, kind as reason from gap where count > 0
+            union select distinct event_type, 's' || (event_id % 11), 'no indexed structural test evidence found' from events where event_type = 'error') order by file, symbol_id, reason limit 100""",
         "diagnostics_summary": f"{gap} select count(*) filter (count > 0) > 0 as may_be_incomplete, count(*) filter (count > 0) = 0 as authoritative_negative_results, count(distinct kind) filter (count > 0) as kinds from gap",
-        "message_links": f"{msg} select p.repo, p.id as producer, c.id as consumer, 'topic' as protocol_kind, 'literal' as destination_kind, p.destination, 'listener' as consumer_kind from p join c using (repo, destination) order by repo, producer, consumer limit 1000",
-        "workspace_message_links": f"""{msg}, j as (select p.repo, p.id as producer, p.proven, count(c.id) as matches from p left join c on c.destination = p.destination and c.repo <> p.repo group by all)
+        "message_links": f"""{msg}, l as (select p.repo, p.id as producer, c.id as consumer from p left join c on c.repo = p.repo and c.kafka = p.kafka and c.destination = p.destination and c.kind = p.kind),
+            r as (select repo, producer, 0 as step, 'producer' as record, null::varchar as consumer, case count(consumer) when 0 then 'none' when 1 then 'one' else 'many' end as cardinality from l group by all
+                union all select repo, producer, 1, case when consumer is null then 'unlinked' else 'link' end, consumer, null from l),
+            n as (select *, row_number() over (order by repo, producer, step, consumer) as place, count(*) over () > 1000 as truncated from r)
+            select place, record, repo, producer, consumer, cardinality, truncated from n where place <= 1000""",
+        "workspace_message_links": f"""{msg}, n as (select destination, kafka, kind, repo as there, count(*) as n from c group by all),
+            j as (select p.repo, p.id as producer, p.proven, coalesce(sum(n) filter (there <> p.repo), 0)::bigint as matches from p left join n using (destination, kafka, kind) group by all)
             select repo, producer, matches, case when not proven then 'unknown' when matches = 0 then 'none' when matches = 1 then 'one' else 'many' end as cardinality from j""",
         "workspace_package_links": """
             with p as (select distinct 'repo' || (p_partkey % 5) as target_repo, lower(regexp_replace(p_brand || '-' || (p_partkey % 90), '[^A-Za-z0-9-]', '-', 'g')) as declared_name from part),
@@ -307,16 +391,48 @@ def oracle_sql() -> dict[str, str]:
             , pt as (select distinct path || ':' || s || ':' || n as point_id, path as file, s, s + n - 1 as e from hunk where n > 0)
             select point_id, arg_min(id, (end_line - start_line, id)) as owner_id from pt join symbols x on x.file = pt.file and x.type <> 'file' and start_line <= s and end_line >= e group by point_id""", more=hunk),
         "call_decisions": with_graph("""
-            , f as (select id, file, name from symbols where type = 'interface'), c as (select 'site:' || a.id as site_id, a.id like '%7' as un, list(b.id order by b.id) as t from f a join f b on a.file = b.file and a.name = b.name group by all)
-            select site_id, case when un then 'unknown' when len(t) = 1 then 'resolved' else 'ambiguous' end as status, case when not un and len(t) = 1 then t[1] end as target, case when not un and len(t) = 1 then 'lexical-local' end as strategy,
+            , f as (select id, file, name from symbols where type = 'interface'), c as (select 'site:' || a.id as site_id, a.id like '%7' as un, list(b.id order by b.id) as t, 'lexical-local' as how from f a join f b on a.file = b.file and a.name = b.name group by all
+                union all select 'use:' || a.file || ':' || k.id, false, [k.id], 'imports-exports' from edges e join symbols a on a.id = from_id join symbols b on b.id = to_id join symbols k on k.file = b.file and k.type = 'class' where e.type = 'imports')
+            select site_id, case when un then 'unknown' when len(t) = 1 then 'resolved' else 'ambiguous' end as status, case when not un and len(t) = 1 then t[1] end as target, case when not un and len(t) = 1 then how end as strategy,
                 case when not un and len(t) = 1 then 'exact' end as confidence, case when not un and len(t) > 1 then array_to_string(t, ' ') end as candidates, case when un then 'insufficient_evidence' when len(t) > 1 then 'multiple_candidates' end as reason from c"""),
         "workspace_map": with_graph("""
             , s as (select *, string_split(file, '/')[1] || '/' || string_split(file, '/')[2] as repo from symbols), e as (select repo, count(*) as edges from edges join s on s.id = from_id group by repo)
             select repo, count(*) filter (type = 'file') as files, count(*) filter (type <> 'file') as symbols, coalesce(any_value(edges), 0) as edges from s left join e using (repo) group by repo"""),
-        "task_context_ranking": """
-            with v as (select lpad(conv_id::varchar, 8, '0') as subject, case when turn = 7 then 'explicit_anchor' when turn > 4 then 'graph' when turn % 2 = 0 then 'lexical' else 'semantic' end as kind, conv_id % 50 + turn + 1 as rank, turn = 3 as exact, (length(text) % 300 + 20)::bigint as tokens from conversations),
+        "task_context_ranking": f"{_RANKED} select rank, subject, priority, round(signal, 9) as signal, tokens from ranked",
+        "task_context_budget": f"""{_RANKED}, costed as (select rank, subject, priority, coalesce(tokens, {context.COST}) as cost from ranked),
+            fold(rank, n, used, included) as (
+                select 0::bigint, 0, 0::bigint, false union all
+                select c.rank, n + t::int, used + case when t then cost else 0 end, t from (select c.*, f.n, f.used, c.priority = 'required' or (f.n < {context.ITEMS} and f.used + c.cost <= {context.TOKENS}) as t from fold f join costed c on c.rank = f.rank + 1) c)
+            select f.rank, subject, included from fold f join ranked using (rank)""",
+        "reexports": with_graph("""
+            , f as (select distinct a.file as importer, b.file as imported from edges e join symbols a on a.id = from_id join symbols b on b.id = to_id where e.type = 'imports'),
+            own as (select file, name, file as origin_file, name as origin_name from symbols where type = 'class'),
+            r(file, name, origin_file, origin_name, hops) as (select *, 0 from own union select importer, name, origin_file, origin_name, hops + 1 from r join f on imported = file where hops < 12)
+            select file, name, origin_file, origin_name, min(hops) as hops from r group by all""".replace("min(hops) as hops from r group by all", "min(hops) as hops from r group by file, name, origin_file, origin_name"), True),
+        "scope_closure": with_graph("""
+            select file, id as scope_id, id as ancestor_id, 0 as distance from symbols where type in ('file', 'function', 'method')
+            union all select m.file, m.id, c.id, 1 from symbols m join symbols c on c.id = 'function:' || replace(split_part(m.qualified_name, '.orders', 1), '.', '/') where m.type = 'method'
+            union all select c.file, c.id, f.id, case c.type when 'function' then 1 else 2 end from symbols c join symbols f on f.file = c.file and f.type = 'file' where c.type in ('function', 'method')"""),
+        "innermost_bindings": with_graph("""
+            , m as (select id, file, 'function:' || replace(split_part(qualified_name, '.orders', 1), '.', '/') as owner from symbols where type = 'method')
+            select m.id as site_id, case when owner like '%0' then 'own:' || owner else 'file:' || m.file end as target from m"""),
+        "member_calls": f"""
+            with o as (select o_orderkey as k, 'f' || (o_custkey % 7) as file, 'C' || (o_custkey % 5) as owner_class, case when o_orderkey % 3 = 0 then 'this' else 'r' || (o_orderkey % 4) end as receiver, 'm' || (o_orderkey % 6) as method from orders),
+            methods as (select * from (values {", ".join(f"('C{c}.m{m}', 'C{c}', 'm{m}')" for c in range(5) for m in range(6) if (c + m) % 4)}) v(id, class_name, name)),
+            types as (select * from (values {", ".join(f"('f{f}', {owner}, 'r{r}', '{kind}', '{how}')" for f, owner, r, kind, how in _TYPES_SQL)}) v(file, owner_class, receiver, type_name, how)),
+            found as (
+                select k, owner_class as class_name, method, 'receiver-member' as strategy from o where receiver = 'this'
+                union all select k, type_name, method, case how when 'declared' then 'explicit-type' when 'constructor' then 'constructor' when 'parameter' then 'parameter' else 'assignment' end from o join types t on t.file = o.file and t.receiver = o.receiver and (t.owner_class is null or t.owner_class = o.owner_class)),
+            c as (select k, id as target, strategy, list_position({list(resolution.STRATEGIES)!r}, strategy) as place from found f join methods m on m.class_name = f.class_name and m.name = f.method),
+            p as (select k, target, arg_min(strategy, (place, strategy)) as strategy from c group by all),
+            n as (select k, count(*) as n, min(target) as target, arg_min(strategy, target) as strategy from p group by k)
+            select k::varchar as site_id, case when n = 1 then 'resolved' when n > 1 then 'ambiguous' else 'unknown' end as status, case when n = 1 then target end as target, case when n = 1 then strategy end as strategy from o left join n using (k)""",
+    }
+
+
+_RANKED = """
+    with recursive v as (select lpad(conv_id::varchar, 8, '0') as subject, case when turn = 7 then 'explicit_anchor' when turn > 4 then 'graph' when turn % 2 = 0 then 'lexical' else 'semantic' end as kind, conv_id % 50 + turn + 1 as rank, turn = 3 as exact, (length(text) % 300 + 20)::bigint as tokens from conversations),
             k as (select subject, kind, min(rank) as rank, count(*) as pieces, bool_or(exact) as exact, max(tokens) as tokens from v group by all),
             s as (select subject, sum(pieces) as pieces, bool_or(exact) as exact, max(tokens) as tokens, round(list_sum(list(pieces / (60 + rank) order by kind)), 12) as signal,
-                case when bool_or(kind = 'explicit_anchor') then 'required' when bool_or(kind = 'graph') then 'supporting' when sum(pieces) filter (kind in ('lexical', 'semantic')) > 1 then 'supporting' else 'optional' end as priority from k group by subject)
-            select row_number() over (order by case priority when 'required' then 0 when 'supporting' then 1 else 2 end, signal desc, exact desc, pieces desc, subject) as rank, subject, priority, round(signal, 9) as signal, tokens from s""",
-    }
+                case when bool_or(kind = 'explicit_anchor') then 'required' when bool_or(kind = 'graph') then 'supporting' when sum(pieces) filter (kind in ('lexical', 'semantic')) > 1 then 'supporting' else 'optional' end as priority from k group by subject),
+            ranked as (select row_number() over (order by case priority when 'required' then 0 when 'supporting' then 1 else 2 end, signal desc, exact desc, pieces desc, subject) as rank, subject, priority, signal, tokens from s)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.model import STAR_SQL, CodeGraph, star_graph
+from weftgraph.model import EDGE_TYPES, STAR_SQL, CodeGraph, star_graph
 from weftgraph.operators import intelligence, relations, resolve, traverse
 from weftgraph.session import Scratch, ship
 
@@ -41,6 +41,12 @@ def node_areas(graph: CodeGraph) -> DataFrame:
     return graph.symbols.select("id", F.regexp_extract("file", "^([^/]+/[^/]+)", 1).alias("community"))
 
 
+def owner_areas(graph: CodeGraph) -> DataFrame:
+    """Customers with their orders, suppliers and parts as areas of their own; files as theirs."""
+    return graph.symbols.select("id", F.coalesce(F.substring_index("qualified_name", ".", 2), "file").alias("community"))
+
+
+OWNER = "coalesce(split_part(qualified_name, '.', 1) || '.' || split_part(qualified_name, '.', 2), file)"
 AREA = "regexp_extract(file, '^([^/]+/[^/]+)', 1)"
 DIRECTORY = "case when instr(file, '/') = 0 then '.' else regexp_replace(file, '/[^/]*$', '') end"
 
@@ -77,11 +83,32 @@ def only(graph: CodeGraph, *types: str) -> CodeGraph:
     return CodeGraph(graph.symbols, graph.edges.filter(F.col("type").isin(*types)))
 
 
-_IMPACT = """
-    , reach(id, depth) as (
-        select '{seed}', 0::bigint
-        union select e.from_id, r.depth + 1 from reach r join edges e on e.to_id = r.id and e.type in {types} where r.depth < {depth}),
-    items as (select r.id, min(depth) as depth from reach r join symbols s on s.id = r.id group by r.id having min(depth) > 0)"""
+def _priority(table: dict[str, int]) -> str:
+    return "case e.type " + " ".join(f"when '{k}' then {v}" for k, v in table.items()) + f" else {len(table)} end"
+
+
+def _levels_sql(seed: str, types: tuple[str, ...], directions: tuple[str, ...], order: str, depth: int) -> str:
+    """level0 .. of a search (id, ord, depth, type, direction, parent, path), a node at its first discovery by ``order`` after its parent's place."""
+    kinds = ", ".join(f"'{t}'" for t in types)
+    sides = {"forward": "select from_id as src, to_id as dst, *, 'forward' as direction from edges", "inverse": "select to_id as src, from_id as dst, *, 'inverse' as direction from edges"}
+    out = f"""
+        , ways as materialized (select e.*, s.node_key from ({" union all ".join(sides[d] for d in directions)}) e join symbols s on s.id = dst join symbols r on r.id = src where e.type in ({kinds})),
+        level0 as (select id, 1::bigint as ord, 0 as depth, null::varchar as type, null::varchar as direction, null::varchar as parent, [id] as path, []::varchar[] as hops from symbols where id = '{seed}')"""
+    for k in range(1, depth + 1):
+        known = " union all ".join(f"select id from level{j}" for j in range(k))
+        out += f""",
+        first{k} as (
+            select dst as id, p.ord as pord, e.type, e.direction, p.id as parent, list_append(p.path, dst) as path, list_append(p.hops, concat_ws(' ', p.id, e.type, e.direction, dst)) as hops, row_number() over (partition by dst order by p.ord, {order}, e.from_id, e.to_id) as nth,
+                row_number() over (order by p.ord, {order}, e.from_id, e.to_id) as place
+            from level{k - 1} p join ways e on src = p.id where dst not in ({known})),
+        level{k} as materialized (select id, row_number() over (order by place) as ord, {k} as depth, type, direction, parent, path, hops from first{k} where nth = 1)"""
+    every = " union all ".join(f"select * from level{k}" for k in range(1, depth + 1))
+    return out + f", reached as (select *, row_number() over (order by depth, ord) as place from ({every}))"
+
+
+def _impact(limit: int, more: str = "") -> str:
+    search = _levels_sql(PART, traverse.IMPACT_TYPES, ("inverse",), f"{_priority(traverse.IMPACT_PRIORITY)}, e.node_key", 3)
+    return f"{search}, items as (select id, depth::bigint as depth, type as relation, path from reached where place <= {limit}){more}"
 
 
 def queries() -> dict:
@@ -89,7 +116,6 @@ def queries() -> dict:
     one = lambda f: lambda spark, d: f(g(spark, d))
 
     def summary(graph: CodeGraph) -> DataFrame:
-        graph = without(graph, "references")
         return traverse.impact_summary(graph, PART, traverse.impact(graph, PART, 3, 1000), max_results=1000)
 
     def distance(graph: CodeGraph) -> DataFrame:
@@ -101,13 +127,12 @@ def queries() -> dict:
     def cohesive(graph: CodeGraph) -> DataFrame:
         return intelligence.repository_map(graph, region_areas(graph)).withColumn("cohesion", F.round("cohesion", 9)).withColumn("coupling", F.round("coupling", 9))
 
-    def small(graph: CodeGraph) -> CodeGraph:
-        """Files, suppliers and brands with their links: the part of the graph that communities are shown on."""
-        nodes = graph.symbols.filter("type in ('file', 'class')")
-        return CodeGraph(nodes, relations.induced(graph.edges, nodes))
+    def by_folder(graph: CodeGraph) -> CodeGraph:
+        """The whole graph, each nation's or brand's file a repository of its own."""
+        return CodeGraph(graph.symbols.withColumn("repo", F.col("file")), graph.edges)
 
     return {
-        "impact": one(lambda x: traverse.impact(without(x, "references"), PART, 3, 1000).select("id", "depth")),
+        "impact": one(lambda x: traverse.impact(x, PART, 3, 1000).select("id", "depth")),
         "impact_items": one(lambda x: traverse.impact(x, PART, 3, 100).withColumn("path", F.array_join("path", " "))),
         "impact_file": one(lambda x: traverse.impact(only(x, "imports"), NATION, 3, 1000).select("id", "depth", "relation")),
         "impact_summary": one(summary),
@@ -115,7 +140,7 @@ def queries() -> dict:
         "callees": one(lambda x: relations.callees(x, CUSTOMER)),
         "imports": one(lambda x: relations.imports(x, CUSTOMER)),
         "imported_by": one(lambda x: relations.imported_by(x, NATION)),
-        "node_details": one(lambda x: relations.node_details(x, "class:supplier/0000000001")),
+        "node_details": one(lambda x: relations.node_details(x, PART)),
         "edge_breakdown": one(breakdown),
         "symbols_per_file": one(relations.symbols_per_file),
         "overview_edges": one(lambda x: relations.overview(x, 500)[1]),
@@ -134,10 +159,10 @@ def queries() -> dict:
         "hub_threshold": one(lambda x: intelligence.hub_threshold(intelligence.degree_stats(x))),
         "importance": one(lambda x: intelligence.importance(x, 100)),
         "area_coupling": one(lambda x: intelligence.area_coupling(x, node_areas(x)).select("source", "target", "edges")),
-        "bridges": one(lambda x: intelligence.bridges(only(x, "imports"), node_areas(x), 1000)),
+        "bridges": one(lambda x: intelligence.bridges(x, owner_areas(x), 1000)),
         "repository_map": one(cohesive),
         "cycles_scc": one(lambda x: intelligence.cycles(x)),
-        "communities": one(lambda x: intelligence.communities(small(x))),
+        "communities": one(lambda x: intelligence.communities(by_folder(x))),
         "community_stats": one(lambda x: intelligence.community_stats(x, node_areas(x)).select("community", "size", "files", "label", "internal_edges", "external_edges", "quality")),
     }
 
@@ -164,16 +189,24 @@ def oracle_sql() -> dict[str, str]:
     kinds = "case type " + " ".join(f"when '{k}' then {w}" for k, w in intelligence.KIND_WEIGHT.items()) + " end"
     weights = "case type " + " ".join(f"when '{k}' then {w}" for k, w in intelligence.BRIDGE_WEIGHT.items()) + " end"
     return {
-        "impact": with_graph("select id, depth from items", True, _IMPACT.format(seed=PART, depth=3, types="('calls', 'imports', 'extends', 'implements')")),
+        "impact": with_graph("select id, depth from items", more=_impact(1000)),
+        "impact_items": with_graph("""
+            select id, depth, relation, array_to_string(path, ' ') as path, case relation when 'calls' then 'caller' when 'imports' then 'imported-by' when 'extends' then 'inheritance-dependent' else 'dependent' end as reason from items""", more=_impact(100)),
+        "expand_context": with_graph(
+            "select id, depth::bigint as depth, type as relation, array_to_string(path, ' ') as path, place as nth from reached where place <= 8",
+            more=_levels_sql(CUSTOMER, EDGE_TYPES, ("forward", "inverse"), "case when e.type = 'calls' then 0 else 1 end, e.type, e.node_key", 2)),
+        "trace_path": with_graph(f"""
+            select nth as hop, h[1] as from_id, h[2] as relation, h[3] as direction, h[4] as to_id from (select unnest(range(1, len(hops) + 1)) as nth, string_split(unnest(hops), ' ') as h from reached where id = '{PART}')""",
+            more=_levels_sql(CUSTOMER, traverse.TRACE_TYPES, ("forward", "inverse"), f"{_priority(traverse.TRACE_PRIORITY)}, e.node_key, e.direction", 4)),
         "impact_file": with_graph("select id, depth, 'imports' as relation from items", True, f"""
             , seeds as (select id from symbols where file = (select file from symbols where id = '{NATION}')),
             reach(id, depth) as (select id, 0::bigint from seeds union select e.from_id, r.depth + 1 from reach r join edges e on e.to_id = r.id and e.type = 'imports' where r.depth < 3),
             items as (select id, min(depth) as depth from reach group by id having min(depth) > 0)"""),
         "impact_summary": with_graph(f"""
+            select *, case when direct >= 10 or total >= 50 or cross_directory >= 5 then 'high' when direct >= 3 or total >= 10 or cross_file >= 3 then 'medium' else 'low' end as risk, total >= 1000 as truncated from c""", more=_impact(1000, f"""
             , t as (select file as target_file from symbols where id = '{PART}'), x as (select i.*, s.file, {DIRECTORY} as directory from items i join symbols s on s.id = i.id),
             c as (select count(*) filter (depth = 1) as direct, count(*) filter (depth > 1) as transitive, count(*) as total, count(distinct x.file) filter (x.file <> target_file) as cross_file,
-                count(distinct directory) filter (directory <> regexp_replace(target_file, '/[^/]*$', '')) as cross_directory from x, t)
-            select *, case when direct >= 10 or total >= 50 or cross_directory >= 5 then 'high' when direct >= 3 or total >= 10 or cross_file >= 3 then 'medium' else 'low' end as risk, total >= 1000 as truncated from c""", True, _IMPACT.format(seed=PART, depth=3, types="('calls', 'imports', 'extends', 'implements')")),
+                count(distinct directory) filter (directory <> regexp_replace(target_file, '/[^/]*$', '')) as cross_directory from x, t)""")),
         "callers": _related_sql(PART, "calls", True),
         "callees": _related_sql(CUSTOMER, "calls", False),
         "imports": with_graph(f"""
@@ -181,7 +214,7 @@ def oracle_sql() -> dict[str, str]:
                 select distinct to_id as id from edges where type = 'imports' and from_id = (select id from symbols where type = 'file' and file = (select file from symbols where id = '{CUSTOMER}')))
             join symbols using (id) order by node_key limit 100"""),
         "imported_by": _related_sql(NATION, "imports", True),
-        "node_details": with_graph("select role, id, node_key from (" + " union all ".join(f"select '{role}' as role, {'from_id' if inverse else 'to_id'} as id from edges where type = '{kind}' and {'to_id' if inverse else 'from_id'} = 'class:supplier/0000000001'" for role, (kind, inverse) in relations.DETAILS.items()) + ") join symbols using (id)"),
+        "node_details": with_graph("select role, id, node_key from (" + " union all ".join(f"select '{role}' as role, {'from_id' if inverse else 'to_id'} as id from edges where type = '{kind}' and {'to_id' if inverse else 'from_id'} = '{PART}'" for role, (kind, inverse) in relations.DETAILS.items()) + ") join symbols using (id)"),
         "edge_breakdown": with_graph("select type, count(*) as edges from edges group by type"),
         "symbols_per_file": with_graph("select file, count(*) filter (type <> 'file') as symbols from symbols group by file"),
         "overview_edges": with_graph(", n as (select id from symbols order by node_key limit 500) select from_id, to_id, type from edges where from_id in (select id from n) and to_id in (select id from n)"),
@@ -213,7 +246,7 @@ def oracle_sql() -> dict[str, str]:
             select row_number() over (order by score desc, node_key) as rank, id, score, noise_penalty from s order by score desc, node_key limit 100""", more=degrees),
         "area_coupling": with_graph("select source, target, count(*) as edges from placed where source <> target group by all", more=area_edges),
         "bridges": with_graph(f"""
-            , deg as (select id, count(*) as degree from (select from_id as id from only_imports union all select to_id from only_imports) group by id),
+            , deg as (select id, count(*) as degree from (select from_id as id from edges union all select to_id from edges) group by id),
             mx as (select max(degree) as max_degree from deg),
             cross_ as (select * from placed where source <> target and type <> 'contains'),
             pair as (select source, target, count(*) as pair from cross_ group by all),
@@ -222,7 +255,7 @@ def oracle_sql() -> dict[str, str]:
             select from_id, to_id, type, source, target, round({weights}::double / (pair * sqrt(greatest(1, a.external + b.external))), 9) as score
             from cross_ join pair using (source, target) join n a on a.id = from_id join n b on b.id = to_id
             where (pair <= 2 or (a.external <= 2 and b.external <= 2)) and (a.directory <> b.directory or type in ('imports', 'extends') or a.kind in ('file', 'class', 'interface') or b.kind in ('file', 'class', 'interface'))
-            order by score desc, a.node_key, b.node_key, from_id, to_id, type limit 1000""", more=area_edges.replace("from edges e", "from only_imports e").replace(", member as", ", only_imports as (select * from edges where type = 'imports'), member as", 1)),
+            order by score desc, a.node_key, b.node_key, from_id, to_id, type limit 1000""", more=area_edges.replace(AREA, OWNER)),
         "repository_map": with_graph("""
             , size as (select area, count(distinct file) as files, count(*) filter (type <> 'file') as symbols from member group by area),
             side as (select source as area, source = target as inner_ from placed where type <> 'contains' union all select target, false from placed where type <> 'contains' and source <> target),

@@ -12,6 +12,8 @@ from weftgraph.session import ship
 
 QUERY = "onThereeder the shou"
 WORDS = "thnd erth shou"
+#: A language and a source that owns documents in it.
+OWNED = "en src3"
 DIMENSIONS = 64
 
 
@@ -49,11 +51,18 @@ def queries() -> dict:
 
     def budget(spark: SparkSession, d: str) -> DataFrame:
         found = rt.lexical_search(docs(spark, d), QUERY, 40).select("rank", "document_id")
-        return rt.greedy_budget(found.join(docs(spark, d).select("document_id", rt.token_count(F.col("content")).alias("tokens")), "document_id").select("rank", "tokens"))
+        block = rt.token_count(rt.context_block(F.lit(1), F.lit(0.0)))
+        return rt.greedy_budget(found.join(docs(spark, d), "document_id").select("rank", block.alias("tokens")))
+
+    def owners(spark: SparkSession, d: str) -> DataFrame:
+        """Documents as methods of their source: equal names and scores with the same evidence of the owner share a group."""
+        methods = docs(spark, d).withColumn("symbol_type", F.lit("method"))
+        return rt.lexical_search(methods, OWNED, 50).select("rank", "document_id", "rank_group")
 
     return {
         "lexical_search": lambda s, d: rt.lexical_search(docs(s, d), QUERY, 50).drop("rank_group").withColumn("score", F.round("score", 9)),
         "lexical_ambiguous": lambda s, d: rt.lexical_search(docs(s, d), "en", 50).select("rank", "document_id", "score", "rank_group"),
+        "lexical_owner_groups": owners,
         "lexical_bm25": lambda s, d: rt.bm25(docs(s, d), WORDS, 50),
         "vector_search": lambda s, d: rt.vector_search(vec(s, d), first_vector(s, d), 50),
         "hybrid_search": hybrid,
@@ -89,6 +98,21 @@ _VEC = f"""
         select lpad(vec_id::varchar, 10, '0') as point_id, label, round(list_cosine_similarity(embedding::double[], q), 9) as score from embeddings, q where len(embedding) = {DIMENSIONS}))"""
 
 
+def _block() -> str:
+    """Tokens of a document's block: its heading (3), file, symbol, type, lines (2), score (2) and content."""
+    words = lambda c: f"case when trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g')) = '' then 0 else len(string_split(trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g')), ' ')) end"
+    named = lambda c: f"1 + {words(f"coalesce({c}, 'unknown')")}"
+    return f"(3 + {named('file')} + {named('symbol_name')} + {named('symbol_type')} + 4 + {words('content')})::bigint"
+
+
+def _fold(rows: str, rank: str) -> str:
+    """fold(rank, tokens, included, used): the greedy choice over blocks numbered from 1."""
+    render = "(used + block + (used > 0)::int)"
+    return f"""fold(rank, tokens, included, used) as (
+        select 0::bigint, 0::bigint, false, 0::bigint
+        union all select f.rank + 1, {render}::bigint, used + {render} <= {rt.MOST_TOKENS}, case when used + {render} <= {rt.MOST_TOKENS} then {render} else used end::bigint from fold f join {rows} on {rows}.{rank} = f.rank + 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     terms = [t.lower() for t in rt.query_tokens(WORDS)]
     k, b = rt.BM25_K, rt.BM25_B
@@ -98,7 +122,30 @@ def oracle_sql() -> dict[str, str]:
     some = " or ".join(f"tf{i} > 0" for i in range(len(terms)))
     return {
         "lexical_search": f"with {_lexical(QUERY)} select rank, document_id, file, start_line, score, exact_name, name_coverage, file_coverage, content_coverage from lex order by rank limit 50",
-        "lexical_ambiguous": f"with {_lexical('en')} select row_number() over (order by file, start_line, document_id) as rank, document_id, 0.0::double as score, 'ambiguous:en' as rank_group from scored order by rank limit 50",
+        "lexical_ambiguous": f"""
+            with {_lexical('en')}, exact as (select * from docs where lower(symbol_name) = 'en' or starts_with(lower(symbol_name), 'en ') or lower(qualified_name) = 'en' or starts_with(lower(qualified_name), 'en ')),
+            targets as (select count(distinct file) as n from exact)
+            select row_number() over (order by file, start_line, document_id) as rank, document_id, 0.0::double as score, case when n > 1 and document_id in (select document_id from exact) then 'bare-exact:en' end as rank_group
+            from scored, targets order by rank limit 50""",
+        "lexical_owner_groups": f"""
+            with {_lexical(OWNED)}, top as (select * from lex order by rank limit 50),
+            parts as (select *, list_filter(string_split(lower(symbol_name), '-'), lambda x: x <> '') as own, list_filter(regexp_split_to_array(lower(qualified_name), '[^a-z0-9]+'), lambda x: x <> '') as whole from top),
+            held as (select *, list_sort(list_filter({rt.query_tokens(OWNED)!r}, lambda p: not list_contains(own, p) and list_contains(whole, p))) as evidence from parts),
+            keyed as (select rank, document_id, case when len(list_distinct(whole)) > len(list_distinct(own)) and len(evidence) > 0 then concat_ws(':', 'owner-context', lower(symbol_name), array_to_string(evidence, '+'), score::varchar) end as k from held)
+            select rank, document_id, case when count(*) over (partition by k) > 1 then k end as rank_group from keyed""",
+        "context_budget": f"""
+            with recursive {_lexical(QUERY)}, top as (select *, {_block()} as block from lex order by rank limit 40), {_fold("top", "rank")}
+            select rank, tokens, included from fold where rank > 0""",
+        "inspect_retrieval": f"""
+            with recursive {_lexical(QUERY)}, {_VEC}, l as (select document_id as key, rank from lex order by rank limit 20), v as (select point_id as key, rank from near order by rank limit 20),
+            f as (select coalesce(l.key, v.key) as key, v.rank as vector_rank, l.rank as lexical_rank, round(coalesce(1 / (60 + v.rank), 0.0) + coalesce(1 / (60 + l.rank), 0.0), 12) as score from l full join v using (key)),
+            ranked as (select *, row_number() over (order by score desc, vector_rank nulls last, lexical_rank nulls last, key) as fused_rank from f),
+            top as (select r.*, {_block()} as block from ranked r left join docs on document_id = key where fused_rank <= 20), {_fold("top", "fused_rank")}
+            select key, vector_rank, lexical_rank, fused_rank, fused_rank <= 5 as reranked, tokens, included from top join fold on fold.rank = fused_rank""",
+        "identifier_parts": """
+            with n as (select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') || 'HTTPServer2' || p_brand as n from part),
+            h as (select *, regexp_split_to_array(regexp_replace(n, '([\\p{Ll}\\p{N}])(\\p{Lu})', '\\1 \\2', 'g'), '[^\\p{L}\\p{N}]+') as h from n)
+            select p_partkey, n || ' ' || array_to_string(list_filter(list_transform(h, lambda x: lower(x)), lambda x: x <> ''), ' ') as terms from h""",
         "lexical_bm25": f"""
             with {_DOCS}, w as (select document_id, list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') as w from docs),
             t as (select document_id, len(w)::double as length, {tf} from w), s as (select count(*)::double as n, avg(length) as mean, {df} from t)

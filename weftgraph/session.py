@@ -16,7 +16,10 @@ _FALLBACK: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it; a cluster may deploy it with --py-files instead."""
+    """Lets Python workers import this package from where the driver has it; a cluster may deploy it with --py-files instead.
+
+    Lowers the session's limits of Arrow batches to BATCH where they are higher: plans are run after they are built, so they can't be set for one of them.
+    """
     root = str(Path(__file__).resolve().parent.parent)
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -51,10 +54,12 @@ def get_spark(app: str = "weftgraph", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset and there is one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _FALLBACK:
         _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="weftgraph-"))
     return _FALLBACK[0]

@@ -1,8 +1,9 @@
-"""Generations: immutable Parquet snapshots of tables, published by moving one pointer."""
+"""Generations: immutable Parquet snapshots of tables, published by the next numbered pointer."""
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +28,23 @@ class GenerationStore:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _pointers(self) -> list[int]:
+        fs, folder = self._fs(self.root)
+        if not fs.exists(folder):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(folder)]
+        return sorted(int(n.removeprefix("ACTIVE-")) for n in names if n.removeprefix("ACTIVE-").isdigit() and n.startswith("ACTIVE-"))
+
+    def _latest(self) -> tuple[int, str | None]:
+        """The number of the last pointer and the generation that it names."""
+        numbers = self._pointers()
+        if not numbers:
+            return 0, None
+        text = self.spark.read.text(f"{self.root}/ACTIVE-{numbers[-1]:012d}", wholetext=True).first().value
+        return numbers[-1], json.loads(text)["generation"]
+
     def active(self) -> str | None:
-        fs, path = self._fs(f"{self.root}/ACTIVE")
-        if not fs.exists(path):
-            return None
-        return json.loads(self.spark.read.text(f"{self.root}/ACTIVE", wholetext=True).first().value)["generation"]
+        return self._latest()[1]
 
     def read(self, table: str, generation: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{generation or self.active()}/{table}")
@@ -52,20 +65,35 @@ class GenerationStore:
         self.write(generation, table, kept.unionByName(fresh))
 
     def publish(self, generation: str, parent: str | None) -> None:
-        """Makes a candidate active if its parent still is; the pointer is written aside and renamed."""
-        if self.active() != parent:
-            raise Conflict(f"the active generation is {self.active()}, not {parent}")
-        fs, aside = self._fs(f"{self.root}/.ACTIVE-{generation}")
+        """Makes a candidate active if its parent still is.
+
+        Pointers are numbered and never change: the writer of the next number wins, and readers take the highest, so there is an
+        active generation at any time. A pointer is written aside and put in place by an operation that fails where the number is taken: a
+        hard link on local file systems, else a rename, which stores like HDFS refuse for existing targets. On stores
+        whose rename overwrites, writers need a lock of their own.
+        """
+        number, now = self._latest()
+        if now != parent:
+            raise Conflict(f"the active generation is {now}, not {parent}")
+        fs, aside = self._fs(f"{self.root}/.{generation}.pointer")
         out = fs.create(aside, True)
         out.write(bytearray(json.dumps({"generation": generation, "parent": parent}).encode()))
         out.close()
-        _, target = self._fs(f"{self.root}/ACTIVE")
-        if self.active() != parent:
+        _, target = self._fs(f"{self.root}/ACTIVE-{number + 1:012d}")
+        try:
+            if not self._put(fs, aside, target):
+                raise Conflict("another generation was published meanwhile")
+        finally:
             fs.delete(aside, False)
-            raise Conflict("another generation was published meanwhile")
-        fs.delete(target, False)
-        if not fs.rename(aside, target):
-            raise Conflict("the pointer couldn't be moved")
+
+    def _put(self, fs, aside, target) -> bool:
+        if fs.getScheme() == "file":
+            try:
+                os.link(aside.toUri().getPath(), target.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        return not fs.exists(target) and fs.rename(aside, target)
 
 
 def with_generation(rows: DataFrame, repo: str, generation: str) -> DataFrame:

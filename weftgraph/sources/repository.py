@@ -1,9 +1,10 @@
-"""Repository files as a table: scan, language, hashes, configuration, and facts of Python files."""
+"""Repository files as a table: scan, language, hashes, configuration, and facts."""
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +13,14 @@ from pyspark.sql import functions as F
 from weftgraph.functions.paths import extension
 from weftgraph.operators.policy import glob_regex
 from weftgraph.session import ship
+from weftgraph.sources import extractors
+from weftgraph.sources.extractors import brace_facts
 
 # Folders that are never scanned, and extensions by language.
 EXCLUDED = (".git", "node_modules", "dist", "build", "coverage", "vendor", ".venv", "venv", "__pycache__", "target", ".dart_tool", "Pods")
 LANGUAGES = {
-    "javascript": ".js .jsx .mjs .cjs", "typescript": ".ts .mts .cts", "tsx": ".tsx", "python": ".py", "java": ".java", "kotlin": ".kt .kts",
-    "go": ".go", "rust": ".rs", "swift": ".swift", "dart": ".dart", "c": ".c .h", "cpp": ".cc .cpp .cxx .hpp .hh",
+    "javascript": [".js", ".jsx", ".mjs", ".cjs"], "typescript": [".ts", ".mts", ".cts"], "tsx": [".tsx"], "python": [".py"], "java": [".java"], "kotlin": [".kt", ".kts"],
+    "go": [".go"], "rust": [".rs"], "swift": [".swift"], "dart": [".dart"], "c": [".c", ".h"], "cpp": [".cc", ".cpp", ".cxx", ".hpp", ".hh"],
 }
 MOST_CONFIG = 1 << 20
 
@@ -38,7 +41,7 @@ def ignore_patterns(text: str) -> list[str]:
 def language_of(path: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, endings in LANGUAGES.items():
-        out = F.when(F.lower(extension(path)).isin(*endings.split()), name).otherwise(out)
+        out = F.when(F.lower(extension(path)).isin(*endings), name).otherwise(out)
     return out
 
 
@@ -104,22 +107,39 @@ def python_facts(path: str, text: str) -> Iterator[tuple]:
     yield from visit(tree, (), False)
 
 
+#: Facts of a file from (path, text), by language.
+EXTRACTORS: dict[str, Callable[[str, str], Iterator[tuple]]] = {"python": python_facts} | {name: partial(brace_facts, language=name) for name in extractors.LANGUAGES}
+#: Changes when an extractor's facts do; cached facts of another version are extracted again.
+EXTRACTOR_VERSION = 2
+
+
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [fact for p, t in zip(batch.path, batch.content, strict=True) for fact in python_facts(p, t or "")]
+        rows = [fact for p, language, t in zip(batch.path, batch.language, batch.content, strict=True) for fact in EXTRACTORS[language](p, t or "")]
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in FACTS.split(", ")])
 
 
-EXTRACTORS = {"python": _extract}
+def extract_facts(files: DataFrame) -> DataFrame:
+    """Facts of the files whose language has an extractor, in one pass; files of other languages have none."""
+    ship(files.sparkSession)
+    return files.filter(F.col("language").isin(*EXTRACTORS)).select("path", "language", "content").mapInPandas(_extract, FACTS)
 
 
-def extract_facts(files: DataFrame) -> DataFrame:
-    """Facts of the files whose language has an extractor, one row each."""
-    out = None
-    for language, run in EXTRACTORS.items():
-        part = files.filter(F.col("language") == language).select("path", "content").mapInPandas(run, FACTS)
-        out = part if out is None else out.union(part)
-    return out
+_FACT_COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
+
+
+def pack_facts(facts: DataFrame) -> DataFrame:
+    """path, version, payload, digest: the facts of each file as one JSON text in a total order, and its SHA-256."""
+    fields = F.struct("start_line", "end_line", "kind", "name", *[c for c in _FACT_COLUMNS if c not in ("path", "start_line", "end_line", "kind", "name")])
+    packed = facts.groupBy("path").agg(F.to_json(F.sort_array(F.collect_list(fields))).alias("payload"))
+    return packed.select("path", F.lit(EXTRACTOR_VERSION).alias("version"), "payload", F.sha2("payload", 256).alias("digest"))
+
+
+def unpack_facts(packed: DataFrame) -> DataFrame:
+    """The facts of packed files; files of another version or with a digest that doesn't fit have none, and are to be extracted again."""
+    kinds = ", ".join(f"{c.split()[0]}:{c.split()[1]}" for c in FACTS.split(", ")[1:])
+    good = packed.filter((F.col("version") == EXTRACTOR_VERSION) & (F.sha2("payload", 256) == F.col("digest")))
+    return good.select("path", F.explode(F.from_json("payload", f"array<struct<{kinds}>>")).alias("f")).select("path", "f.*").select(*_FACT_COLUMNS)
 
 
 _IMPORT = r"""(?m)(?:^|[;\s])(?:import|export)\s+(?:[\w*{}\s,$]+\s+from\s+)?["']([^"']+)["']|require\(\s*["']([^"']+)["']\s*\)|import\(\s*["']([^"']+)["']\s*\)"""
@@ -133,5 +153,6 @@ def module_specifiers(files: DataFrame) -> DataFrame:
 
 
 def to_parse(files: DataFrame, cache: DataFrame) -> DataFrame:
-    """Files whose facts aren't cached under (content_hash, language)."""
-    return files.join(cache.select("content_hash", "language").distinct(), ["content_hash", "language"], "left_anti")
+    """Files whose facts aren't cached under (content_hash, language) by this version of the extractors."""
+    known = cache.filter(F.col("version") == EXTRACTOR_VERSION) if "version" in cache.columns else cache
+    return files.join(known.select("content_hash", "language").distinct(), ["content_hash", "language"], "left_anti")

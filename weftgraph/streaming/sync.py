@@ -16,19 +16,25 @@ def latest(versions: DataFrame) -> DataFrame:
 
 
 def sync_batch(store: GenerationStore, versions: DataFrame) -> str:
-    """Applies one batch of file versions to the files table and publishes the result; versions older than the stored ones are left out."""
+    """Applies one batch of file versions to the files table and publishes the result.
+
+    Versions that aren't newer than the stored ones are left out. Deleted paths keep their version in a table of tombstones, so
+    a late older version doesn't bring them back.
+    """
     parent = store.active()
     new = latest(versions)
     generation = store.candidate()
     fresh = new.filter("not deleted").select("path", "content", "version", F.sha2("content", 256).alias("content_hash"))
+    gone = new.filter("deleted").select("path", "version")
     if parent is None:
         store.write(generation, "files", fresh)
+        store.write(generation, "tombstones", gone)
     else:
-        old = store.read("files", parent)
-        late = old.select("path", F.col("version").alias("stored")).join(new, "path").filter("version <= stored").select("path")
+        stored = store.read("files", parent).select("path", F.col("version").alias("stored")).union(store.read("tombstones", parent).select("path", F.col("version").alias("stored")))
+        late = stored.join(new, "path").filter("version <= stored").select("path")
         new = new.join(late, "path", "left_anti")
-        fresh = fresh.join(late, "path", "left_anti")
-        store.copy_forward(generation, "files", new.select("path"), fresh, "path")
+        store.copy_forward(generation, "files", new.select("path"), fresh.join(late, "path", "left_anti"), "path")
+        store.copy_forward(generation, "tombstones", new.select("path"), gone.join(late, "path", "left_anti"), "path")
     store.publish(generation, parent)
     return generation
 
