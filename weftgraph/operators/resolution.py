@@ -138,16 +138,78 @@ def member_candidates(sites: DataFrame, methods: DataFrame, types: DataFrame) ->
     """(site_id, target, strategy, confidence) of `receiver.method` calls.
 
     sites: site_id, file, owner_class, receiver (`this`, a field or a local name), method. methods: id, class_name, name.
-    types: file, owner_class (null: any), receiver, type_name, how (declared, constructor, parameter, assignment).
+    types: file, owner_class (null: any), receiver, type_name, how (declared, constructor, parameter, assignment, return, alias).
     """
     own = sites.filter("receiver = 'this'").select("site_id", F.col("owner_class").alias("class_name"), F.col("method").alias("name"), F.lit("receiver-member").alias("strategy"))
     t = types.select("file", F.col("owner_class").alias("of_class"), "receiver", "type_name", "how")
     typed = sites.join(t, ["file", "receiver"]).filter("of_class is null or of_class = owner_class")
-    how = F.when(F.col("how") == "declared", "explicit-type").when(F.col("how") == "constructor", "constructor").when(F.col("how") == "parameter", "parameter").otherwise("assignment")
+    how = F.when(F.col("how") == "declared", "explicit-type").when(F.col("how") == "constructor", "constructor").when(F.col("how").isin("parameter", "return", "alias"), F.col("how")).otherwise("assignment")
     typed = typed.select("site_id", F.col("type_name").alias("class_name"), F.col("method").alias("name"), how.alias("strategy"))
     return own.union(typed).join(methods.select("class_name", "name", F.col("id").alias("target")), ["class_name", "name"]).select("site_id", "target", "strategy", F.lit("strong").alias("confidence"))
 
 
+HERITAGE_DEPTH = 32
+
+
+def type_environment(declared: DataFrame, calls: DataFrame, returns: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(file, owner_class, receiver, type_name, how): what is known of the types of names, as `member_candidates` takes it.
+
+    declared: file, owner_class, receiver, type_name, how (declared, constructor, parameter, assignment). calls: file, owner_class,
+    receiver, callee: names that hold a call's result, of the type that its one function returns (how: return). returns: file, function,
+    type_name. aliases: file, owner_class, receiver, of_name: names for another name of the same file and class, whose types they share
+    (how: alias; one step). A function name with several return types in its file gives none.
+    """
+    one = returns.groupBy("file", F.col("function").alias("callee")).agg(F.count_distinct("type_name").alias("n"), F.min("type_name").alias("type_name")).filter("n = 1").drop("n")
+    columns = ["file", "owner_class", "receiver", "type_name", "how"]
+    known = declared.select(*columns).union(calls.join(one, ["file", "callee"]).withColumn("how", F.lit("return")).select(*columns))
+    named = aliases.select("file", F.col("owner_class").alias("of_class"), F.col("receiver").alias("alias"), F.col("of_name").alias("receiver"))
+    shared = known.join(named, ["file", "receiver"]).filter(F.col("owner_class").eqNullSafe(F.col("of_class")) | F.col("owner_class").isNull())
+    return known.union(shared.select("file", F.col("of_class").alias("owner_class"), F.col("alias").alias("receiver"), "type_name", F.lit("alias").alias("how"))).distinct()
+
+
+def ancestors(heritage: DataFrame, depth: int = HERITAGE_DEPTH) -> DataFrame:
+    """(class_name, ancestor, distance), least distances. heritage: class_name, parent. Cycles end because a pair is found once."""
+    scratch = Scratch(heritage.sparkSession, "ancestors")
+    up = scratch.save(heritage.filter("class_name <> parent").select("class_name", "parent").distinct())
+    known = frontier = scratch.save(up.select("class_name", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
+    for distance in range(2, depth + 1):
+        new = frontier.select("class_name", F.col("ancestor").alias("via")).join(up.select(F.col("class_name").alias("via"), F.col("parent").alias("ancestor")), "via")
+        new = new.filter("class_name <> ancestor").select("class_name", "ancestor", F.lit(distance).alias("distance")).distinct()
+        frontier = scratch.save(new.join(known.select("class_name", "ancestor"), ["class_name", "ancestor"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        known = known.union(frontier)
+    return known
+
+
+def inherited_candidates(sites: DataFrame, methods: DataFrame, heritage: DataFrame) -> DataFrame:
+    """(site_id, target, strategy, confidence) of `this.method` calls that the own class hasn't: the method of the nearest ancestors that have it.
+
+    sites: site_id, owner_class, receiver, method. Several ancestors at one distance give several candidates.
+    """
+    own = sites.filter("receiver = 'this' or receiver = 'super'").select("site_id", F.col("owner_class").alias("class_name"), "receiver", F.col("method").alias("name"))
+    missing = own.filter("receiver = 'super'").union(own.filter("receiver = 'this'").join(methods.select("class_name", "name"), ["class_name", "name"], "left_anti").select(*own.columns))
+    above = missing.join(ancestors(heritage), "class_name").join(methods.select(F.col("class_name").alias("ancestor"), "name", F.col("id").alias("target")), ["ancestor", "name"])
+    nearest = above.groupBy("site_id").agg(F.min("distance").alias("distance"))
+    return above.join(nearest, ["site_id", "distance"]).select("site_id", "target", F.lit("inheritance").alias("strategy"), F.lit("strong").alias("confidence")).distinct()
+
+
+def alias_candidates(sites: DataFrame, aliases: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(site_id, target, strategy, confidence) of bare calls of a name that stands for another one in its file. aliases: file, alias, of_name."""
+    renamed = sites.join(aliases.select("file", F.col("alias").alias("callee"), "of_name"), ["file", "callee"]).select("site_id", "file", F.col("of_name").alias("callee")).distinct()
+    return call_candidates(renamed, symbols, bindings).select("site_id", "target", F.lit("alias").alias("strategy"), F.lit("strong").alias("confidence"))
+
+
+def chained_candidates(sites: DataFrame, methods: DataFrame, returns: DataFrame) -> DataFrame:
+    """(site_id, target, strategy, confidence) of `inner().method` calls: the method of the type that the one inner function of the file returns.
+
+    sites: site_id, file, inner, method. returns: file, function, type_name.
+    """
+    one = returns.groupBy("file", F.col("function").alias("inner")).agg(F.count_distinct("type_name").alias("n"), F.min("type_name").alias("class_name")).filter("n = 1")
+    found = sites.join(one.drop("n"), ["file", "inner"]).withColumnRenamed("method", "name").join(methods.select("class_name", "name", F.col("id").alias("target")), ["class_name", "name"])
+    return found.select("site_id", "target", F.lit("chained-call").alias("strategy"), F.lit("strong").alias("confidence"))
+
+
 def within_budget(candidates: DataFrame, budget: int) -> DataFrame:
     """The first ``budget`` candidates of each site in order of strategy and target, with exhausted where there were more."""
     order = Window.partitionBy("site_id").orderBy(F.array_position(F.array(*[F.lit(s) for s in STRATEGIES]), F.col("strategy")), "target")

@@ -155,6 +155,34 @@ def bm25(documents: DataFrame, query: str, limit: int = 20, text: str = "content
     return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "document_id")).cast("long").alias("rank"), "document_id", "score")
 
 
+#: Weights of a document's fields.
+FIELD_WEIGHTS = {"symbol_name": 4.0, "qualified_name": 3.0, "file": 1.5, "content": 1.0}
+
+
+def bm25_fields(documents: DataFrame, query: str, limit: int = 20, weights: dict[str, float] | None = None, k: float = BM25_K, b: float = BM25_B) -> DataFrame:
+    """rank, document_id, score by BM25 over several fields: a term's frequency is the weighted sum over the fields, a document's length that of all fields.
+
+    The inverse frequency is ln((n - df + 0.5) / (df + 0.5)), one millionth at least, df counting documents with the term in any field.
+    """
+    weights = weights or FIELD_WEIGHTS
+    terms = [t.lower() for t in query_tokens(query)]
+    split = lambda c: F.filter(F.split(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+    words = documents.select("document_id", *[split(c).alias(f"w_{c}") for c in weights])
+    tf = [sum((F.size(F.filter(f"w_{c}", _equals(t))) * w for c, w in weights.items()), F.lit(0.0)).alias(f"tf{i}") for i, t in enumerate(terms)]
+    rows = words.select("document_id", sum((F.size(f"w_{c}") for c in weights), F.lit(0)).alias("length"), *tf)
+    if not terms:
+        return rows.limit(0).select(F.lit(0).cast("long").alias("rank"), "document_id", F.lit(0.0).alias("score"))
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        tf_, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - df + 0.5) / (df + 0.5)))
+        score = score + idf * tf_ * (k + 1) / (tf_ + k * (1 - b + b * F.col("length") / F.col("mean")))
+    hit = F.array_max(F.array(*[F.col(f"tf{i}") for i in range(len(terms))])) > 0
+    top = rows.filter(hit).crossJoin(F.broadcast(stats)).select("document_id", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "document_id").limit(max(0, limit))  # stats is one row
+    return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "document_id")).cast("long").alias("rank"), "document_id", "score")
+
+
 def vector_search(vectors: DataFrame, query: list[float], limit: int = 20) -> DataFrame:
     """rank, point_id, score by cosine in doubles; vectors of another length or of norm 0 are skipped. Brute force, in the JVM."""
     q = [float(x) for x in query]

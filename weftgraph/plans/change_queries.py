@@ -212,6 +212,16 @@ def queries() -> dict:
         types = s.createDataFrame(TYPES, "file string, owner_class string, receiver string, type_name string, how string")
         return resolution.decide(sites, resolution.member_candidates(sites, methods, types)).select("site_id", "status", "target", "strategy")
 
+    def inherited(s: SparkSession, d: str) -> DataFrame:
+        """Orders as calls on `this` of customers' classes, each with a parent; every seventh class has the methods of its number."""
+        ship(s)
+        o, c = read_table(s, d, "orders"), read_table(s, d, "customer")
+        name = lambda column: F.concat(F.lit("C"), column.cast("string"))
+        sites = o.select(F.col("o_orderkey").cast("string").alias("site_id"), name(F.col("o_custkey")).alias("owner_class"), F.when(F.col("o_orderkey") % 5 == 0, "super").otherwise("this").alias("receiver"), F.concat(F.lit("m"), (F.col("o_orderkey") % 3).cast("string")).alias("method"))
+        heritage = c.filter("c_custkey > 1").select(name(F.col("c_custkey")).alias("class_name"), name(F.floor(F.col("c_custkey") / 2)).alias("parent"))
+        methods = c.filter("c_custkey % 7 = 0").select(F.concat(name(F.col("c_custkey")), F.lit(".m"), (F.floor(F.col("c_custkey") / 7) % 3).cast("string")).alias("id"), name(F.col("c_custkey")).alias("class_name"), F.concat(F.lit("m"), (F.floor(F.col("c_custkey") / 7) % 3).cast("string")).alias("name"))
+        return resolution.inherited_candidates(sites, methods, heritage).select("site_id", "target")
+
     return {
         "coverage_merge": coverage,
         "accepted_evidence": evidence,
@@ -250,6 +260,7 @@ def queries() -> dict:
         "scope_closure": lambda s, d: resolution.scope_closure(scopes(s, d)),
         "innermost_bindings": bindings,
         "member_calls": members,
+        "inherited_calls": inherited,
     }
 
 
@@ -416,6 +427,12 @@ def oracle_sql() -> dict[str, str]:
         "innermost_bindings": with_graph("""
             , m as (select id, file, 'function:' || replace(split_part(qualified_name, '.orders', 1), '.', '/') as owner from symbols where type = 'method')
             select m.id as site_id, case when owner like '%0' then 'own:' || owner else 'file:' || m.file end as target from m"""),
+        "inherited_calls": """
+            with recursive m as (select c_custkey as c, (c_custkey // 7) % 3 as m from customer where c_custkey % 7 = 0),
+            up(c, a, distance) as (select c_custkey, c_custkey // 2, 1 from customer where c_custkey > 1 union all select c, a // 2, distance + 1 from up where a > 1),
+            o as (select o_orderkey as k, o_custkey as c, o_orderkey % 3 as m, o_orderkey % 5 = 0 as above from orders),
+            f as (select k, a, o.m, distance from o join up using (c) join m on m.c = a and m.m = o.m where above or (o.c, o.m) not in (select (c, m) from m))
+            select k::varchar as site_id, 'C' || arg_min(a, distance) || '.m' || any_value(m) as target from f group by k""",
         "member_calls": f"""
             with o as (select o_orderkey as k, 'f' || (o_custkey % 7) as file, 'C' || (o_custkey % 5) as owner_class, case when o_orderkey % 3 = 0 then 'this' else 'r' || (o_orderkey % 4) end as receiver, 'm' || (o_orderkey % 6) as method from orders),
             methods as (select * from (values {", ".join(f"('C{c}.m{m}', 'C{c}', 'm{m}')" for c in range(5) for m in range(6) if (c + m) % 4)}) v(id, class_name, name)),

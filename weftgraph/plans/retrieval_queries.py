@@ -64,6 +64,7 @@ def queries() -> dict:
         "lexical_ambiguous": lambda s, d: rt.lexical_search(docs(s, d), "en", 50).select("rank", "document_id", "score", "rank_group"),
         "lexical_owner_groups": owners,
         "lexical_bm25": lambda s, d: rt.bm25(docs(s, d), WORDS, 50),
+        "lexical_bm25_fields": lambda s, d: rt.bm25_fields(docs(s, d), f"{WORDS} en src3", 50),
         "vector_search": lambda s, d: rt.vector_search(vec(s, d), first_vector(s, d), 50),
         "hybrid_search": hybrid,
         "context_budget": budget,
@@ -113,6 +114,19 @@ def _fold(rows: str, rank: str) -> str:
         union all select f.rank + 1, {render}::bigint, used + {render} <= {rt.MOST_TOKENS}, case when used + {render} <= {rt.MOST_TOKENS} then {render} else used end::bigint from fold f join {rows} on {rows}.{rank} = f.rank + 1)"""
 
 
+def _fields_sql(query: str) -> str:
+    terms = [t.lower() for t in rt.query_tokens(query)]
+    k, b = rt.BM25_K, rt.BM25_B
+    words = ", ".join(f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') as w_{c}" for c in rt.FIELD_WEIGHTS)
+    tf = ", ".join("(" + " + ".join(f"len(list_filter(w_{c}, lambda x: x = '{t}')) * {w}::double" for c, w in rt.FIELD_WEIGHTS.items()) + f") as tf{i}" for i, t in enumerate(terms))
+    df = ", ".join(f"count(*) filter (tf{i} > 0) as df{i}" for i in range(len(terms)))
+    score = " + ".join(f"greatest(1e-6, ln((n - df{i} + 0.5) / (df{i} + 0.5))) * tf{i} * {k + 1} / (tf{i} + {k} * (1 - {b} + {b} * length / mean))" for i in range(len(terms)))
+    return f"""
+        with {_DOCS}, w as (select document_id, {words} from docs), t as (select document_id, ({" + ".join(f"len(w_{c})" for c in rt.FIELD_WEIGHTS)})::double as length, {tf} from w),
+        s as (select count(*)::double as n, avg(length) as mean, {df} from t)
+        select row_number() over (order by score desc, document_id) as rank, * from (select document_id, round(({score})::double, 9) as score from t, s where greatest({", ".join(f"tf{i}" for i in range(len(terms)))}) > 0) order by rank limit 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     terms = [t.lower() for t in rt.query_tokens(WORDS)]
     k, b = rt.BM25_K, rt.BM25_B
@@ -150,6 +164,7 @@ def oracle_sql() -> dict[str, str]:
             with {_DOCS}, w as (select document_id, list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') as w from docs),
             t as (select document_id, len(w)::double as length, {tf} from w), s as (select count(*)::double as n, avg(length) as mean, {df} from t)
             select row_number() over (order by score desc, document_id) as rank, * from (select document_id, round(({score})::double, 9) as score from t, s where {some}) order by rank limit 50""",
+        "lexical_bm25_fields": _fields_sql(f"{WORDS} en src3"),
         "vector_search": f"with {_VEC} select rank, point_id, score from near order by rank limit 50",
         "hybrid_search": f"""
             with {_lexical(QUERY)}, {_VEC}, l as (select document_id as key, rank from lex order by rank limit 50), v as (select point_id as key, rank from near order by rank limit 50),
