@@ -71,10 +71,19 @@ def uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GROUPS = tuple(policy.Group(f"region{i}", (f"region/{i:010d}/**",)) for i in range(5))
 RULES = (policy.Rule("no-0-1", "region0", "region1", severity="high"), policy.Rule("no-2-3", "region2", "region3"), policy.Rule("no-4-0", "region4", "region0", severity="low"))
-BASELINE = policy.Policy(GROUPS, RULES[:1])
+BASELINE = policy.Policy(GROUPS, RULES[:2])
 TARGET = policy.Policy(GROUPS, RULES[1:], cycles=True)
 
 
+def import_sides(spark: SparkSession, sf_dir: str) -> tuple[CodeGraph, CodeGraph]:
+    """Imports before files of region 2 imported anything, and after nothing imported files of region 1 any more."""
+    g = only(graph_of(spark, sf_dir), "imports")
+    within = lambda i: g.symbols.filter(F.col("file").startswith(f"region/{i:010d}/")).select("id")
+    before = g.edges.join(within(2).withColumnRenamed("id", "from_id"), "from_id", "left_anti").select(*g.edges.columns)
+    after = g.edges.join(within(1).withColumnRenamed("id", "to_id"), "to_id", "left_anti").select(*g.edges.columns)
+    return CodeGraph(g.symbols, before), CodeGraph(g.symbols, after)
+
+
 def import_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """events as imports between modules, and the files there are."""
     ship(spark)
@@ -142,8 +151,7 @@ def queries() -> dict:
 
     def gate(s: SparkSession, d: str) -> DataFrame:
         facts = contributions(s, d).agg(F.lit("high").alias("risk"), F.count_if("stale").alias("uncovered"), F.count(F.lit(1)).alias("affected"), F.count_if("complete").alias("covered"), F.lit(False).alias("authoritative"))
-        g = only(graph_of(s, d), "imports")
-        found = policy.architecture_drift(g, g, BASELINE, TARGET)
+        found = policy.architecture_drift(*import_sides(s, d), BASELINE, TARGET)
         rules = policy.GatePolicy("medium", False, 10, 0.5, True, ("parser_error",), "low")
         return policy.change_gate(rules, facts, reliability.merge_gaps(gap_rows(s, d)), found)
 
@@ -238,8 +246,8 @@ def queries() -> dict:
         "plan_invalidation": lambda s, d: change.plan_invalidation(*invalidation_input(s, d), only(graph_of(s, d), "imports")),
         "policy_membership": lambda s, d: policy.membership(graph_of(s, d).symbols, BASELINE),
         "policy_decisions": lambda s, d: policy.decide(e := change.structural_edges(only(graph_of(s, d), "imports")), policy.membership(e.select(F.explode(F.array("from_file", "to_file")).alias("file")), TARGET), TARGET).groupBy("action", "rule_id").agg(F.count(F.lit(1)).alias("edges")),
-        "architecture_drift": lambda s, d: policy.architecture_drift(only(graph_of(s, d), "imports"), only(graph_of(s, d), "imports"), BASELINE, TARGET).filter("finding = 'forbidden_dependency'"),
-        "architecture_cycles": lambda s, d: policy.cycle_drift(only(graph_of(s, d), "imports"), only(graph_of(s, d), "imports"), BASELINE, TARGET),
+        "architecture_drift": lambda s, d: policy.architecture_drift(*import_sides(s, d), BASELINE, TARGET).filter("finding = 'forbidden_dependency'"),
+        "architecture_cycles": lambda s, d: policy.cycle_drift(*import_sides(s, d), BASELINE, TARGET),
         "change_gate": gate,
         "gate_summary": lambda s, d: policy.gate_summary(gate(s, d)),
         "reliability": lambda s, d: reliability.aggregate_reliability(contributions(s, d)),
@@ -307,6 +315,25 @@ def oracle_sql() -> dict[str, str]:
     group = "case when regexp_matches(file, '^region/000000000[0-4]/') then 'region' || file[17] end"
     pol = f""", m as (select id, file, {group} as g from symbols), e as (select distinct a.file as from_file, b.file as to_file, {key("x")} as from_key, {key("y")} as to_key, a.g as gf, b.g as gt
         from edges join symbols x on x.id = from_id join symbols y on y.id = to_id join m a on a.id = from_id join m b on b.id = to_id where edges.type = 'imports')"""
+    drift = """, sides as (select *, coalesce(gf <> 'region2', true) as was, coalesce(gt <> 'region1', true) as is_, coalesce((gf, gt) in (('region0', 'region1'), ('region2', 'region3')), false) as base_bad, coalesce((gf, gt) in (('region2', 'region3'), ('region4', 'region0')), false) as target_bad from e),
+        drift as (select 'forbidden_dependency' as finding, case when is_ and target_bad then 'introduced' else 'resolved' end as status, case when was <> is_ and base_bad <> target_bad then 'both' when base_bad <> target_bad then 'policy_change' else 'code_change' end as cause,
+            case gf when 'region0' then 'high' when 'region2' then 'medium' else 'low' end as severity, case gf when 'region0' then 'no-0-1' when 'region2' then 'no-2-3' else 'no-4-0' end as rule_id, from_key || ' imports ' || to_key as detail
+            from sides where (was and base_bad) <> (is_ and target_bad))"""
+    side = lambda name, flag: f"""
+        i_{name} as (select distinct from_file as a, to_file as b from sides where {flag}), r_{name}(a, b) as (select a, b from i_{name} union select r_{name}.a, i_{name}.b from r_{name} join i_{name} on i_{name}.a = r_{name}.b),
+        k_{name} as (select x.a as file, min(y.b) as component from r_{name} x join r_{name} y on y.a = x.a and exists (select 1 from r_{name} z where z.a = y.b and z.b = x.a) where x.a = x.b group by x.a),
+        c_{name} as (select string_agg(file, ' ' order by file) as detail from k_{name} group by component)"""
+    loops = f""", {side("old", "was")}, {side("new", "is_")},
+        loops as (select 'dependency_cycle' as finding, 'introduced' as status, case when detail in (select detail from c_old) then 'policy_change' else 'both' end as cause, 'medium' as severity, null::varchar as rule_id, detail from c_new)"""
+    checks = """, ev as (select count(*) filter (event_id % 17 = 0) as uncovered, count(*) as affected, count(*) filter (event_id % 13 <> 0) as covered, count(*) filter (event_id % 13 = 6) as parser from events),
+        intro as (select count(*) as n from (select status from drift where status = 'introduced' union all select status from loops)),
+        checks as (
+            select 'risk.maxAllowed' as id, 'fail' as status, 'high' as actual
+            union all select 'tests.maxUncoveredAffectedSymbols', case when uncovered <= 10 then 'pass' else 'fail' end, uncovered::varchar from ev
+            union all select 'tests.minStructuralTestEvidenceRatio', case when covered / affected >= 0.5 then 'pass' else 'fail' end, round(covered / affected, 6)::varchar from ev
+            union all select 'diagnostics.authoritativeNegativeResults', 'fail', 'false'
+            union all select 'diagnostics.forbidGapKinds', case when least(parser, 1) = 0 then 'pass' else 'fail' end, least(parser, 1)::varchar from ev
+            union all select 'architecture.introducedSeverity', case when n > 0 then 'fail' else 'warn' end, n::varchar from intro)""".replace("event_id % 13 = 6", f"event_id % 13 = {reliability.GAPS.index('parser_error')}")
     outcomes = "[" + ", ".join(f"'{o}'" for o in reliability.OUTCOMES) + "]"
     gaps = "[" + ", ".join(f"'{g}'" for g in reliability.GAPS) + "]"
     gap = f"with gap as (select ({gaps})[(event_id % 13 + 1)::int] as kind, event_id % 3 as count, event_type as file from events)"
@@ -342,9 +369,12 @@ def oracle_sql() -> dict[str, str]:
         "policy_membership": with_graph(f"select distinct file, case when {group} is null then 'unclassified' else 'classified' end as state, {group} as \"group\" from symbols"),
         "policy_decisions": with_graph("""select case when gf is null or gt is null then 'unclassified' when (gf, gt) in (('region2', 'region3'), ('region4', 'region0')) then 'deny' else 'allow' end as action,
             case when gf = 'region2' and gt = 'region3' then 'no-2-3' when gf = 'region4' and gt = 'region0' then 'no-4-0' end as rule_id, count(*) as edges from e group by all""", more=pol),
-        "architecture_drift": with_graph("""select 'forbidden_dependency' as finding, case when gf = 'region0' then 'resolved' else 'introduced' end as status, 'policy_change' as cause,
-            case gf when 'region0' then 'high' when 'region2' then 'medium' else 'low' end as severity, case gf when 'region0' then 'no-0-1' when 'region2' then 'no-2-3' else 'no-4-0' end as rule_id, from_key || ' imports ' || to_key as detail
-            from e where (gf, gt) in (('region0', 'region1'), ('region2', 'region3'), ('region4', 'region0'))""", more=pol),
+        "architecture_drift": with_graph("select * from drift", True, pol + drift),
+        "architecture_cycles": with_graph("select * from loops", True, pol + drift + loops),
+        "change_gate": with_graph("select id, status, actual from checks", True, pol + drift + loops + checks),
+        "gate_summary": with_graph("""
+            select case when count(*) filter (status = 'fail') > 0 then 'fail' else 'pass' end as gate, count(*) filter (status = 'pass') as passed, count(*) filter (status = 'fail') as failed,
+                count(*) filter (status = 'warn') as warnings, count(*) filter (status = 'skipped') as skipped from checks""", True, pol + drift + loops + checks),
         "reliability": f"""
             with c as (select user_id as scope_key, event_id % 11 as output_key, (event_id % 37 % 5)::int as o, event_id % 13 <> 0 as complete, event_id % 17 = 0 as stale, event_type <> 'error' as ap, event_type <> 'view' as su, value > 1 as tried from events),
             p as (select scope_key, output_key, max(o) as o, bool_and(complete and not stale) as complete, bool_or(stale) as stale, count(*) filter (ap) as ap, count(*) filter (su) as su, count(*) filter (tried) as tried_ from c group by all),
@@ -376,10 +406,6 @@ def oracle_sql() -> dict[str, str]:
             r(path) as (select path from gone union select path from edited union select importer from imp join r on r.path = imported)
             select path, case when path in (select path from gone) then 'removed' when path in (select path from edited) then 'parse' when path in (select path from r) then 'resolve' else 'reuse' end as action from f
             union all select path || '-moved', 'renamed' from f where path like '%8'""", True),
-        "architecture_cycles": with_graph("""
-            , i as (select distinct a.file as a, b.file as b from edges e join symbols a on a.id = from_id join symbols b on b.id = to_id where e.type = 'imports'), r(a, b) as (select a, b from i union select r.a, i.b from r join i on i.a = r.b),
-            k as (select x.a as file, min(y.b) as component from r x join r y on y.a = x.a and exists (select 1 from r z where z.a = y.b and z.b = x.a) where x.a = x.b group by x.a)
-            select 'dependency_cycle' as finding, 'introduced' as status, 'policy_change' as cause, 'medium' as severity, null::varchar as rule_id, string_agg(file, ' ' order by file) as detail from k group by component""", True),
         "coverage_gaps": f"{gap} select list_position({gaps}, kind)::bigint as place, kind, sum(count)::bigint as count, count(distinct file) as files from gap where count > 0 group by kind",
         "merge_gaps": f"{gap} select kind, case when kind in ('not_indexed', 'stale_index') then least(sum(count), 1) else sum(count) end::bigint as count from gap group by kind",
         "verification_targets": f"""{gap} select * from (select distinct file, '' as symbol_id, kind as reason from gap where count > 0
