@@ -47,6 +47,18 @@ def test_budget_counts_the_rendered_prefix(spark):
     assert retrieval.rendered_context(docs.filter(F.col("rank").isin([r[0] for r in chosen]))).first().context == render(chosen)
 
 
+def test_inspection_reranks_and_adds_related(spark):
+    docs = spark.createDataFrame([(f"d{i}", f"f{i}.ts", "run" if i < 3 else "x", f"q{i}", "function", "run " * (i + 1), 1, 2) for i in range(6)], DOCS)
+    vectors = spark.createDataFrame([("d4", [1.0, 0.0]), ("d0", [0.9, 0.1])], "point_id string, vector array<double>")
+    plain = {r.key: r for r in retrieval.inspect_retrieval(docs, vectors, "run it", [1.0, 0.0], top_k=4).collect()}
+    assert len(plain) == 4 and all(r.place == r.fused_rank for r in plain.values()) and plain["d0"].sources == ["vector", "lexical"]
+    last = max(plain.values(), key=lambda r: r.fused_rank).key
+    scores = spark.createDataFrame([(last, 0.9)], "key string, rerank_score double")
+    related = spark.createDataFrame([("d5", 1), ("d0", 2)], "key string, nth long")
+    got = {r.key: r for r in retrieval.inspect_retrieval(docs, vectors, "run it", [1.0, 0.0], 4, 4, 4000, scores, related).collect()}
+    assert got[last].place == 1 and got["d5"].place == 5 and got["d5"].sources == ["graph"] and got["d0"].sources == ["vector", "lexical", "graph"] and len(got) == 5
+
+
 def test_message_kinds_and_the_record_budget(spark):
     p = spark.createDataFrame([("p1", "r", "kafka", "literal", "t", "request"), ("p2", "r", "unspecified", "literal", "t", "event"), ("p3", "r", "unspecified", "literal", "t", "request"), ("p4", "r", "unspecified", "literal", "none", "request")], "id string, repo string, protocol_kind string, destination_kind string, destination string, producer_kind string")
     c = spark.createDataFrame([("c1", "r", "kafka", "literal", "t", "event"), ("c2", "r", "unspecified", "literal", "t", "event"), ("c3", "r", "unspecified", "literal", "t", "request_response"), ("c4", "r", "unspecified", "literal", "t", "event")], "id string, repo string, protocol_kind string, destination_kind string, destination string, consumer_kind string")

@@ -289,13 +289,28 @@ def merge_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("key").agg(F.sort_array(F.collect_set("source")).alias("sources"), F.min("rank").alias("rank"))
 
 
-def inspect_retrieval(documents: DataFrame, vectors: DataFrame, query: str, vector: list[float], top_k: int = 20, rerank: int = 5, budget: int = MOST_TOKENS) -> DataFrame:
-    """All stages in one table: key, vector_rank, lexical_rank, fused_rank, reranked (the first ``rerank``), tokens, included."""
+def inspect_retrieval(documents: DataFrame, vectors: DataFrame, query: str, vector: list[float], top_k: int = 20, rerank: int = 5, budget: int = MOST_TOKENS, scores: DataFrame | None = None, related: DataFrame | None = None) -> DataFrame:
+    """All stages in one table: key, sources, vector_rank, lexical_rank, fused_rank, reranked (the first ``rerank``), place, tokens, included.
+
+    scores: (key, rerank_score), as `sources.scip.rerank` gives them; the first ``rerank`` of the fused results come by them, best first, the
+    others as they were. related: (key, nth) documents around the results, as `traverse.expand` finds them; those that aren't
+    results themselves follow them. The budget goes by place. At most 50 results and the related ones are numbered.
+    """
     top_k = max(1, min(50, top_k))
     lex = lexical_search(documents, query, top_k).select(F.col("document_id").alias("key"), "rank", "rank_group")
     vec = vector_search(vectors, vector, top_k).select(F.col("point_id").alias("key"), "rank")
-    both = fused(vec, lex, top_k).withColumnRenamed("rank", "fused_rank")
+    rows = fused(vec, lex, top_k).select("key", "vector_rank", "lexical_rank", F.col("rank").alias("fused_rank"))
+    rows = rows.withColumn("reranked", F.col("fused_rank") <= rerank)
+    rows = rows.join(scores.select("key", "rerank_score"), "key", "left") if scores is not None else rows.withColumn("rerank_score", F.lit(None).cast("double"))
+    order = [F.desc("reranked"), F.when(F.col("reranked"), F.col("rerank_score")).desc_nulls_last(), "fused_rank"]
+    rows = rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    if related is not None:
+        rows = rows.join(related.select("key", F.col("nth").cast("long").alias("nth")), "key", "full_outer")
+        rows = rows.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("place"), "nth", "key")).cast("long")).withColumn("reranked", F.coalesce("reranked", F.lit(False)))
+    else:
+        rows = rows.withColumn("nth", F.lit(None).cast("long"))
+    rows = rows.withColumn("sources", F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), name) for c, name in (("vector_rank", "vector"), ("lexical_rank", "lexical"), ("nth", "graph"))])))
     # The block's number and score are one token each, whatever they are; a key without a document renders as an empty block.
-    rows = both.withColumnRenamed("key", "document_id").join(documents, "document_id", "left").withColumn("block", token_count(context_block(F.lit(1), F.lit(0.0))))
-    kept = greedy_budget(rows.select(F.col("fused_rank").alias("rank"), F.col("block").alias("tokens")), budget).withColumnRenamed("rank", "fused_rank")
-    return rows.select(F.col("document_id").alias("key"), "vector_rank", "lexical_rank", "fused_rank").join(kept, "fused_rank").select("key", "vector_rank", "lexical_rank", "fused_rank", (F.col("fused_rank") <= rerank).alias("reranked"), "tokens", "included")
+    blocks = rows.select("place", F.col("key").alias("document_id")).join(documents, "document_id", "left").select(F.col("place").alias("rank"), token_count(context_block(F.lit(1), F.lit(0.0))).alias("tokens"))
+    kept = greedy_budget(blocks, budget).withColumnRenamed("rank", "place")
+    return rows.join(kept, "place").select("key", "sources", "vector_rank", "lexical_rank", "fused_rank", "reranked", "place", "tokens", "included")

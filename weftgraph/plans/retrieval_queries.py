@@ -68,7 +68,7 @@ def queries() -> dict:
         "vector_search": lambda s, d: rt.vector_search(vec(s, d), first_vector(s, d), 50),
         "hybrid_search": hybrid,
         "context_budget": budget,
-        "inspect_retrieval": lambda s, d: rt.inspect_retrieval(docs(s, d), vec(s, d), QUERY, first_vector(s, d)),
+        "inspect_retrieval": lambda s, d: rt.inspect_retrieval(docs(s, d), vec(s, d), QUERY, first_vector(s, d)).withColumn("sources", F.array_join("sources", " ")),
         "ranking_metrics": metrics,
         "logical_targets": lambda s, d: rt.logical_targets(docs(s, d).withColumn("start_line", F.col("document_id").cast("int") % 50).withColumn("end_line", F.col("start_line") + F.col("end_line"))).select("file", "symbol_name", "start_line", "end_line", "chunks"),
         "split_chunks": lambda s, d: rt.split_chunks(docs(s, d).withColumn("content", F.replace("content", F.lit(" "), F.lit("\n")))).select("document_id", "chunk", "start_line", "end_line", F.length("content").cast("long").alias("chars")),
@@ -155,7 +155,7 @@ def oracle_sql() -> dict[str, str]:
             f as (select coalesce(l.key, v.key) as key, v.rank as vector_rank, l.rank as lexical_rank, round(coalesce(1 / (60 + v.rank), 0.0) + coalesce(1 / (60 + l.rank), 0.0), 12) as score from l full join v using (key)),
             ranked as (select *, row_number() over (order by score desc, vector_rank nulls last, lexical_rank nulls last, key) as fused_rank from f),
             top as (select r.*, {_block()} as block from ranked r left join docs on document_id = key where fused_rank <= 20), {_fold("top", "fused_rank")}
-            select key, vector_rank, lexical_rank, fused_rank, fused_rank <= 5 as reranked, tokens, included from top join fold on fold.rank = fused_rank""",
+            select key, trim(case when vector_rank is null then '' else 'vector ' end || case when lexical_rank is null then '' else 'lexical' end) as sources, vector_rank, lexical_rank, fused_rank, fused_rank <= 5 as reranked, fused_rank as place, tokens, included from top join fold on fold.rank = fused_rank""",
         "identifier_parts": """
             with n as (select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') || 'HTTPServer2' || p_brand as n from part),
             h as (select *, regexp_split_to_array(regexp_replace(n, '([\\p{Ll}\\p{N}])(\\p{Lu})', '\\1 \\2', 'g'), '[^\\p{L}\\p{N}]+') as h from n)
