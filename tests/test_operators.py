@@ -253,3 +253,23 @@ def test_whole_message_links_equal_their_sql(spark):
         got = change_queries.queries()[name](spark, sf)
         want = con.sql(change_queries.oracle_sql()[name])
         assert sorted(map(tuple, got.collect())) == sorted(want.project(", ".join(got.columns)).fetchall()) != []
+
+
+def test_calls_of_one_name_are_decided_as_site_by_site(spark):
+    names = spark.createDataFrame([(f"n{i}", "a.ts", "many", "function") for i in range(40)] + [("one", "a.ts", "single", "function"), ("far", "b.ts", "x", "class")], "id string, file string, name string, type string")
+    sites = spark.createDataFrame([(f"s{i}", "a.ts", "many", "typescript", i % 7 == 0) for i in range(40)] + [("t", "a.ts", "single", "typescript", False), ("u", "a.ts", "far", "typescript", False), ("v", "a.ts", "none", "cobol", False), ("w", None, "single", "typescript", False)], "site_id string, file string, callee string, language string, uncertain boolean")
+    bound = spark.createDataFrame([("a.ts", "far", "b.ts", "x")], "file string, local_name string, target_file string, imported_name string")
+    got, want = resolution.decide_calls(sites, names, bound), resolution.decide(sites, resolution.call_candidates(sites, names, bound))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_query_writes_only_the_edges_it_reads(spark, sf, tmp_path):
+    import __spark_entry__ as entry
+    from weftgraph.plans import graph_queries
+
+    (tmp_path / "sf").symlink_to(sf)
+    written = lambda: {name for _, folder, name in graph_queries._INDEXED if folder == str(tmp_path / "sf")}
+    entry.queries()["unmapped_hunks"](spark, str(tmp_path / "sf"))
+    assert written() == {"symbols"}
+    entry.queries()["call_decisions"](spark, str(tmp_path / "sf"))
+    assert written() == {"symbols", "imports"}

@@ -218,19 +218,39 @@ def within_budget(candidates: DataFrame, budget: int) -> DataFrame:
     return rows.filter(F.col("nth") <= budget).drop("nth").join(over, "site_id")
 
 
+def _gathered(candidates: DataFrame) -> DataFrame:
+    """site_id, accepted, one, targets, exhausted: a site's candidates as one row."""
+    level = F.array_position(F.array(*[F.lit(c) for c in CONFIDENCE]), F.col("confidence")).cast("int")
+    place = F.array_position(F.array(*[F.lit(s) for s in STRATEGIES]), F.col("strategy")).cast("int")
+    exhausted = F.bool_or("exhausted") if "exhausted" in candidates.columns else F.lit(False)
+    merged = candidates.groupBy("site_id", "target").agg(F.max(level).alias("level"), F.min(F.struct(-level, place, "strategy"))["strategy"].alias("strategy"), exhausted.alias("exhausted"))
+    return merged.groupBy("site_id").agg(F.count_if(F.col("level") > 1).alias("accepted"), F.min(F.when(F.col("level") > 1, F.struct("target", "strategy", "level"))).alias("one"), F.sort_array(F.collect_set(F.when(F.col("level") > 1, F.col("target")))).alias("targets"), F.bool_or("exhausted").alias("exhausted"))
+
+
 def decide(sites: DataFrame, candidates: DataFrame) -> DataFrame:
     """site_id, status, target, strategy, confidence, candidates, reason: one accepted target resolves, several never do.
 
     sites: site_id, language, uncertain (parse trouble). Candidates of one target merge: the best confidence and the earliest strategy
     with it. Weak ones alone don't resolve. The ladder: uncertainty, exhausted budget, one, several, weak only, unsupported, unknown.
     """
-    level = F.array_position(F.array(*[F.lit(c) for c in CONFIDENCE]), F.col("confidence")).cast("int")
-    place = F.array_position(F.array(*[F.lit(s) for s in STRATEGIES]), F.col("strategy")).cast("int")
-    exhausted = F.bool_or("exhausted") if "exhausted" in candidates.columns else F.lit(False)
-    merged = candidates.groupBy("site_id", "target").agg(F.max(level).alias("level"), F.min(F.struct(-level, place, "strategy"))["strategy"].alias("strategy"), exhausted.alias("exhausted"))
-    per = merged.groupBy("site_id").agg(F.count_if(F.col("level") > 1).alias("accepted"), F.min(F.when(F.col("level") > 1, F.struct("target", "strategy", "level"))).alias("one"), F.sort_array(F.collect_set(F.when(F.col("level") > 1, F.col("target")))).alias("targets"), F.bool_or("exhausted").alias("exhausted"))
+    return _decided(sites.join(_gathered(candidates), "site_id", "left"))
+
+
+def decide_calls(sites: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataFrame:
+    """What decide(sites, call_candidates(sites, symbols, bindings)) gives, the candidates of a name gathered once for all sites of its file.
+
+    Candidates depend on the file and the name only, so rows between are as many as names and candidates, not as their pairs with sites.
+    """
+    call = F.struct("file", "callee")
+    asked = sites.select(call.alias("site_id"), "file", "callee").distinct()
+    found = _gathered(call_candidates(asked, symbols, bindings)).select(F.col("site_id.file").alias("file"), F.col("site_id.callee").alias("callee"), "accepted", "one", "targets", "exhausted")
+    return _decided(sites.join(found, ["file", "callee"], "left"))
+
+
+def _decided(sites: DataFrame) -> DataFrame:
+    """The ladder of `decide` over sites with what was gathered for each."""
     known = list(LEVELS)
-    rows = sites.join(per, "site_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(0)))
+    rows = sites.withColumn("accepted", F.coalesce("accepted", F.lit(0)))
     some = F.col("one").isNotNull() | F.col("targets").isNotNull()
     status = (
         F.when(F.col("uncertain"), "unknown").when(F.coalesce("exhausted", F.lit(False)), "budget_exhausted").when(F.col("accepted") == 1, "resolved").when(F.col("accepted") > 1, "ambiguous")
