@@ -289,3 +289,11 @@ def test_touched_rows_are_those_that_share_a_line(spark):
     found = [tuple(r) for r in got.collect()]
     assert 50 < len(want) < len(rows) and sorted(r for r in found if r[0] != "big") == sorted(want)
     assert sorted(r[1] for r in found if r[0] == "big") == list(range(7995, 60_000))
+
+
+def test_equal_hunks_stay_as_many(spark):
+    at = symbols(spark, ("o1", "keep", "a.ts", 10, 15))
+    files = spark.createDataFrame([("a.ts", None), ("new.ts", "a.ts")], "path string, old_path string")
+    hunks = spark.createDataFrame([("a.ts", 3, 2, 3, 2)] * 3 + [("a.ts", 12, 0, 12, 2), ("new.ts", 15, 1, 900, 1), ("new.ts", 16, 0, 15, 0), ("x.ts", 1, 1, 1, 1)], "path string, old_start int, old_lines int, new_start int, new_lines int")
+    got = change.unmapped_hunks(at, at, files, hunks).collect()
+    assert sorted(map(tuple, got)) == [("a.ts", 3)] * 3 + [("new.ts", 15)]
