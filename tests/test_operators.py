@@ -307,3 +307,12 @@ def test_distances_keep_a_row_for_a_node_and_a_group(spark):
     got = sorted(map(tuple, change.distances(g, start, 3).collect()))
     want = [(x, "file", 0) for x in seeds] + [("p0", "target", 0), ("p1", "target", 1), ("hub", "file", 1), ("hub", "target", 1)] + [(x, o, 2) for x in callers for o in ("file", "target")]
     assert got == sorted(want)
+
+
+def test_summary_of_a_file_of_many_hunks(spark):
+    many = spark.range(20_000).selectExpr("concat('s', id) as id", "'function' as type", "concat('s', id) as name", "cast(null as string) as qualified_name", "'a.ts' as file", "cast(10 * id + 10 as int) as start_line", "cast(10 * id + 17 as int) as end_line")
+    files = spark.createDataFrame([("a.ts", None, "modified")], "path string, old_path string, status string")
+    hunks = spark.range(400_000).selectExpr("'a.ts' as path", "cast(1 + id % 500 as int) as old_start", "cast(id % 3 as int) as old_lines", "cast(1 + id % 500 as int) as new_start", "cast(id % 5 as int) as new_lines")
+    row = change.change_summary(change.changed_symbols(many.filter("id not like '%7'"), many.filter("id not like '%9'"), files, hunks)).first()
+    # Lines up to 504 are touched: s0 to s49; of these, five end in 7 and five in 9.
+    assert tuple(row) == (1, 40, 5, 5)
