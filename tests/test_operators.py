@@ -358,3 +358,19 @@ def test_unmapped_hunks_are_counted_once_and_copied(spark, sf, monkeypatch):
     assert sorted(got) == [("a.ts", 8)] * 668 + [("a.ts", 9)] * 666
     # The result is made from the distinct hunks: events aren't read and dealt out again for it.
     assert not [x for x in entry.queries()["unmapped_hunks"](spark, sf).inputFiles() if "events" in x]
+
+
+def test_only_symbols_that_hunks_can_touch_are_looked_up(spark):
+    many = spark.range(20_000).selectExpr("concat('s', id) as id", "'function' as type", "concat('s', id) as name", "cast(null as string) as qualified_name", "'a.ts' as file", "cast(10 * id + 10 as int) as start_line", "cast(10 * id + 17 as int) as end_line")
+    files = spark.createDataFrame([("a.ts", None, "modified")], "path string, old_path string, status string")
+    hunks = spark.range(40_000).selectExpr("'a.ts' as path", "cast(1 + id % 500 as int) as old_start", "cast(id % 3 as int) as old_lines", "cast(1 + id % 500 as int) as new_start", "cast(id % 5 as int) as new_lines")
+    asked = []
+
+    def tagged(rows):
+        asked.append(rows.count())
+        return rows.join(many.selectExpr("id", "substring(id, -1) as last"), "id", "left")
+
+    both = change.Side(many, lambda last: many.filter(f"start_line <= {last}"), tagged)
+    before, after = change.Side(many, both.upto, tagged, "last <> '7'"), change.Side(many, both.upto, tagged, "last <> '9'")
+    row = change.change_summary(change.changed_symbols(before, after, files, hunks)).first()
+    assert tuple(row) == (1, 40, 5, 5) and asked == [50, 45]
